@@ -147,7 +147,7 @@ def confirmed_spans(text: str) -> Iterator[tuple[str, int, int]]:
             yield "token", m.start(), m.end()
     begins = list(PEM.finditer(text)) if "PRIVATE KEY-----" in text else []
     closes: dict[str, int] = {}
-    for m, after in zip(begins, [*(x.start() for x in begins[1:]), len(text)], strict=True):
+    for m, after in zip(begins, [*(x.start() for x in begins), len(text)][1:], strict=True):
         if -1 < (close := closes.get(m[1], 0)) < m.end():  # looked for once per stretch: linear
             close = closes[m[1]] = text.find(f"-----END {m[1]}-----", m.end())
         if not -1 < close < after:
