@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from isobath.llm.common import table
 
@@ -17,9 +18,44 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.decontaminate import find_contained
+
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words and shingles as in ``shingles``; items shorter than five words are one shingle.
+OP5_SQL = """
+WITH letters AS (
+  SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case
+), doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower_case), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents, letters
+), item AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower_case), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark, letters
+), item_shingle AS (
+  SELECT DISTINCT i, item_id, least(5, len(w)) AS k, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') AS s
+  FROM item, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(p) WHERE len(w) > 0
+), size AS (SELECT i, count(*) AS n_item FROM item_shingle GROUP BY i
+), doc_shingle AS (
+  SELECT DISTINCT r, doc_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s
+  FROM doc, (SELECT DISTINCT k FROM item_shingle) AS ks, unnest(range(1, len(w) - k + 2)) AS t(p)
+), shared AS (
+  SELECT r, doc_id, i, item_id, count(*) AS n_shared FROM doc_shingle JOIN item_shingle USING (k, s) GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item, n_shared / n_item AS containment
+FROM shared JOIN size USING (i) WHERE n_shared >= 0.8 * n_item
+"""
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), F.octet_length("text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_secret_scan,)}
+    return {f.__name__: f for f in (op5_decontaminate, op7_best_fit, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": OP5_SQL}
