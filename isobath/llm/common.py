@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,29 +48,21 @@ def salt_of(*cols: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
-def attach(rows: DataFrame, keys: list[str], spread: list[str], cell: list[Column], total: list[Column]) -> DataFrame:
-    """Join to every row the aggregates of its key, whatever share of the rows one key holds.
+def attach(rows: DataFrame, keys: list[str], spread: list[str], aggregates: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """Give every row the aggregates of its key, whatever share of the rows one key holds.
 
-    Rows are first aggregated per (key, salt) by ``cell``, the at most ``SALTS`` cells of a key
-    then by the window expressions ``total`` (over ``W``-less aggregate columns of the cells, named
-    as in ``cell``), and the rows meet their own cell again.  No task sees more of a key than one
-    salt of it.  ``spread``: columns whose hash deals the rows of a key.
+    ``aggregates``: per new column the aggregate of the rows, and the function that merges such
+    aggregates (``F.sum``, ``F.min`` and so on).  Rows are first aggregated per (key, salt), the at
+    most ``SALTS`` cells of a key then by a window, and each row meets its own cell: no task sees
+    more of a key than one salt of it.  ``spread``: columns whose hash deals the rows of a key.
+    Null keys are equal to each other.
     """
-    from pyspark.sql import Window
-
-    salted = rows.withColumn("__salt", salt_of(*spread))
-    nullsafe = [F.struct(F.col(k)).alias(f"__key_{i}") for i, k in enumerate(keys)]
-    cells = salted.groupBy(*nullsafe, "__salt").agg(*cell)
     names = [f"__key_{i}" for i in range(len(keys))]
+    salted = rows.select("*", *[F.struct(F.col(k)).alias(n) for k, n in zip(keys, names, strict=True)], salt_of(*spread).alias("__salt"))
+    cells = salted.groupBy(*names, "__salt").agg(*[c.alias(k) for k, (c, _) in aggregates.items()])
     over = Window.partitionBy(*names)
-    known = cells.select(*names, "__salt", *[t.over(over).alias(_name(t)) for t in total])
-    probe = salted.select("*", *nullsafe)
-    return probe.join(known.hint("shuffle_hash"), [*names, "__salt"]).drop(*names, "__salt")
-
-
-def _name(column: Column) -> str:
-    text = column._jc.toString()
-    return text.rsplit(" AS ", 1)[1].strip("` ")
+    known = cells.select(*names, "__salt", *[merge(k).over(over).alias(k) for k, (_, merge) in aggregates.items()])
+    return salted.join(known.hint("shuffle_hash"), [*names, "__salt"]).drop(*names, "__salt")
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

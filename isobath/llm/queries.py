@@ -12,6 +12,13 @@ from isobath.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.secret_scan import digest_columns, find_secrets
 
@@ -47,6 +54,22 @@ FROM shared JOIN size USING (i) WHERE n_shared >= 0.8 * n_item
 """
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.exact_dedup import equal_texts
+
+    return equal_texts(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY t)
+"""
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.packing import pack
 
@@ -54,8 +77,8 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_decontaminate, op7_best_fit, op10_secret_scan)}
+    return {f.__name__: f for f in (op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL}
