@@ -25,6 +25,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from isobath.llm.token_counts import count_tokens
+
+    found = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.decontaminate import find_contained
 
@@ -77,7 +86,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
