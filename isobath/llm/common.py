@@ -65,8 +65,8 @@ def attach(rows: DataFrame, keys: list[str], spread: list[str], aggregates: dict
     return salted.join(known.hint("shuffle_hash"), [*names, "__salt"]).drop(*names, "__salt")
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes in column ``text`` each, or a single row."""
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes in column ``text`` and ``rows`` rows at most, or a single row."""
     column = batch.column(text)
     if not len(column):
         return
@@ -74,7 +74,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa
     begin = 0
     while begin < len(column):
         end = int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1
-        end = min(max(end, begin + 1), len(column))
+        end = min(max(end, begin + 1), begin + rows, len(column))
         yield batch.slice(begin, end - begin)
         begin = end
 

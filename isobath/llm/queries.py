@@ -25,6 +25,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.language_id import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    fold = held_out("doc_id")
+    found = identify(docs, learn(docs.where(~fold)))
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,7 +95,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
