@@ -25,6 +25,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.warc import archived
+
+    found = archived(table(spark, sf_dir, "pages"))
+    page = lambda urn: F.regexp_extract(urn, "urn:record:(-?[0-9]*):", 1).try_cast("long")
+    # a record that can't be used fails the query: nothing may be lost on the way
+    whole = F.when(F.col("problem").isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("broken record: "), F.col("problem"))))
+    return found.select(page(F.col("record_id")).alias("page_id"), whole.cast("long").alias("payload_bytes"), "payload_digest", "record_type", page(F.col("fields")["warc-refers-to"]).alias("refers_to"))
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.language_id import held_out, identify, learn
 
@@ -95,8 +117,8 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL}
