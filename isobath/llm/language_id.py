@@ -177,17 +177,23 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return [UNDETERMINED if x else model.languages[i] for x, i in zip(none, best.tolist(), strict=True)], score
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, ``lang_pred`` and ``score``, the cosine with its prototype (0 at least)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per row of ``docs``: id, ``lang_pred`` and ``score``, the cosine with its prototype (0 at least).
+
+    With ``carry`` the whole row comes along, as the struct ``doc`` in place of the id.
+    """
+    first = F.struct("*").alias("doc") if carry else F.col(id_col).alias(id_col)
+    rows = docs.select(first) if carry else docs.select(first, F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([rows.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shape = known.value, arrow_type(schema)
         for batch in batches:
-            for part in slices(batch, 1, rows=4096):
+            text = batch.column(0).field(text_col) if carry else batch.column(1)
+            both = pa.RecordBatch.from_arrays([batch.column(0), text], names=["row", "text"])
+            for part in slices(both, 1, rows=4096):
                 languages, score = predict(decoded(part.column(1)), own)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(score)], schema=shape)
 
-    return rows.mapInArrow(classify, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(classify, schema)
