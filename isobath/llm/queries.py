@@ -19,6 +19,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.pii import digest_columns, find_personal
+
+    return digest_columns(find_personal(table(spark, sf_dir, "documents")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.secret_scan import digest_columns, find_secrets
 
@@ -117,7 +123,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
