@@ -88,7 +88,7 @@ FEATURES = {
 
 def _matches(g: Generator, order: int) -> Column:
     """The generator's matches in ``text`` as structs: what lies before each is all of the text since the last."""
-    pattern = F.lit(f"(?s)(.*?)({g.pattern})(?=(.{{0,{CONTEXT}}}))")
+    pattern = F.lit(f"(?s)\\G(.*?)({g.pattern})(?=(.{{0,{CONTEXT}}}))")
     part = lambda k: F.regexp_extract_all("text", pattern, F.lit(k))
     found = F.arrays_zip(part(1).alias("gap"), part(2).alias("value"), part(3).alias("after"))
     shaped = F.transform(found, lambda x, i: F.struct(F.lit(order).alias("generator"), i.alias("place"), F.char_length(x["gap"]).cast("long").alias("gap"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), x["after"].alias("after")))
@@ -189,14 +189,13 @@ def thresholds(model: tuple[float, list[Tree]], counts: dict[tuple[int, int], tu
 
 
 def score_column(model: tuple[float, list[Tree]]) -> Column:
-    own = F.col("bits").bitwiseOR(F.expr(f"shiftleft(1, {len(FEATURES)} + kind)"))
-    bit = lambda f: own.bitwiseAND(F.lit(1 << f)) != 0
-    total = F.lit(model[0])
-    for t in model[1]:
-        low = F.when(bit(t.seconds[0]), t.leaves[1]).otherwise(t.leaves[0])
-        high = F.when(bit(t.seconds[1]), t.leaves[3]).otherwise(t.leaves[2])
-        total = total + F.when(bit(t.first), high).otherwise(low)
-    return total
+    """The sum of the trees' leaves; one small expression over a literal array, however many trees."""
+    if not model[1]:
+        return F.lit(model[0])
+    trees = ", ".join(f"named_struct('f', {t.first}, 'a', {t.seconds[0]}, 'b', {t.seconds[1]}, 'l', array({', '.join(f'{x!r}D' for x in t.leaves)}))" for t in model[1])
+    own = f"CAST(bits | shiftleft(1, {len(FEATURES)} + kind) AS BIGINT)"
+    leaf_of = f"element_at(t.l, 1 + 2 * getbit({own}, t.f) + getbit({own}, CASE WHEN getbit({own}, t.f) = 1 THEN t.b ELSE t.a END))"
+    return F.expr(f"aggregate(array({trees}), {model[0]!r}D, (s, t) -> s + {leaf_of})")
 
 
 def find_personal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, support: int = SUPPORT) -> DataFrame:
@@ -213,7 +212,8 @@ def find_personal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     run = Window.partitionBy("row", "generator").orderBy("place")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run)).withColumn("start", F.col("end") - F.col("size"))
     base = F.col("generator") < len(BASE)
-    enough = F.coalesce(*[F.when(F.col("kind") == k, score_column(model) >= t) for k, t in least.items()], F.lit(False))
+    needed = F.coalesce(*[F.when(F.col("kind") == k, F.lit(t)) for k, t in least.items()], F.lit(float("inf")))
+    enough = score_column(model) >= needed
     chosen = F.col("strict") & (base | enough)
     placed = placed.select("row", "id", "generator", "kind", "start", "end", base.alias("base"), chosen.alias("chosen"))
     # what overlaps a base span: the furthest base end before it, and the next base start after it

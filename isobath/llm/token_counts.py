@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from isobath.llm.common import arrow_type, cut, decoded, slices
 
 #: Most pre-tokens that travel to the documents, and most that a task holds before it passes them on.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 19
 HELD = 400_000
 
 #: Blocks of Unicode whose letters, digits and spaces every version since 12 has alike; texts with
