@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Shares into which the rows of one key are dealt before they meet.
 SALTS = 64
+#: Most bytes of an Arrow batch of texts, unless one text is longer.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,14 @@ def attach(rows: DataFrame, keys: list[str], spread: list[str], aggregates: dict
     return salted.join(known.hint("shuffle_hash"), [*names, "__salt"]).drop(*names, "__salt")
 
 
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``text`` of every row, in Arrow batches of a few MB where the session has only the default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if docs.sparkSession.conf.get(name) in ("67108864b", "67108864", "64MB", "64m"):
+        docs.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes in column ``text`` and ``rows`` rows at most, or a single row."""
     column = batch.column(text)

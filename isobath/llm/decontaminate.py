@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import slices, text_bytes
+from isobath.llm.common import slices, text_bytes, text_rows
 from isobath.llm.shingles import shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -164,7 +164,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_items: int,
 
 def find_contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """Pairs of a document and an item of whose distinct shingles it holds ``threshold`` or more."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     item_type = items.schema[item_col].dataType
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("item", item_type), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("containment", T.DoubleType())])
 

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import attach, cut, slices, text_bytes
+from isobath.llm.common import attach, cut, slices, text_bytes, text_rows
 
 WIDTHS = (64, 512, 4096, 32768, 262144)
 
 
 def normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``sha`` (hex SHA-256) and ``rest``, the bytes of the text with A-Z in lower case."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("sha", T.StringType()), T.StructField("rest", T.BinaryType())])
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import arrow_type, decoded, slices
+from isobath.llm.common import arrow_type, decoded, slices, text_rows
 
 DIMENSIONS = 1024
 SEED = 7919
@@ -134,7 +134,7 @@ def weighted(texts: list[str], labels: np.ndarray, classes: int, dimensions: int
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Model:
     """Prototypes of the languages of ``docs``."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = text_rows(docs, lang_col, text_col).select("text", F.col("id").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

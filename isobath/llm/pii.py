@@ -171,7 +171,10 @@ def leaf(tree: Tree, bits: int) -> float:
 
 def score_of(model: tuple[float, list[Tree]], kind: int, bits: int) -> float:
     own = bits | 1 << (len(FEATURES) + kind)
-    return model[0] + sum(leaf(t, own) for t in model[1])
+    total = model[0]
+    for t in model[1]:  # plain sums in the order of ``score_column``, so that equal scores are equal
+        total += leaf(t, own)
+    return total
 
 
 def thresholds(model: tuple[float, list[Tree]], counts: dict[tuple[int, int], tuple[int, int]], precision: float, support: int) -> dict[int, float]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import decoded, slices
+from isobath.llm.common import decoded, slices, text_rows
 
 #: Kinds in their fixed order: the patterns', then what structure confirms.
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "ssh")
@@ -172,7 +172,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its id and ``spans``, code point offsets with exclusive ends."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

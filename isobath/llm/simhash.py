@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import attach, cut, slices, text_bytes
+from isobath.llm.common import attach, cut, slices, text_bytes, text_rows
 from isobath.llm.components import components
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def text_hashes(data: np.ndarray, shingle: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id`` and ``print``, the 64 bits as a signed long, of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.LongType())])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

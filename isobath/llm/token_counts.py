@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import arrow_type, cut, decoded, slices
+from isobath.llm.common import arrow_type, cut, decoded, slices, text_rows
 
 #: Most pre-tokens that travel to the documents, and most that a task holds before it passes them on.
 FREQUENT = 1 << 19
-HELD = 400_000
+HELD = 150_000
 
 #: Blocks of Unicode whose letters, digits and spaces every version since 12 has alike; texts with
 #: other characters are split by the library itself.
@@ -96,12 +96,18 @@ class Splitter:
             self.tokenizer.encode_special_tokens = False
 
 
+@lru_cache(maxsize=1)
+def splitter_of(definition: str) -> Splitter:
+    """One splitter per worker."""
+    return Splitter(definition)
+
+
 def distinct_pieces(docs: DataFrame, definition: str, text_col: str = "text", held: int = HELD) -> DataFrame:
     """``pre``, ``n`` (occurrences in all texts) and ``pieces`` of every distinct pre-token."""
     known = docs.sparkSession.sparkContext.broadcast(definition)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, counts = Splitter(known.value), Counter()
+        splitter, counts = splitter_of(known.value), Counter()
         for batch in batches:
             for part in slices(batch, 0):
                 for text in decoded(part.column(0)):
@@ -115,11 +121,12 @@ def distinct_pieces(docs: DataFrame, definition: str, text_col: str = "text", he
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        splitter = Splitter(known.value)
+        splitter = splitter_of(known.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(splitter.pieces(batch.column(0).to_pylist()), pa.int32())], names=["pre", "n", "pieces"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    texts = text_rows(docs, text_col, text_col).select("text")
+    counted = texts.mapInArrow(count, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(encode, "pre string, n long, pieces int")
 
 
@@ -178,12 +185,12 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     pieces = cut(distinct_pieces(docs, definition, text_col), "pieces")
     context = docs.sparkSession.sparkContext
     known, table = context.broadcast(definition), context.broadcast(frequent_table(pieces, frequent))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", "text")
     rest = T.ArrayType(T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("here", T.LongType()), T.StructField("rest", rest)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, frequent_ones, shape = Splitter(known.value), table.value, arrow_type(schema)
+        splitter, frequent_ones, shape = splitter_of(known.value), table.value, arrow_type(schema)
         for batch in batches:
             for part in slices(batch, 2):
                 texts = decoded(part.column(2))
