@@ -53,6 +53,12 @@ FROM p
 """
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.language_id import held_out, identify, learn
 
@@ -123,7 +129,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
