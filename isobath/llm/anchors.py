@@ -14,8 +14,8 @@ import numpy as np
 
 DEPTH = 50
 GRAM = 16
-#: Windows looked at together; bounds the memory, and cuts long documents into overlapping blocks.
-BLOCK = 1 << 20
+#: Windows looked at together: few enough for the processor's cache.  Long documents are cut into overlapping blocks.
+BLOCK = 1 << 17
 
 
 class Anchors(NamedTuple):
@@ -46,19 +46,17 @@ def block_anchors(data: np.ndarray, depth: int, gram: int) -> Anchors | None:
     n = len(data) - depth + 1
     if n <= 0:
         return None
-    least = gram_hashes(data, gram)
-    hashes = least
-    place = np.arange(len(least), dtype=np.int32)
+    hashes = gram_hashes(data, gram)
+    # half of the hash and the place in one number, whose minimum is the leftmost of the least
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     span, wanted = 1, depth - gram + 1
     while span < wanted:
         step = min(span, wanted - span)
-        m = len(least) - step
-        left = least[:m] <= least[step:]
-        place = np.where(left, place[:m], place[step:])
-        least = np.where(left, least[:m], least[step:])
+        least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    return Anchors(hashes[place[starts]], starts, np.diff(np.append(starts, n)), place[starts].astype(np.int64))
+    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return Anchors(hashes[place], starts, np.diff(np.append(starts, n)), place)
 
 
 def blocks(offsets: np.ndarray, depth: int, most: int = BLOCK) -> Iterator[tuple[int, int]]:

@@ -40,10 +40,12 @@ from isobath.llm.anchors import DEPTH, GRAM, text_anchors
 from isobath.llm.common import text_bytes
 
 SHARD_BYTES = 8 << 20
+#: Contexts that are refined in one round.
+ROUND = 1 << 15
 LAST = np.iinfo(np.int64).max
 #: Bytes of a hash that travel; parts are dealt by the others, so all 64 bits tell.
 KEY = 6
-CONTEXT = np.dtype([("key", "<u8"), ("index", "<u4"), ("document", "<i8"), ("lead", "u1"), ("windows", "u1")])
+CONTEXT = np.dtype([("key", "<u8"), ("sum", "<u8"), ("index", "<u4"), ("document", "<i8"), ("lead", "u1"), ("windows", "u1")])
 ANSWER = np.dtype([("index", "<u4"), ("bits", "<u8")])
 
 
@@ -121,14 +123,14 @@ def windows_of(shard: Shard, depth: int, keep: np.ndarray | None) -> Windows:
     return Windows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct context a run that has it, of the least document; and per run its context's number.
+def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct context a run that has it, of the least document; per run its context's number and sum.
 
     A context is the bytes of a run's windows; contexts agree if anchor, shape and two 64-bit sums
     of their bytes, each byte times a power of its place, do.
     """
     if not len(w.first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     end = w.first + w.count + depth - 1
     sums = []
     for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
@@ -153,7 +155,7 @@ def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray,
     new[1:] = (mixed[order][1:] != mixed[order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    return order[new], number
+    return order[new], number, sums[0] ^ (sums[1] << np.uint64(1))
 
 
 def _inverse_power(base: int, n: int) -> np.uint64:
@@ -167,19 +169,21 @@ def bytes_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[index + np.repeat(first - (ends - size), size)]
 
 
-def ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of the rows of ``keys``, in order of the keys, and each row's bucket size."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.zeros(len(order), bool)
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers in order of the keys, and the size of each row's bucket."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.empty(len(order), bool)
     new[:1] = True
-    for k in keys:
-        sorted_ = k[order]
-        new[1:] |= sorted_[1:] != sorted_[:-1]
-    bucket = np.cumsum(new) - 1
-    size = np.bincount(bucket)
-    out = np.empty(len(order), np.int64)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    bucket = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    out = np.empty(len(order), np.int32)
     out[order] = bucket
-    return out, size[out]
+    return out, np.bincount(bucket)[out]
+
+
+def paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
 
 
 def refined(data: np.ndarray, windows: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
@@ -192,62 +196,82 @@ def refined(data: np.ndarray, windows: np.ndarray, group: np.ndarray, depth: int
     if not len(windows):
         return out
     eight = np.ndarray((len(data) - 7,), np.dtype("<u8"), buffer=np.ascontiguousarray(data), strides=(1,))
-    bucket = np.zeros(len(data), np.int64)
-    size, positions, values = 8, None, None
+    bucket = np.zeros(len(data), np.int32)
+    size = 8
     while True:
         # the positions whose buckets this round needs: those inside windows that aren't alone yet
-        reach = np.arange(0, depth - size + 1)
-        need = np.zeros(len(data) + 1, np.int64)
-        np.add.at(need, windows[alive], 1)
-        np.add.at(need, windows[alive] + len(reach), -1)
-        positions = np.flatnonzero(np.cumsum(need[:-1]) > 0)
-        if size == 8:
-            values, count = ranks(np.asarray(eight[positions]))
-        else:
-            values, count = ranks(bucket[positions], bucket[positions + size // 2])
+        need = np.bincount(windows[alive], minlength=len(data) + depth).astype(np.int32)
+        need[depth - size + 1 :] -= need[: len(need) - (depth - size + 1)].copy()
+        positions = np.flatnonzero(np.cumsum(need[: len(data)], dtype=np.int32) > 0)
+        values, count = ranks(np.asarray(eight[positions]) if size == 8 else paired(bucket[positions], bucket[positions + size // 2]))
         bucket[positions] = values
         single = np.zeros(len(data), bool)
         single[positions] = count == 1
         # a window with a part that occurs once is alone
-        parts = sorted({*range(0, depth - size + 1, size), depth - size})
         alone = np.zeros(len(alive), bool)
-        for p in parts:
+        for p in {*range(0, depth - size + 1, size), depth - size}:
             alone |= single[windows[alive] + p]
         alive = alive[~alone]
         if not len(alive) or size * 2 > depth:
             break
         size *= 2
     if len(alive):
-        final, count = ranks(group[alive], bucket[windows[alive]], bucket[windows[alive] + depth - size])
+        final, _ = ranks(paired(bucket[windows[alive]], bucket[windows[alive] + depth - size]))
+        final, count = ranks(paired(final, group[alive]))
         out[alive[count > 1]] = final[count > 1]
     return out
 
 
 def earlier(contexts: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
-    """Per context, as bits, the windows that a smaller document has too."""
+    """Per context, as bits, the windows that a smaller document has too.
+
+    Contexts that several shards sent count once, for the least document.  What is left of a gram is
+    refined together; most grams have a single context left, which decides at once.
+    """
     size = contexts["windows"].astype(np.int64) + depth - 1
     start = np.cumsum(size) - size
     bits = np.zeros(len(contexts), np.uint64)
-    # grams with a single context have no window in common
-    order = np.argsort(contexts["key"], kind="stable")
-    key = contexts["key"][order]
-    same = np.zeros(len(key), bool)
+    if not len(contexts):
+        return bits
+    order = np.lexsort((contexts["document"], contexts["sum"], contexts["key"]))
+    own = contexts[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (own["key"][1:] != own["key"][:-1]) | (own["sum"][1:] != own["sum"][:-1]) | (own["lead"][1:] != own["lead"][:-1]) | (own["windows"][1:] != own["windows"][:-1])
+    first = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    # a context that a smaller document has too goes whole
+    later = own["document"] > own["document"][first][number]
+    bits[order[later]] = (np.uint64(1) << own["windows"][later].astype(np.uint64)) - np.uint64(1)
+    key = own["key"][first]
+    same = np.zeros(len(first), bool)
     same[1:] = key[1:] == key[:-1]
     same[:-1] |= same[1:]
-    chosen = np.sort(order[same])
-    count = contexts["windows"][chosen].astype(np.int64)
-    owner = np.repeat(chosen, count)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    windows = start[owner] + number
-    _, group = np.unique(contexts["key"], return_inverse=True)
-    bucket = refined(data, windows, group[owner], depth)
-    met = np.flatnonzero(bucket >= 0)
-    if len(met):
-        least = np.full(int(bucket[met].max()) + 1, LAST)
-        document = contexts["document"][owner[met]]
-        np.minimum.at(least, bucket[met], document)
-        later = met[least[bucket[met]] < document]
-        np.bitwise_or.at(bits, owner[later], np.uint64(1) << number[later].astype(np.uint64))
+    chosen = first[same]
+    if not len(chosen):
+        return bits
+    _, group = np.unique(own["key"][chosen], return_inverse=True)
+    # grams one after another, some at a time: the memory of a round has a bound
+    cuts = [0]
+    for at in np.flatnonzero(np.diff(group)) + 1:
+        if at - cuts[-1] > ROUND:
+            cuts.append(int(at))
+    for a, b in zip(cuts, [*cuts[1:], len(chosen)], strict=True):
+        part = chosen[a:b]
+        count = own["windows"][part].astype(np.int64)
+        piece = bytes_of(data, start[order[part]], count + depth - 1)
+        begin = np.cumsum(count + depth - 1) - (count + depth - 1)
+        owner = np.repeat(np.arange(len(part)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        bucket = refined(piece, begin[owner] + place, group[a:b][owner], depth)
+        met = np.flatnonzero(bucket >= 0)
+        if len(met):
+            least = np.full(int(bucket[met].max()) + 1, LAST)
+            document = own["document"][part][owner[met]]
+            np.minimum.at(least, bucket[met], document)
+            hit = met[least[bucket[met]] < document]
+            found = np.zeros(len(part), np.uint64)
+            np.bitwise_or.at(found, owner[hit], np.uint64(1) << place[hit].astype(np.uint64))
+            bits[order[part]] |= found
     return bits
 
 
@@ -272,7 +296,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not GRAM <= depth <= GRAM + 63:
         raise ValueError(f"depth must be between {GRAM} and {GRAM + 63}")
     sized = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = parts = max(1, sized // shard_bytes)
+    shards, parts = max(1, sized // shard_bytes), max(1, 2 * sized // shard_bytes)
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = dealt.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), "id", "text").groupBy("shard")
 
@@ -323,7 +347,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         out = [(owners[k], key[0].as_py(), to_keys(every[m]), None) for k, m in split(np.where(kept, owner, -2)) if k >= 0]
         return rows(answer, *zip(*out, strict=True)) if out else answer.empty_table()
 
-    def surviving(shard: Shard, answers: pa.Table) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray]:
+    def surviving(shard: Shard, answers: pa.Table) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         known = {p: np.sort(from_keys(k)) for p, k, i in zip(*(answers.column(c).to_pylist() for c in ("part", "keys", "indexes")), strict=True) if i is None}
         found = [windows_of(shard, depth, None)]
         w = found[0]
@@ -342,11 +366,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not table.num_rows or not answers.num_rows:
             return context.empty_table()
         shard, out = ordered(table), []
-        w, part, chosen, _ = surviving(shard, answers)
+        w, part, chosen, _, sums = surviving(shard, answers)
         for p, members in split(part[chosen]):
             runs = chosen[members]
             heads = np.empty(len(runs), CONTEXT)
-            heads["key"], heads["index"], heads["document"] = w.hash[runs] & LOW, members, shard.ids[w.text[runs]]
+            heads["key"], heads["sum"], heads["index"], heads["document"] = w.hash[runs] & LOW, sums[runs], members, shard.ids[w.text[runs]]
             heads["lead"], heads["windows"] = w.lead[runs], w.count[runs]
             data = bytes_of(shard.data, w.first[runs], w.count[runs] + depth - 1)
             out.append((p, key[0].as_py(), compressed(heads.tobytes()), compressed(data.tobytes())))
@@ -374,7 +398,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not table.num_rows:
             return final.empty_table()
         shard = ordered(table)
-        w, _, chosen, number = surviving(shard, answers)
+        w, _, chosen, number, _ = surviving(shard, answers)
         bits = np.zeros(len(chosen), np.uint64)
         for packed in answers.column("indexes").to_pylist():
             if packed is not None:
