@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobath.plans import daily
+from isobath.plans import daily, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (daily,)
+MODULES = (daily, spatial)
 
 flagship = daily.monthly_anomaly
 
