@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobath.plans import daily, spatial
+from isobath.plans import daily, features, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (daily, spatial)
+MODULES = (daily, spatial, features)
 
 flagship = daily.monthly_anomaly
 
