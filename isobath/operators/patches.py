@@ -144,7 +144,7 @@ def patch_table(cells: DataFrame, rule: PatchRule, found: DataFrame | None = Non
     m = placed.groupBy(*by).agg(*[(F.sum(e * w) / F.sum(w)).alias(n) for n, e in {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}.items()])
     a, b, c = F.col("xx") - F.col("x") * F.col("x"), F.col("xy") - F.col("x") * F.col("y"), F.col("yy") - F.col("y") * F.col("y")
     half = F.sqrt((a - c) * (a - c) / 4 + b * b)
-    shape = m.select(*by, F.greatest((a + c) / 2 + half, F.lit(0.0)).alias("major"), F.greatest((a + c) / 2 - half, F.lit(0.0)).alias("minor"), (F.pmod(F.degrees(F.atan2(2 * b, a - c)) / 2 + 90.0, F.lit(180.0)) - 90.0).alias("turn"), F.sqrt(F.col("xx") + F.col("yy")).alias("centroid_dispersion_km"))
+    shape = m.select(*by, F.greatest((a + c) / 2 + half, F.lit(0.0)).alias("major"), F.greatest((a + c) / 2 - half, F.lit(0.0)).alias("minor"), (F.pmod(F.round(F.degrees(F.atan2(2 * b, a - c)) / 2, 9) + 90.0, F.lit(180.0)) - 90.0).alias("turn"), F.sqrt(F.col("xx") + F.col("yy")).alias("centroid_dispersion_km"))
     region = cells.withColumn("area", C.cell_area_km2(F.col("lat"), rule.step, rule.step)).groupBy("date").agg(F.sum(F.when(F.col("value").isNotNull(), w)).alias("valid_area"), F.sum(w).alias("domain_area"))
     out = first.join(quantiles, by).join(shape, by).join(exposed_edges(found, rule), by).join(region, "date")
     eps = 1e-6

@@ -82,7 +82,7 @@ def patch_features(cells: DataFrame, threshold: float, kind: str = "queen", mini
         "date", F.coalesce("patch_count", F.lit(0)).alias("patch_count"), zero("total_threshold_area"), zero("largest_patch_area"), (F.col("largest_patch_area") / F.col("total_threshold_area")).alias("largest_patch_fraction"),
         (F.coalesce("patch_count", F.lit(0)) / F.col("valid_area")).alias("patch_density"), zero("mean_patch_area"), zero("patch_area_standard_deviation"), zero("fragmentation_index"),
         (1 - F.coalesce("inner", F.lit(0)) / F.col("cells")).alias("edge_cell_fraction"), F.sqrt(a + c).alias("centroid_dispersion"),
-        F.when(major > 1e-9, F.pmod(F.degrees(F.atan2(2 * b, a - c)) / 2 + 90.0, F.lit(180.0)) - 90.0).alias("orientation"), F.when(minor > 1e-9, F.sqrt(major / minor)).alias("elongation"),
+        F.when(major > 1e-9, F.pmod(F.round(F.degrees(F.atan2(2 * b, a - c)) / 2, 9) + 90.0, F.lit(180.0)) - 90.0).alias("orientation"), F.when(minor > 1e-9, F.sqrt(major / minor)).alias("elongation"),
     )
 
 

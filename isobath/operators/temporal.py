@@ -75,8 +75,8 @@ def simple_features(rows: DataFrame, *, change_threshold: float = 0.5, level: fl
     entropy = bins.groupBy(*key).agg((-F.sum(F.col("share") * F.log2("share")) + 0.0).alias("shannon_entropy"))
     wide = wide.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))]).drop("q")
     mad = sized.join(wide.select(*key, "median"), key).groupBy(*key).agg(F.percentile(F.abs(v - F.col("median")), 0.5).alias("mad"))
-    r = F.col("lag1_autocorrelation")
-    wide = wide.withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("p90_minus_p10", F.col("p90") - F.col("p10")).withColumn("decorrelation_time", F.when((r > 0) & (r < 1), -1.0 / F.ln(r)))
+    r = F.col("lag1_autocorrelation")  # two pairs correlate fully, but for rounding
+    wide = wide.withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("p90_minus_p10", F.col("p90") - F.col("p10")).withColumn("decorrelation_time", F.when((r > 0) & (r < 1 - 1e-9), -1.0 / F.ln(r)))
     return wide.join(entropy, key).join(mad, key)
 
 

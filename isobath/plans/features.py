@@ -48,7 +48,7 @@ TEMPORAL_FEATURES = rounded(
 m AS (SELECT "end", days, median(abs(v - median)) AS mad FROM z JOIN a USING ("end", days) GROUP BY ALL),
 b AS (SELECT "end", days, CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * 10), 9) ELSE 5 END AS bin, count(*) AS c FROM z GROUP BY ALL),
 h AS (SELECT "end", days, -sum(s * log2(s)) AS shannon_entropy FROM (SELECT *, c / sum(c) OVER (PARTITION BY "end", days) AS s FROM b) GROUP BY ALL)
-SELECT a.*, p75 - p25 AS iqr, p90 - p10 AS p90_minus_p10, mad, CASE WHEN lag1_autocorrelation > 0 AND lag1_autocorrelation < 1 THEN -1 / ln(lag1_autocorrelation) END AS decorrelation_time, shannon_entropy FROM a JOIN m USING ("end", days) JOIN h USING ("end", days) WHERE n >= 5""",
+SELECT a.*, p75 - p25 AS iqr, p90 - p10 AS p90_minus_p10, mad, CASE WHEN lag1_autocorrelation > 0 AND lag1_autocorrelation < 1 - 1e-9 THEN -1 / ln(lag1_autocorrelation) END AS decorrelation_time, shannon_entropy FROM a JOIN m USING ("end", days) JOIN h USING ("end", days) WHERE n >= 5""",
     ", ".join([*_SIMPLE, *_DERIVED]),
     '"end", CAST(days AS BIGINT) AS days, n',
 )

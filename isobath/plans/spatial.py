@@ -46,7 +46,7 @@ def patch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q = quantile_sql("found", "date, patch_id", "value", "area", {"median_source_value": 0.5, "p10": 0.1, "p90": 0.9})
 _R = "6371.0088"
 _TABLE = f"""q AS ({_Q}),
-f AS (SELECT date, patch_id, count(*) AS cell_count, sum(area) AS area_km2, sum(lat * area) / sum(area) AS centroid_latitude, degrees(atan2(sum(area * sin(radians(lon))), sum(area * cos(radians(lon))))) AS centroid_longitude, sum(value * area) / sum(area) AS mean_source_value, min(value) AS minimum_source_value, max(value) AS maximum_source_value, sum(exceedance * area) / sum(area) AS mean_exceedance, max(exceedance) AS maximum_exceedance, sum(exceedance * area) AS cumulative_exceedance_km2_units, bool_or(row = 11) AS touches_north_boundary, bool_or(row = 0) AS touches_south_boundary, bool_or(col = 11) AS touches_east_boundary, bool_or(col = 0) AS touches_west_boundary FROM found GROUP BY ALL),
+f AS (SELECT date, patch_id, count(*) AS cell_count, sum(area) AS area_km2, sum(lat * area) / sum(area) AS centroid_latitude, degrees(atan2(sum(area * sin(radians(lon))), sum(area * cos(radians(lon))))) AS centroid_longitude, sum(value * area) / sum(area) AS mean_source_value, min(value) AS minimum_source_value, max(value) AS maximum_source_value, sum(exceedance * area) / sum(area) AS mean_exceedance, max(exceedance) AS maximum_exceedance, sum(exceedance * area) AS cumulative_exceedance_km2_units, bool_or(row = (SELECT max(row) FROM cells)) AS touches_north_boundary, bool_or(row = 0) AS touches_south_boundary, bool_or(col = (SELECT max(col) FROM cells)) AS touches_east_boundary, bool_or(col = 0) AS touches_west_boundary FROM found GROUP BY ALL),
 xy AS (SELECT x.date, x.patch_id, area, {_R} * radians(lon - centroid_longitude) * cos(radians(centroid_latitude)) AS x, {_R} * radians(lat - centroid_latitude) AS y FROM found x JOIN f USING (date, patch_id)),
 m AS (SELECT date, patch_id, sum(x * x * area) / sum(area) AS xx, sum(y * y * area) / sum(area) AS yy, sum(x * y * area) / sum(area) AS xy, sum(x * area) / sum(area) AS mx, sum(y * area) / sum(area) AS my FROM xy GROUP BY ALL),
 v AS (SELECT *, xx - mx * mx AS a, xy - mx * my AS b, yy - my * my AS c FROM m),
@@ -54,7 +54,7 @@ e AS (SELECT *, greatest((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b), 0) A
 sides AS (SELECT date, patch_id, row, col, row + dr AS r2, col + dc AS c2, CASE WHEN dr = -1 THEN {_R} * radians(1.0) * cos(radians(lat - 0.5)) WHEN dr = 1 THEN {_R} * radians(1.0) * cos(radians(lat + 0.5)) ELSE {_R} * radians(1.0) END AS len FROM found, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS t(dr, dc)),
 bare AS (SELECT * FROM sides s WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.date = s.date AND f.patch_id = s.patch_id AND f.row = s.r2 AND f.col = s.c2)),
 p AS (SELECT date, patch_id, sum(len) AS perimeter_km, count(DISTINCT (row, col)) AS edge_cells FROM bare GROUP BY ALL),
-tab AS (SELECT f.*, median_source_value, p10, p90, perimeter_km, 4 * pi() * area_km2 / (perimeter_km * perimeter_km) AS compactness, CASE WHEN major > 1e-6 THEN (degrees(atan2(2 * b, a - c)) / 2 + 90 + 180) % 180 - 90 END AS orientation_degrees, CASE WHEN major > 1e-6 AND minor > 1e-6 THEN sqrt(major / minor) END AS elongation, 4 * sqrt(major) AS major_axis_length_km, 4 * sqrt(minor) AS minor_axis_length_km, sqrt(xx + yy) AS centroid_dispersion_km, edge_cells / cell_count AS edge_cell_fraction, CASE WHEN minor > 1e-6 THEN 'valid' ELSE 'warning' END AS status FROM f JOIN q USING (date, patch_id) JOIN e USING (date, patch_id) JOIN p USING (date, patch_id))"""
+tab AS (SELECT f.*, median_source_value, p10, p90, perimeter_km, 4 * pi() * area_km2 / (perimeter_km * perimeter_km) AS compactness, CASE WHEN major > 1e-6 THEN (round(degrees(atan2(2 * b, a - c)) / 2, 9) + 90 + 180) % 180 - 90 END AS orientation_degrees, CASE WHEN major > 1e-6 AND minor > 1e-6 THEN sqrt(major / minor) END AS elongation, 4 * sqrt(major) AS major_axis_length_km, 4 * sqrt(minor) AS minor_axis_length_km, sqrt(xx + yy) AS centroid_dispersion_km, edge_cells / cell_count AS edge_cell_fraction, CASE WHEN minor > 1e-6 THEN 'valid' ELSE 'warning' END AS status FROM f JOIN q USING (date, patch_id) JOIN e USING (date, patch_id) JOIN p USING (date, patch_id))"""
 PATCH_TABLE = rounded(f"{WITH}, {_TABLE} SELECT * FROM tab", ", ".join(_PATCH_COLUMNS[1:]), "date, patch_id, cell_count, status, touches_north_boundary, touches_south_boundary, touches_east_boundary, touches_west_boundary", 4)
 
 
