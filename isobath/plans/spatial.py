@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobath.operators import daily, patches, spatial, tracks
+from isobath.operators import assembly, daily, patches, spatial, tracks
 from isobath.plans.common import quantile_sql, report, rounded
 from isobath.sources.driver_tables import FULL_SQL, full_grid, grid_cells, grid_sql
 
@@ -234,7 +234,20 @@ SELECT *, {_case(1, "'unclassified'")} AS class, {_case(2, "'not_calculated'")}
 )
 
 
+def spatial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spatial features of the anomalies in the long form."""
+    cells = daily.time_mean_anomalies(full_grid(grid_cells(spark, sf_dir))).drop("value").withColumnRenamed("anomaly", "value")
+    return report(assembly.spatial_feature_table(cells, variable="anomaly", unit="degrees_Celsius", threshold=4.0, kind="rook"))
+
+
+def track_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, found = _found(spark, sf_dir)
+    table = patches.patch_table(cells, RULE, found)
+    return report(assembly.track_labels(found, tracks.lineage(table, tracks.links(found, table, LINKS))[0]))
+
+
 QUERIES = {
+    "spatial_features": (spatial_features, None), "track_labels": (track_labels, None),
     "patch_labels": (patch_labels, PATCH_LABELS), "patch_table": (patch_table, PATCH_TABLE), "patch_summary": (patch_summary, PATCH_SUMMARY), "patch_links": (patch_links, PATCH_LINKS),
     "lineage_nodes": (lineage_nodes, None), "lineage_edges": (lineage_edges, None), "track_table": (track_table, None), "family_table": (family_table, None),
     "moran_rook": (moran_rook, MORAN_ROOK), "moran_queen": (moran_queen, MORAN_QUEEN), "local_texture": (local_texture, LOCAL_TEXTURE), "thermal_gradient": (thermal_gradient, THERMAL_GRADIENT),

@@ -48,7 +48,7 @@ def indexed(cells: DataFrame) -> DataFrame:
     def axis(coordinate: str, name: str) -> DataFrame:
         return cells.select(coordinate).distinct().select(coordinate, (F.row_number().over(Window.orderBy(coordinate)) - 1).alias(name))
 
-    return cells.join(F.broadcast(axis("lat", "row")), "lat").join(F.broadcast(axis("lon", "col")), "lon")  # one row per grid line
+    return cells.drop("row", "col").join(F.broadcast(axis("lat", "row")), "lat").join(F.broadcast(axis("lon", "col")), "lon")  # one row per grid line
 
 
 def repeated_longitudes(cells: DataFrame) -> DataFrame:
