@@ -41,7 +41,8 @@ GRAMS, DOCS = 8192, 512
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """Rows that are kept from learning; a row without id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 class Model(NamedTuple):

@@ -1,8 +1,9 @@
 """WARC archives: writing segmented records, and reading them back whole.
 
-Reading goes through Spark's text source, so it works wherever Spark can read, plain or gzip, one
-member a file or one a record.  A file's lines arrive in order (a compressed file is never split)
-and ``Content-Length`` cuts them into records, so a task holds one record at a time.  Records that
+Reading goes through Spark's text source, so it works wherever Spark can read: gzip, one member a
+file or one a record, or plain.  A compressed file is never split, so its lines arrive in order; a
+plain one's are shuffled by file and sorted.  ``Content-Length`` cuts lines into records, so a task
+holds one record at a time.  Records that
 carry segment numbers are grouped by their origin's identifier, ordered by number and joined; the
 number of segments and the total length are verified.  At last chunked transfer framing is decoded.
 
@@ -184,8 +185,15 @@ def row_batch(rows: list[tuple[dict[str, str], bytes, str | None]]) -> pa.Record
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of every file below ``path`` as they are stored, segments apart."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"))
+    """The records of every ``.gz`` and ``.warc`` file below ``path`` as they are stored, segments apart."""
+
+    def lines(names: str) -> DataFrame:
+        text = spark.read.option("lineSep", "\n").option("pathGlobFilter", names).text(path)
+        place = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+        return text.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"), place[0].alias("block"), place[1].alias("at"))
+
+    # Spark splits plain files: their lines are brought together again, in order
+    plain = lines("*.warc").repartition("file").sortWithinPartitions("file", "block", "at")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, last, rows, size = Cutter(), None, [], 0
@@ -208,7 +216,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         rows += [x] if (x := cutter.end()) else []
         yield row_batch(rows)
 
-    return lines.mapInArrow(cut_up, RECORD)
+    stored = [lines("*.gz").select("line", "file"), plain.select("line", "file")]
+    return stored[0].mapInArrow(cut_up, RECORD).unionByName(stored[1].mapInArrow(cut_up, RECORD))
 
 
 def joined(parts: list[tuple[int, dict[str, str], bytes, str | None]]) -> tuple[dict[str, str], bytes, str | None]:

@@ -96,3 +96,18 @@ def test_query_against_brute_force(spark):
         last[p] = max(i, last.get(p, i))
     expected = {(i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", last[p]) if len(p) >= 1000 and last[p] != i else ("response", None))) for i, p in pages.items()}
     assert {tuple(r) for r in op1_warc(spark, SF).collect()} == expected
+
+
+def test_plain_files_that_spark_splits(spark, tmp_path):
+    rng = random.Random(4)
+    payloads = {f"urn:x:{i}": b"\n".join(rng.randbytes(rng.randint(0, 300)) for _ in range(20)) for i in range(60)}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b.warc").write_bytes(b"".join(W.record(*response(n, p, 100)) + b"\r\n\r\n" for n, p in payloads.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9001")
+    try:
+        records = W.read_records(spark, str(tmp_path / "a"))
+        rows = W.payloads(W.reassembled(records)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["record_id"]: bytes(r["payload"]) for r in rows} == payloads and {r["problem"] for r in rows} == {None}
