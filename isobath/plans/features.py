@@ -70,11 +70,8 @@ SELECT "end", median(rise / run) AS theil_sen_slope, sum(sign(rise)) / nullif(sq
 
 
 def temporal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 48 features of the last year in the long form with status and reason."""
-    series = _series(spark, sf_dir)
-    last = series.agg(F.date_sub(F.max("date"), 60).alias("d"))
-    recent = series.join(F.broadcast(last), F.col("date") > F.col("d")).drop("d")  # one row
-    return report(temporal.feature_table(recent, windows=(7, 30)))
+    """All 48 features of every end date in the long form with status and reason."""
+    return report(temporal.feature_table(_series(spark, sf_dir), windows=DAYS))
 
 
 def exceedance_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,3 +305,32 @@ def test_streaming_runs_continue_over_batches(spark, tmp_path):
         query.awaitTermination()
     closed = [(r["start"], r["end"], r["days"], r["maximum"]) for r in out if not r["open"]]
     assert closed == [(days(6)[1], days(6)[3], 3, 3.0)] and sum(r["open"] for r in out) == 2
+
+
+def test_number_tokens_against_a_plain_pattern(spark):
+    import re
+
+    from isobath.plans.features import number_tokens
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    expected = [(i, k, m[0]) for i, t in docs.items() for k, m in enumerate(re.finditer(r"(?<![A-Za-z0-9_])[-+]?[0-9]+(?:[.,][0-9]+)?(?: *%)?", t))]
+    assert sorted((r["text_id"], r["position"], r["token"]) for r in number_tokens(spark, sf).collect()) == sorted(expected)
+
+
+def test_all_temporal_features_of_one_window_by_hand(spark):
+    rng = random.Random(11)
+    dates = [d for d in days(40) if rng.random() < 0.8]
+    values = [round(rng.gauss(0, 2), 3) for _ in dates]
+    rows = spark.createDataFrame([("m", d, v) for d, v in zip(dates, values, strict=True)], "metric string, date date, value double")
+    got = {r["metric"]: r["value"] for r in temporal.feature_table(rows, windows=(40,)).where(F.col("analysis_end_date") == dates[-1]).collect()}
+    v, gaps = np.array(values), np.diff([d.toordinal() for d in dates])
+    one = gaps == 1
+    step = np.diff(v)
+    expected = {
+        "mean": v.mean(), "p10": np.quantile(v, 0.1), "mad": np.median(abs(v - np.median(v))), "rmssd": math.sqrt((step[one] ** 2).mean()), "sign_change_count": sum(o and a * b < 0 for o, a, b in zip(one, v, v[1:], strict=False)),
+        "turning_point_count": sum(one[:-1] & one[1:] & (step[:-1] * step[1:] < 0)), "lag1_autocorrelation": np.corrcoef(v[:-1][one], v[1:][one])[0, 1], "state_transition_count": sum(one & ((v[1:] > 0) != (v[:-1] > 0))),
+        "theil_sen_slope": np.median([(v[j] - v[i]) / (dates[j] - dates[i]).days for i in range(len(v)) for j in range(i + 1, len(v))]),
+    }
+    for name, value in expected.items():
+        assert math.isclose(got[name], value, rel_tol=1e-9), name
