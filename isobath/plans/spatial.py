@@ -178,8 +178,23 @@ SELECT f.*, sqrt(d) AS centroid_dispersion FROM f JOIN (SELECT date, sum(e * (po
 
 
 def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(spatial.patch_features(grid_cells(spark, sf_dir), 30.0, "rook", 3))
-
+    return report(spatial.patch_features(grid_cells(spark, sf_dir), 30.0, "rook", 3), 4)
+
+
+PATCH_FEATURES = rounded(
+    f"""{WITH}, k AS (SELECT *, cos(radians(lat)) AS w FROM found), ar AS (SELECT date, patch_id, sum(w) AS a FROM k GROUP BY ALL),
+t AS (SELECT date, count(*) AS patch_count, sum(a) AS total_threshold_area, max(a) AS largest_patch_area, avg(a) AS mean_patch_area, stddev_pop(a) AS patch_area_standard_deviation, 1 - sum(a * a) / (sum(a) * sum(a)) AS fragmentation_index FROM ar GROUP BY date),
+i AS (SELECT date, count(*) AS inn FROM (SELECT a.date, a.row, a.col FROM k a JOIN k b ON a.date = b.date AND abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY ALL HAVING count(*) = 4) GROUP BY date),
+c AS (SELECT date, sum(w * lon) / sum(w) AS x, sum(w * lat) / sum(w) AS y, count(*) AS n FROM k GROUP BY date),
+m AS (SELECT date, sum(w * (lon - x) * (lon - x)) / sum(w) AS a, sum(w * (lon - x) * (lat - y)) / sum(w) AS b, sum(w * (lat - y) * (lat - y)) / sum(w) AS c FROM k JOIN c USING (date) GROUP BY date),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS major, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS minor FROM m),
+v AS (SELECT date, sum(cos(radians(lat))) AS va FROM cells GROUP BY date)
+SELECT v.date, coalesce(patch_count, 0) AS patch_count, coalesce(total_threshold_area, 0) AS total_threshold_area, coalesce(largest_patch_area, 0) AS largest_patch_area, largest_patch_area / total_threshold_area AS largest_patch_fraction, coalesce(patch_count, 0) / va AS patch_density, coalesce(mean_patch_area, 0) AS mean_patch_area, coalesce(patch_area_standard_deviation, 0) AS patch_area_standard_deviation, coalesce(fragmentation_index, 0) AS fragmentation_index,
+1 - coalesce(inn, 0) / n AS edge_cell_fraction, sqrt(a + c) AS centroid_dispersion, CASE WHEN major > 1e-9 THEN (round(degrees(atan2(2 * b, a - c)) / 2, 9) + 90 + 180) % 180 - 90 END AS orientation, CASE WHEN minor > 1e-9 THEN sqrt(major / minor) END AS elongation FROM v LEFT JOIN t USING (date) LEFT JOIN i USING (date) LEFT JOIN c USING (date) LEFT JOIN e USING (date)""",
+    "total_threshold_area, largest_patch_area, largest_patch_fraction, patch_density, mean_patch_area, patch_area_standard_deviation, fragmentation_index, edge_cell_fraction, centroid_dispersion, orientation, elongation",
+    "date, patch_count",
+    4,
+)
 
 CLASSES = spatial.ClassRule(strong_signal_c=2.0, weak_signal_c=0.8, neutral_band_c=0.5, heterogeneous_sd_c=6.0, minimum_coverage=0.75, minimum_signal_heterogeneity_ratio=0.3, dominant_patch_fraction=0.9)
 
@@ -251,5 +266,5 @@ QUERIES = {
     "patch_labels": (patch_labels, PATCH_LABELS), "patch_table": (patch_table, PATCH_TABLE), "patch_summary": (patch_summary, PATCH_SUMMARY), "patch_links": (patch_links, PATCH_LINKS),
     "lineage_nodes": (lineage_nodes, None), "lineage_edges": (lineage_edges, None), "track_table": (track_table, None), "family_table": (family_table, None),
     "moran_rook": (moran_rook, MORAN_ROOK), "moran_queen": (moran_queen, MORAN_QUEEN), "local_texture": (local_texture, LOCAL_TEXTURE), "thermal_gradient": (thermal_gradient, THERMAL_GRADIENT),
-    "threshold_features": (threshold_features, THRESHOLD_FEATURES), "patch_features": (patch_features, None), "representativeness": (representativeness, REPRESENTATIVENESS),
+    "threshold_features": (threshold_features, THRESHOLD_FEATURES), "patch_features": (patch_features, PATCH_FEATURES), "representativeness": (representativeness, REPRESENTATIVENESS),
 }
