@@ -40,19 +40,21 @@ from isobath.llm.anchors import DEPTH, GRAM, text_anchors
 from isobath.llm.common import text_bytes
 
 SHARD_BYTES = 8 << 20
+#: Odd numbers whose powers weigh the bytes of a context.
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: Contexts that are refined in one round.
 ROUND = 1 << 15
 LAST = np.iinfo(np.int64).max
 #: Bytes of a hash that travel; parts are dealt by the others, so all 64 bits tell.
 KEY = 6
-CONTEXT = np.dtype([("key", "<u8"), ("sum", "<u8"), ("index", "<u4"), ("document", "<i8"), ("lead", "u1"), ("windows", "u1")])
+CONTEXT = np.dtype([("key", "<u8"), ("index", "<u4"), ("document", "<i8"), ("lead", "u1"), ("windows", "u1")])
 ANSWER = np.dtype([("index", "<u4"), ("bits", "<u8")])
 
 
 def compressed(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def expanded(data: bytes) -> bytes:
@@ -61,6 +63,36 @@ def expanded(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def planes(rows: np.ndarray) -> bytes:
+    """Rows by byte planes: what is alike in all of them lies together."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+def range_sums(data: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit sum of each byte range: every byte times a power of its place in the range.
+
+    Ranges are ordered by their start; some thousands at a time share the sums of the bytes between.
+    """
+    out = np.empty(len(first), np.uint64)
+    for begin in range(0, len(first), 1 << 13):
+        a, b = first[begin : begin + (1 << 13)], end[begin : begin + (1 << 13)]
+        low = int(a.min())
+        piece = data[low : int(b.max())]
+        powers = np.full(len(piece) + 1, np.uint64(base))
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
+        # aligned at the piece's end rather than divided: no inverse is needed for each
+        aligned = (total[b - low] - total[a - low]) * powers[len(piece) - (a - low)]
+        out[begin : begin + (1 << 13)] = aligned * _inverse_power(base, len(piece))
+    return out
+
+
 def to_keys(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
 
@@ -123,31 +155,15 @@ def windows_of(shard: Shard, depth: int, keep: np.ndarray | None) -> Windows:
     return Windows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct context a run that has it, of the least document; per run its context's number and sum.
+def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct context a run that has it, of the least document; and per run its context's number.
 
     A context is the bytes of a run's windows; contexts agree if anchor, shape and two 64-bit sums
     of their bytes, each byte times a power of its place, do.
     """
     if not len(w.first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    end = w.first + w.count + depth - 1
-    sums = []
-    for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        out = np.empty(len(w.first), np.uint64)
-        for begin in range(0, len(w.first), 1 << 16):  # runs are in the text's order: a slice of it at a time
-            a, b = w.first[begin : begin + (1 << 16)], end[begin : begin + (1 << 16)]
-            low = int(a.min())
-            piece = shard.data[low : int(b.max())]
-            powers = np.full(len(piece) + 1, np.uint64(base))
-            powers[0] = 1
-            np.cumprod(powers, out=powers)
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
-            # aligned at the piece's end rather than divided: no inverse is needed
-            out[begin : begin + (1 << 16)] = (total[b - low] - total[a - low]) * powers[len(piece) - (a - low)]
-            out[begin : begin + (1 << 16)] *= _inverse_power(base, len(piece))
-        sums.append(out)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = [range_sums(shard.data, w.first, w.first + w.count + depth - 1, base) for base in BASES]
     shape = (w.lead.astype(np.uint64) << np.uint64(8)) | w.count.astype(np.uint64)
     mixed = (w.hash ^ shape * np.uint64(0xBF58476D1CE4E5B9)) + sums[0]
     order = np.lexsort((shard.ids[w.text], sums[1], mixed))
@@ -155,7 +171,7 @@ def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray,
     new[1:] = (mixed[order][1:] != mixed[order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    return order[new], number, sums[0] ^ (sums[1] << np.uint64(1))
+    return order[new], number
 
 
 def _inverse_power(base: int, n: int) -> np.uint64:
@@ -233,10 +249,12 @@ def earlier(contexts: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
     bits = np.zeros(len(contexts), np.uint64)
     if not len(contexts):
         return bits
-    order = np.lexsort((contexts["document"], contexts["sum"], contexts["key"]))
-    own = contexts[order]
+    sums = [range_sums(data, start, start + size, base) for base in BASES]
+    sums = sums[0] ^ (sums[1] << np.uint64(1))
+    order = np.lexsort((contexts["document"], sums, contexts["key"]))
+    own, sums = contexts[order], sums[order]
     new = np.ones(len(order), bool)
-    new[1:] = (own["key"][1:] != own["key"][:-1]) | (own["sum"][1:] != own["sum"][:-1]) | (own["lead"][1:] != own["lead"][:-1]) | (own["windows"][1:] != own["windows"][:-1])
+    new[1:] = (own["key"][1:] != own["key"][:-1]) | (sums[1:] != sums[:-1]) | (own["lead"][1:] != own["lead"][:-1]) | (own["windows"][1:] != own["windows"][:-1])
     first = np.flatnonzero(new)
     number = np.cumsum(new) - 1
     # a context that a smaller document has too goes whole
@@ -288,7 +306,14 @@ def removed_bytes(shard: Shard, w: Windows, chosen: np.ndarray, number: np.ndarr
             hit = some[(bits[number[some]] >> np.uint64(k)) & np.uint64(1) != 0]
             np.add.at(starts, w.first[hit] + k, 1)
             np.add.at(starts, w.first[hit] + k + depth, -1)
-    return np.cumsum(starts[:-1]) > 0
+    return np.cumsum(starts[:-1], dtype=np.int32) > 0
+
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of each text's bytes are flagged."""
+    total = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=total[1:])
+    return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, texts: bool = False) -> DataFrame:
@@ -347,7 +372,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         out = [(owners[k], key[0].as_py(), to_keys(every[m]), None) for k, m in split(np.where(kept, owner, -2)) if k >= 0]
         return rows(answer, *zip(*out, strict=True)) if out else answer.empty_table()
 
-    def surviving(shard: Shard, answers: pa.Table) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def surviving(shard: Shard, answers: pa.Table) -> tuple[Windows, np.ndarray, np.ndarray, np.ndarray]:
         known = {p: np.sort(from_keys(k)) for p, k, i in zip(*(answers.column(c).to_pylist() for c in ("part", "keys", "indexes")), strict=True) if i is None}
         found = [windows_of(shard, depth, None)]
         w = found[0]
@@ -366,20 +391,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not table.num_rows or not answers.num_rows:
             return context.empty_table()
         shard, out = ordered(table), []
-        w, part, chosen, _, sums = surviving(shard, answers)
+        w, part, chosen, _ = surviving(shard, answers)
         for p, members in split(part[chosen]):
             runs = chosen[members]
             heads = np.empty(len(runs), CONTEXT)
-            heads["key"], heads["sum"], heads["index"], heads["document"] = w.hash[runs] & LOW, sums[runs], members, shard.ids[w.text[runs]]
+            heads["key"], heads["index"], heads["document"] = w.hash[runs] & LOW, members, shard.ids[w.text[runs]]
             heads["lead"], heads["windows"] = w.lead[runs], w.count[runs]
             data = bytes_of(shard.data, w.first[runs], w.count[runs] + depth - 1)
-            out.append((p, key[0].as_py(), compressed(heads.tobytes()), compressed(data.tobytes())))
+            out.append((p, key[0].as_py(), compressed(planes(heads)), compressed(data.tobytes())))
         return rows(context, *zip(*out, strict=True)) if out else context.empty_table()
 
     def decided(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """To each shard, its contexts' windows that a smaller document has."""
         owners = table.column("shard").to_pylist()
-        heads = [np.frombuffer(expanded(x), CONTEXT) for x in table.column("heads").to_pylist()]
+        heads = [from_planes(expanded(x), CONTEXT) for x in table.column("heads").to_pylist()]
         data = np.frombuffer(b"".join(expanded(x) for x in table.column("data").to_pylist()), np.uint8)
         every = np.concatenate(heads)
         bits = earlier(every, data, depth)
@@ -398,7 +423,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if not table.num_rows:
             return final.empty_table()
         shard = ordered(table)
-        w, _, chosen, number, _ = surviving(shard, answers)
+        w, _, chosen, number = surviving(shard, answers)
         bits = np.zeros(len(chosen), np.uint64)
         for packed in answers.column("indexes").to_pylist():
             if packed is not None:
@@ -409,8 +434,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         begins[1:] &= ~gone[:-1]
         edges = shard.offsets[:-1][shard.offsets[:-1] < len(gone)]
         begins[edges] = gone[edges]
-        counted = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
-        removed, spans = (c[shard.offsets[1:]] - c[shard.offsets[:-1]] for c in counted)
+        removed, spans = (per_text(x, shard.offsets) for x in (gone, begins))
         kept = [shard.data[a:b][~gone[a:b]].tobytes() for a, b in zip(shard.offsets[:-1].tolist(), shard.offsets[1:].tolist(), strict=True)]
         ids = pa.array(shard.ids, mask=shard.ids == LAST)
         columns = [ids, np.diff(shard.offsets), removed, spans, [hashlib.sha256(x).hexdigest() for x in kept], *([kept] if texts else [])]
