@@ -19,7 +19,7 @@ def report(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def rounded(query: str, doubles: str, others: str = "", digits: int = 6) -> str:
     """SQL with the columns ``doubles`` (comma-separated) of ``query`` rounded; ``query`` may begin with WITH."""
-    columns = [c.strip() for c in others.split(",") if c.strip()] + [f"round({c.strip()}, {digits}) + 0.0 AS {c.strip()}" for c in doubles.split(",") if c.strip()]
+    columns = [c.strip() for c in others.split(",") if c.strip()] + [f"CAST(round(CAST({c.strip()} AS DOUBLE), {digits}) AS DOUBLE) + 0.0 AS {c.strip()}" for c in doubles.split(",") if c.strip()]
     return f"SELECT {', '.join(columns)} FROM ({query}) AS q"
 
 

@@ -259,7 +259,9 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_flags(spark, sf_dir))
+    # days outside events have no number: as doubles, missing numbers are alike in both engines
+    numbers = ("event", "event_day", "event_age_calendar_days")
+    return report(_flags(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in numbers}))
 
 
 _FLAGS = f"""{SERIES_SQL}, s AS (SELECT date, value, (SELECT quantile_cont(value, 0.7) FROM series) AS threshold FROM series),
@@ -276,8 +278,8 @@ EVENT_FLAGS = rounded(
     f"""WITH {_FLAGS} SELECT date, value, threshold, exceeds AS exceeds_threshold, kept AND NOT exceeds AS observed_interruption, event, CASE WHEN kept THEN row_number() OVER m END AS event_day,
 CASE WHEN kept THEN date - min(date) OVER m + 1 END AS event_age_calendar_days, intensity, 1.0 AS valid_coverage, CASE WHEN jump THEN 'warning' ELSE 'valid' END AS status,
 CASE WHEN jump THEN 'Temporal discontinuity: ' || gap || '-day observation gap exceeds maximum 1' END AS reason FROM e WINDOW m AS (PARTITION BY event ORDER BY date)""",
-    "value, threshold, intensity, valid_coverage",
-    "date, exceeds_threshold, observed_interruption, event, event_day, event_age_calendar_days, status, reason",
+    "value, threshold, intensity, valid_coverage, event, event_day, event_age_calendar_days",
+    "date, exceeds_threshold, observed_interruption, status, reason",
 )
 
 
