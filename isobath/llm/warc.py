@@ -129,7 +129,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str, uri: Column, pay
 
     records = with_revisits(pages, id_col, uri, payload, least).mapInArrow(write, "record binary")
     # the bytes of a binary stay as they are in a string, and in what the text writer writes of it
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "THREE").text(path)
 
 
 RECORD = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("block", T.BinaryType()), T.StructField("problem", T.StringType())])
