@@ -104,11 +104,8 @@ def linked(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs``: id, ``print`` and ``component_id``, the least id that links reach."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least")), "distinct")
-    labels = components(linked(distinct))
+def labelled(rows: DataFrame, distinct: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """Per row (``id``, ``print``) its component's least id: ``distinct`` has the ``least`` of each ``print``, ``labels`` those with links."""
     named = distinct.join(labels.withColumnRenamed("node", "print"), "print")
     named = attach(named, ["label"], ["print"], {"component": (F.min("least"), F.min)}).select("print", "component")
     answer = distinct.join(named, "print", "left").select("print", F.coalesce("component", "least").alias("component"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(True).alias("known"))
@@ -116,3 +113,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = rows.select("print", F.lit(None).cast(rows.schema["id"].dataType).alias("component"), "id", F.lit(False).alias("known"))
     met = attach(asked.unionByName(answer).withColumnRenamed("component", "own"), ["print"], ["id"], {"component_id": (F.min("own"), F.min)})
     return met.where("not known").select(F.col("id").alias(id_col), "print", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Per row of ``docs``: id, ``print`` and ``component_id``, the least id that links reach."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle), "prints")
+    distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least")), "distinct")
+    return labelled(rows, distinct, components(linked(distinct)), id_col)
