@@ -8,6 +8,7 @@ Calendar gaps are never bridged: changes, runs and correlations use pairs one da
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOWS = (7, 15, 30, 90)
+#: The window of all dates up to the end date; its days are counted from the series' first date.
+ALL = "all"
 #: The 48 features by family, fixed names.
 FAMILIES = {
     "state": ("mean", "median", "minimum", "maximum", "p10", "p25", "p75", "p90"),
@@ -37,6 +40,15 @@ def windowed(series: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame
     return sent.join(ends, ["metric", "end"])
 
 
+def expanding(series: DataFrame) -> DataFrame:
+    """As ``windowed``, with one window per end date: from the first date of its series on."""
+    over = Window.partitionBy("metric")
+    sent = series.select("metric", "date", "value", F.min("date").over(over).alias("first"), F.max("date").over(over).alias("last")).where(F.col("value").isNotNull())
+    sent = sent.select("metric", "first", "date", "value", F.explode(F.sequence("date", "last")).alias("end"))
+    ends = series.select("metric", F.col("date").alias("end")).distinct()
+    return sent.join(ends, ["metric", "end"]).select("metric", "end", (F.datediff("end", "first") + 1).alias("days"), "date", "value")
+
+
 def simple_features(rows: DataFrame, *, change_threshold: float = 0.5, level: float = 0.0) -> DataFrame:
     """All features that aggregates and windows express, one wide row per (metric, end, days)."""
     key = ["metric", "end", "days"]
@@ -130,8 +142,21 @@ def _normal_quantile(p: float) -> float:
     return low
 
 
-def shaped_features(rows: DataFrame, spectral_minimum: int = 30) -> DataFrame:
-    """What aggregates don't express: slope bounds, Kendall's p and the spectrum, per window (90 days at most)."""
+def pair_trend(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
+    """``theil_sen`` of one window in memory."""
+    i, j = np.triu_indices(len(t), 1)
+    rise = v[j] - v[i]
+    if not len(rise):
+        return math.nan, math.nan
+    scale = math.sqrt(float(np.count_nonzero(rise)) * len(rise))
+    return float(np.median(rise / (t[j] - t[i]))), np.sign(rise).sum() / scale if scale else math.nan
+
+
+def shaped_features(rows: DataFrame, spectral_minimum: int = 30, trend: bool = False) -> DataFrame:
+    """What aggregates don't express: slope bounds, Kendall's p and the spectrum, per window.
+
+    With ``trend`` also what ``theil_sen`` gives: the pairs of long windows stay in memory, one window at a time.
+    """
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
@@ -142,25 +167,46 @@ def shaped_features(rows: DataFrame, spectral_minimum: int = 30) -> DataFrame:
             out[:3] = slope_bounds(t, v)
         if len(v) == key[2] and len(v) >= spectral_minimum and v.std() > 0:
             out[3:] = spectrum(v)
+        if trend:
+            out.extend(pair_trend(t, v))
         return pd.DataFrame([[*key, *out]], columns=names)
 
-    names = ["metric", "end", "days", "theil_sen_ci_lower", "theil_sen_ci_upper", "mann_kendall_p_value", *FAMILIES["complexity"][1:]]
+    names = ["metric", "end", "days", "theil_sen_ci_lower", "theil_sen_ci_upper", "mann_kendall_p_value", *FAMILIES["complexity"][1:], *(("theil_sen_slope", "mann_kendall_tau") if trend else ())]
     fields = "metric string, end date, days int, " + ", ".join(f"{n} double" for n in names[3:])
     return rows.groupBy("metric", "end", "days").applyInPandas(one, fields).select("metric", "end", "days", *[F.nanvl(n, F.lit(None)).alias(n) for n in names[3:]])
 
 
-def feature_table(series: DataFrame, *, windows: tuple[int, ...] = WINDOWS, minimum: int = 5, unit: str = "1", change_threshold: float = 0.5, level: float = 0.0) -> DataFrame:
-    """The long table of 48 features per metric, end date and window, with status and reason."""
-    rows = windowed(series, windows)
+def feature_table(series: DataFrame, *, windows: tuple[int | str, ...] = WINDOWS, minimum: int = 5, unit: str = "1", change_threshold: float = 0.5, level: float = 0.0, coefficient_of_variation_valid: bool = False) -> DataFrame:
+    """The long table of 48 features per metric, end date and window (days, or ``ALL``), with status and reason.
+
+    ``coefficient_of_variation_valid``: the values have a true zero, so the coefficient of variation is given.
+    """
     key = ["metric", "end", "days"]
-    every = series.select("metric", F.col("date").alias("end")).distinct().withColumn("days", F.explode(F.array(*[F.lit(w) for w in windows])))
-    wide = every.join(simple_features(rows, change_threshold=change_threshold, level=level), key, "left").join(theil_sen(rows), key, "left").join(shaped_features(rows), key, "left")
+    ends = series.select("metric", F.col("date").alias("end")).distinct()
+    parts = []
+    if fixed := tuple(w for w in windows if w != ALL):
+        rows = windowed(series, fixed)
+        every = ends.withColumn("days", F.explode(F.array(*[F.lit(w) for w in fixed])))
+        wide = every.join(simple_features(rows, change_threshold=change_threshold, level=level), key, "left").join(theil_sen(rows), key, "left").join(shaped_features(rows), key, "left")
+        parts.append(_long(wide, minimum, unit, coefficient_of_variation_valid))
+    if ALL in windows:
+        rows = expanding(series)
+        first = series.groupBy("metric").agg(F.min("date").alias("first"))
+        every = ends.join(first, "metric").select("metric", "end", (F.datediff("end", "first") + 1).alias("days"))
+        wide = every.join(simple_features(rows, change_threshold=change_threshold, level=level), key, "left").join(shaped_features(rows, trend=True), key, "left")
+        parts.append(_long(wide, minimum, unit, coefficient_of_variation_valid))
+    return reduce(DataFrame.union, parts)
+
+
+def _long(wide: DataFrame, minimum: int, unit: str, with_variation: bool) -> DataFrame:
     n = F.coalesce("n", F.lit(0))
+    # a mean of zero is one within 1e-8
+    variation = F.when(F.lit(with_variation) & (F.abs("mean") > 1e-8), F.col("standard_deviation") / F.abs("mean"))
     entries = []
     for family, names in FAMILIES.items():
         for name in names:
             few = (n < minimum) | (F.lit(family == "trend") & (n < max(3, minimum)))
-            value = F.lit(None).cast("double") if name == "coefficient_of_variation" else F.when(~few, F.col(name))
+            value = F.when(~few, variation if name == "coefficient_of_variation" else F.col(name))
             cover = F.coalesce("pairs", F.lit(0)) / F.greatest(F.lit(1), F.col("days") - 1) if family == "instability" else n / F.col("days")
             reason = F.when(few, F.format_string(f"Only %d finite observations; minimum is {minimum}", n)).when(value.isNull(), _missing_reason(family, name))
             own = _unit(family, name, unit)

@@ -70,8 +70,8 @@ SELECT "end", median(rise / run) AS theil_sen_slope, sum(sign(rise)) / nullif(sq
 
 
 def temporal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 48 features of every end date in the long form with status and reason."""
-    return report(temporal.feature_table(_series(spark, sf_dir), windows=DAYS))
+    """All 48 features of every end date and production window in the long form with status and reason."""
+    return report(temporal.feature_table(_series(spark, sf_dir), windows=(*temporal.WINDOWS, temporal.ALL)))
 
 
 def exceedance_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
