@@ -117,6 +117,11 @@ def decoded(column: pa.Array) -> list[str]:
         return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def decoded_sets(column: pa.Array) -> list[np.ndarray]:
+    """Arrays of 64-bit numbers from a binary column."""
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
 def arrow_type(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

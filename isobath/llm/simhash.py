@@ -91,17 +91,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(every, schema)
 
 
-def linked(prints: DataFrame) -> DataFrame:
-    """Links ``a`` < ``b`` that connect all distinct ``print`` values within two bits of each other."""
-    flips = F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")
-    one = F.expr("CASE WHEN bit < 64 THEN shiftleft(1L, bit) ELSE 0L END")
-    variants = prints.select("print", flips).select(F.col("print").bitwiseXOR(one).alias("variant"), one.alias("one"), (F.col("bit") == 64).alias("self"))
+def meeting(prints: DataFrame, bits: int = 64) -> DataFrame:
+    """``variant`` and ``members``, in order, of every variant at which several of the distinct ``print`` values meet.
+
+    Only the lowest ``bits`` bits are flipped: those above tell apart prints that are never to meet.
+    A variant has at most ``bits + 1`` members.
+    """
+    flips = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("bit")
+    one = F.expr(f"CASE WHEN bit < {bits} THEN shiftleft(1L, bit) ELSE 0L END")
+    variants = prints.select("print", flips).select(F.col("print").bitwiseXOR(one).alias("variant"), one.alias("one"), (F.col("bit") == bits).alias("self"))
     met = variants.groupBy("variant").agg(F.bit_or("one").alias("mask"), F.bool_or("self").alias("self"))
     met = met.where(F.bit_count("mask") + F.col("self").cast("int") > 1)
-    flipped = F.expr("transform(filter(sequence(0, 63), i -> getbit(mask, i) = 1), i -> variant ^ shiftleft(1L, i))")
-    members = F.array_sort(F.when(F.col("self"), F.concat(flipped, F.array("variant"))).otherwise(flipped))
-    pairs = met.select(members.alias("m")).select(F.col("m")[0].alias("a"), F.explode(F.expr("slice(m, 2, size(m))")).alias("b")).distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    flipped = F.expr(f"transform(filter(sequence(0, {bits - 1}), i -> getbit(mask, i) = 1), i -> variant ^ shiftleft(1L, i))")
+    return met.select("variant", F.array_sort(F.when(F.col("self"), F.concat(flipped, F.array("variant"))).otherwise(flipped)).alias("members"))
+
+
+def stars(met: DataFrame) -> DataFrame:
+    """Links ``a`` < ``b`` from the least member of each variant to the others."""
+    return met.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")).distinct()
+
+
+def linked(prints: DataFrame) -> DataFrame:
+    """Links ``a`` < ``b`` that connect all distinct ``print`` values within two bits of each other."""
+    return stars(meeting(prints)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
 def labelled(rows: DataFrame, distinct: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
