@@ -123,9 +123,11 @@ FROM n WINDOW same AS (PARTITION BY t)
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from isobath.llm.packing import pack
+    import public_tokenizers
+
+    from isobath.llm.packing import pack_texts
 
-    return pack(table(spark, sf_dir, "documents"), F.octet_length("text"))
+    return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:

@@ -88,6 +88,14 @@ class Splitter:
         parts = self.special.split(text)
         return [x for part in parts for x in self.part(part)], len(parts) - 1
 
+    def runs(self, text: str) -> list[tuple[str, bool]]:
+        """The text in order as special strings (true) and what lies between them."""
+        found, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            found += [(text[at : m.start()], False), (m[0], True)]
+            at = m.end()
+        return [*found, (text[at:], False)]
+
     def pieces(self, pre_tokens: list[str]) -> list[int]:
         self.tokenizer.encode_special_tokens = True
         try:
