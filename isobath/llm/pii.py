@@ -4,15 +4,17 @@
    ones (spelled-out addresses, national numbers, cards with other separators and so on).  All of a
    document's candidates are found in one pass over the table and written, with their context, to
    the shared folder; texts are not read again.
-2. Each candidate has a label by distant supervision, whether it passes the strict check of its
-   format (Luhn, ranges, digit counts, check sums), and binary features of format and context that
-   leave the check out.  Counts per (kind, features, label, fold) over all candidates, a table bounded by
-   ``2 ** len(FEATURES)`` patterns a kind, are all that the driver sees; boosted depth-2 trees with
-   logistic loss are fitted to them.
-3. Per kind the least threshold is taken at which candidates of the held-out fold have
-   ``precision``; without ``support`` such candidates the kind adds nothing.
+2. Binary features describe a candidate's format and context and leave the check out.  Boosted depth-2
+   trees with logistic loss are fitted to labelled examples (``pii_examples``: made by rule, ``EXAMPLES``
+   per looser generator, the same for every corpus), which pass through the same generators and
+   features.  The driver sees counts per (generator, features), at most one per example.
+3. Per looser generator the least threshold is taken at which the held-out examples have
+   ``precision``; where there is none, the generator adds nothing.
 4. Base spans that pass their check are always reported.  A looser candidate is added if it passes
-   its check, its score reaches the threshold and it overlaps no base span.
+   its check, its score reaches its generator's threshold and it overlaps no base span.
+
+Model and thresholds hang on nothing but the examples, so a text has the same spans in any table,
+however its rows lie.
 
 Everything is DataFrame and SQL functions.  Patterns are possessive and anchored at the start of a
 run, so they take linear time on any text, and match what the plain base patterns match.
@@ -24,17 +26,19 @@ of the input aren't returned.
 
 from __future__ import annotations
 
+import json
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobath.llm.common import cut
+from isobath.llm.pii_examples import EXAMPLES, examples
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 ROUNDS, RATE, SHRINK = 30, 0.3, 1.0
-PRECISION, SUPPORT = 0.98, 20
+PRECISION = 0.98
 CONTEXT = 24
 
 
@@ -46,6 +50,8 @@ class Generator(NamedTuple):
     pattern: str
     #: SQL over ``value``: the strict check.
     strict: str
+    #: Words that announce such a value.
+    cue: str = ""
 
 
 _BYTE = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -62,27 +68,38 @@ GENERATORS = (
     Generator("ip", "ip", r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", rf"value RLIKE '^0*{_BYTE}(?:\\.0*{_BYTE}){{3}}$'"),
     Generator("card", "card", r"(?:[0-9][ -]?){15}[0-9]", r"(?:\G|(?<![0-9]))(?=(?:[0-9][ -]?){15}[0-9])[0-9]++(?:[ -][0-9]++)*+", _LUHN),
     Generator("phone", "phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
-    Generator("email_words", "email", r"(?:\(dot\)|\[dot\]| dot )", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{1,63}+){1,5}", "value RLIKE '[ )\\\\]][A-Za-z]{2,}$'"),
-    Generator("ip6", "ip", "(?:[0-9A-Fa-f]{1,4}:){7}", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "true"),
-    Generator("card_wide", "card", r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])", _LUHN),
-    Generator("phone_local", "phone", r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "value RLIKE '^[(]?[2-9][0-9]{2}[)]?[ .-][2-9]'"),
-    Generator("ssn", "ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "value RLIKE '^(?!000|666|9)' AND value NOT LIKE '%-00-%' AND value NOT LIKE '%-0000'"),
-    Generator("iban", "iban", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _IBAN),
+    Generator("email_words", "email", r"(?:\(dot\)|\[dot\]| dot )", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{1,63}+){1,5}", "value RLIKE '[ )\\\\]][A-Za-z]{2,}$'", "mail|contact"),
+    Generator("ip6", "ip", "(?:[0-9A-Fa-f]{1,4}:){7}", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", "true", "host|addr|address|server|ip"),
+    Generator("card_wide", "card", r"[0-9]{4}[._/][0-9]{4}", r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])", _LUHN, "card|visa|pay|master"),
+    Generator("phone_local", "phone", r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "value RLIKE '^[(]?[2-9][0-9]{2}[)]?[ .-][2-9]'", "tel|phone|fax|call|mobile?|telephone"),
+    Generator("ssn", "ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "value RLIKE '^(?!000|666|9)' AND value NOT LIKE '%-00-%' AND value NOT LIKE '%-0000'", "ssn|social security"),
+    Generator("iban", "iban", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _IBAN, "iban|account"),
 )
 BASE = ("email", "ip", "card", "phone")
 
-#: Binary features of a candidate: SQL over ``value``, ``before`` and ``after``.
+#: The generators whose candidates are scored.
+LOOSE = tuple(k for k, g in enumerate(GENERATORS) if g.name not in BASE)
+#: Words that announce another number, and what stands behind quantities.
+_OTHER = "order|part|item|invoice|serial|isbn|sku|version|ref|reference|model|lot|batch|ticket|code|checksum|fingerprint|hash|build|page|section|score"
+_UNIT = "%|(?:units?|kg|g|km|cm|mm|mb|gb|points|pages|items|pcs|dollars|euros)(?![a-z])"
+#: Last labels of addresses; those that are English words too are left out.
+_ENDS = "com|org|net|edu|gov|info|biz|eu|uk|de|fr|es|ch|nl|io|dev|ca|jp"
+
+#: Binary features of a candidate: SQL over ``value``, ``before``, ``after`` and ``generator``.
 FEATURES = {
-    "cue": "lower(before) RLIKE '(?:mail|contact|tel|phone|fax|call|mobil|card|visa|pay|host|addr|server|ssn|iban|account)[^a-z]*$'",
-    "left_clear": "before = '' OR before RLIKE '[ \\\\t\\\\n\\\\r(<\"\\':;,]$'",
+    "cue": "coalesce(CASE " + " ".join(f"WHEN generator = {k} THEN lower(before) RLIKE '(?:^|[^a-z])(?:e-?)?(?:{GENERATORS[k].cue})(?: (?:me|us|no|number|address|to|card|iban))?[^a-z]*$'" for k in LOOSE) + " END, false)",
+    "other": f"lower(before) RLIKE '(?:^|[^a-z])(?:{_OTHER})(?: (?:no|number))?[^a-z]*$'",
+    "unit": f"lower(after) RLIKE '^ ?(?:{_UNIT})'",
+    "left_clear": "before = '' OR before RLIKE '[ \\t\\n\\r(<\"\\':;,]$'",
     "right_clear": "after = '' OR after RLIKE '^[^A-Za-z0-9_]'",
     "number_before": "before RLIKE '[0-9][ .,/-]?$'",
     "number_after": "after RLIKE '^[ .,/-]?[0-9]'",
     "money_before": "before RLIKE '[$€£#%] ?$'",
-    "plain_digits": "value RLIKE '^[0-9]+$'",
-    "one_separator": f"length(regexp_replace(value, '[^ ().@_/:-]', '')) <= 1 OR regexp_replace(value, '[^ ._/:-]', '') RLIKE '^(.)\\\\1*$'",
     "same_digit": f"{_DIGITS} RLIKE '^(.)\\\\1+$'",
-    "long": "char_length(value) > 17",
+    "counting": f"length({_DIGITS}) > 5 AND (instr('12345678901234567890123456789012345678901234567890', {_DIGITS}) > 0 OR {_DIGITS} RLIKE '^.?.?.?.?(?:123456|000000)')",
+    "ending": f"lower(value) RLIKE '(?:{_ENDS})$' AND lower(value) NOT RLIKE '[a-z0-9-](?:{_ENDS})$'",
+    "brackets": "value RLIKE '[(\\\\[]'",
+    "short_groups": "value RLIKE '^(?:[0-9A-Fa-f]{1,2}:)+[0-9A-Fa-f]{1,2}$'",
 }
 
 
@@ -122,9 +139,9 @@ def _gain(g: float, h: float) -> float:
 
 
 def fit(counts: dict[tuple[int, int], tuple[int, int]], features: int, rounds: int = ROUNDS) -> tuple[float, list[Tree]]:
-    """Gradient boosting on counts of (negative, positive) per (kind, feature bits); the kinds are features too."""
-    rows = [(bits | 1 << (features + kind), *n) for (kind, bits), n in sorted(counts.items())]
-    width = features + len(KINDS)
+    """Gradient boosting on counts of (negative, positive) per (generator, feature bits); the generators are features too."""
+    rows = [(bits | 1 << (features + generator), *n) for (generator, bits), n in sorted(counts.items())]
+    width = features + len(GENERATORS)
     total, positive = sum(a + b for _, a, b in rows), sum(b for _, _, b in rows)
     if not rows:
         return 0.0, []
@@ -169,53 +186,61 @@ def leaf(tree: Tree, bits: int) -> float:
     return tree.leaves[2 * side + (bits >> tree.seconds[side] & 1)]
 
 
-def score_of(model: tuple[float, list[Tree]], kind: int, bits: int) -> float:
-    own = bits | 1 << (len(FEATURES) + kind)
+def score_of(model: tuple[float, list[Tree]], generator: int, bits: int) -> float:
+    own = bits | 1 << (len(FEATURES) + generator)
     total = model[0]
     for t in model[1]:  # plain sums in the order of ``score_column``, so that equal scores are equal
         total += leaf(t, own)
     return total
 
 
-def thresholds(model: tuple[float, list[Tree]], counts: dict[tuple[int, int], tuple[int, int]], precision: float, support: int) -> dict[int, float]:
-    """Per kind the least score at which held-out candidates have ``precision``."""
+def thresholds(model: tuple[float, list[Tree]], counts: dict[tuple[int, int], tuple[int, int]], precision: float) -> dict[int, float]:
+    """Per generator the least score at which held-out candidates have ``precision``."""
     out = {}
-    for kind in range(len(KINDS)):
-        scored = sorted(((score_of(model, k, bits), *n) for (k, bits), n in counts.items() if k == kind), reverse=True)
+    for generator in sorted({g for g, _ in counts}):
+        scored = sorted(((score_of(model, g, bits), *n) for (g, bits), n in counts.items() if g == generator), reverse=True)
         good = bad = 0
         for at, (score, negative, positive) in enumerate(scored):
             good, bad = good + positive, bad + negative
             tied = at + 1 < len(scored) and scored[at + 1][0] == score
-            if not tied and good + bad >= support and good >= precision * (good + bad):
-                out[kind] = score
+            if not tied and good and good >= precision * (good + bad):
+                out[generator] = score
     return out
 
 
+def learned(spark: SparkSession, precision: float = PRECISION, count: int = EXAMPLES) -> tuple[tuple[float, list[Tree]], dict[int, float]]:
+    """Trees and thresholds from the examples, which go through the generators like any text."""
+    schema = "array<struct<generator: string, personal: boolean, held: boolean, text: string>>"
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(examples(count))), schema)).alias("e"))
+    # the id carries what is known of the example; of its candidates those of its generator count
+    found = candidates(rows.select(F.struct("e.generator", "e.personal", "e.held").alias("id"), "e.text"), "id", "text")
+    name = F.element_at(F.array(*[F.lit(g.name) for g in GENERATORS]), F.col("generator") + 1)
+    counts: dict[bool, dict[tuple[int, int], tuple[int, int]]] = {True: {}, False: {}}
+    seen = found.where(name == F.col("id.generator")).groupBy("generator", "bits", F.col("id.held").alias("held"))
+    for r in seen.agg(F.count_if(~F.col("id.personal")).alias("no"), F.count_if("id.personal").alias("yes")).collect():  # one row per example at most
+        counts[r["held"]][r["generator"], r["bits"]] = (r["no"], r["yes"])
+    model = fit(counts[False], len(FEATURES))
+    return model, thresholds(model, counts[True], precision)
+
+
 def score_column(model: tuple[float, list[Tree]]) -> Column:
     """The sum of the trees' leaves; one small expression over a literal array, however many trees."""
     if not model[1]:
         return F.lit(model[0])
     trees = ", ".join(f"named_struct('f', {t.first}, 'a', {t.seconds[0]}, 'b', {t.seconds[1]}, 'l', array({', '.join(f'{x!r}D' for x in t.leaves)}))" for t in model[1])
-    own = f"CAST(bits | shiftleft(1, {len(FEATURES)} + kind) AS BIGINT)"
+    own = f"CAST(bits | shiftleft(1, {len(FEATURES)} + generator) AS BIGINT)"
     leaf_of = f"element_at(t.l, 1 + 2 * getbit({own}, t.f) + getbit({own}, CASE WHEN getbit({own}, t.f) = 1 THEN t.b ELSE t.a END))"
     return F.expr(f"aggregate(array({trees}), {model[0]!r}D, (s, t) -> s + {leaf_of})")
 
 
-def find_personal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, support: int = SUPPORT) -> DataFrame:
+def find_personal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """Per row of ``docs``: id and ``spans``: ``kind``, ``start``, ``end`` (code points, exclusive), ``base``."""
+    model, least = learned(docs.sparkSession, precision)
     found = cut(candidates(docs, id_col, text_col), "candidates")
-    fold = (F.crc32(F.col("row").cast("string")) % 5 == 0).alias("held")
-    learn: dict[tuple[int, int], tuple[int, int]] = {}
-    held: dict[tuple[int, int], tuple[int, int]] = {}
-    seen = found.where("generator IS NOT NULL").groupBy("kind", "bits", fold).agg(F.count_if(~F.col("strict")).alias("no"), F.count_if("strict").alias("yes"))
-    for r in seen.collect():  # bounded: kinds x feature patterns x 2
-        (held if r["held"] else learn)[r["kind"], r["bits"]] = (r["no"], r["yes"])
-    model = fit(learn, len(FEATURES))
-    least = thresholds(model, held, precision, support)
     run = Window.partitionBy("row", "generator").orderBy("place")
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run)).withColumn("start", F.col("end") - F.col("size"))
     base = F.col("generator") < len(BASE)
-    needed = F.coalesce(*[F.when(F.col("kind") == k, F.lit(t)) for k, t in least.items()], F.lit(float("inf")))
+    needed = F.coalesce(*[F.when(F.col("generator") == k, F.lit(t)) for k, t in least.items()], F.lit(float("inf")))
     enough = score_column(model) >= needed
     chosen = F.col("strict") & (base | enough)
     placed = placed.select("row", "id", "generator", "kind", "start", "end", base.alias("base"), chosen.alias("chosen"))
