@@ -118,3 +118,70 @@ def test_edges(spark):
 def test_long_texts_take_linear_time(text):
     list(S.pattern_spans(text))
     list(S.confirmed_spans(text))
+
+
+def pem_of(name, body):
+    return f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+
+
+def encrypted_key(oid="2a864886f70d01050d"):
+    return tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex(oid)) + tlv(0x30, tlv(4, b"salt4567"))) + tlv(4, b"\x5a" * 64))
+
+
+def test_encrypted_forms_are_parsed():
+    text = lambda data: base64.encodebytes(data).decode().strip()
+    good = pem_of("ENCRYPTED PRIVATE KEY", text(encrypted_key()))
+    assert ("pem", good) in kinds(f"a {good} b")
+    assert kinds(pem_of("ENCRYPTED PRIVATE KEY", "hello this is no key at all")) == []
+    assert kinds(pem_of("ENCRYPTED PRIVATE KEY", text(encrypted_key("2a864886f70d010101")))) == []
+    alone = base64.b64encode(encrypted_key()).decode()
+    assert kinds(f"k {alone} k") == [("der", alone)] and kinds(f"k {encrypted_key().hex()} k") == [("der", encrypted_key().hex())]
+
+
+def test_older_encrypted_form_needs_headers_and_whole_blocks():
+    def form(body, vector="00112233445566778899aabbccddeeff"):
+        return pem_of("RSA PRIVATE KEY", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{vector}\n\n{base64.b64encode(body).decode()}")
+
+    assert [k for k, _ in kinds(form(b"z" * 64))] == ["pem"]
+    assert kinds(form(b"z" * 60)) == kinds(form(b"z" * 64, "00")) == []
+    assert kinds(pem_of("RSA PRIVATE KEY", "this is ENCRYPTED they say and holds no key")) == []
+
+
+def ssh_key():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    return S.OPENSSH + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 20) + field(b"q" * 31)
+
+
+def test_openssh_in_hex_and_behind_a_border():
+    key = ssh_key()
+    assert kinds(f"k {key.hex()} k") == [("ssh", key.hex())] and kinds(f"k {key[:-1].hex()} k") == []
+    text = base64.b64encode(key).decode()
+    assert kinds(f"path/{text} k") == [("ssh", text)]
+    der = base64.b64encode(rsa_key()).decode()
+    assert kinds(f"old-path/{der} k") == [("der", der)]
+
+
+def test_keys_over_lines_without_frame():
+    lines = base64.encodebytes(rsa_key(60)).decode().strip()
+    assert kinds(f"here:\n{lines}\nand more words\n") == [("der", lines)]
+    assert kinds(f"here:\n{lines[:-8]}\n\nand more words\n") == []
+
+
+def test_wrapped_keys_are_opened():
+    wrap = lambda oid, key: tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, bytes.fromhex(oid)) + tlv(5, b"")) + tlv(4, key))
+    assert S.key_kind(wrap("2a864886f70d010101", rsa_key())) == "der"
+    assert S.key_kind(wrap("2a864886f70d010101", b"no key " * 20)) is None
+    sec1 = tlv(0x30, tlv(2, b"\1") + tlv(4, b"7" * 32))
+    assert S.key_kind(wrap("2a8648ce3d0201", sec1)) == "der" and S.key_kind(wrap("2a8648ce3d0201", sec1[:-1])) is None
+    assert S.key_kind(wrap("2b6570", tlv(4, b"k" * 32))) == "der" and S.key_kind(wrap("2b6570", tlv(4, b"k" * 31))) is None
+
+
+def test_tokens_need_payload_and_signature():
+    part = lambda x: b64url(json.dumps(x).encode())
+    head, body, sign = part({"alg": "ES256"}), part({"sub": "x"}), b64url(b"s" * 64)
+    good = f"{head}.{body}.{sign}"
+    assert kinds(f"connection.{good}") == [("token", good)] == kinds(f"a {good}.more")
+    assert kinds(f"{head}.{b64url(b'plain words')}.{sign}") == []
+    assert kinds(f"{head}.{body}.{sign}AAA") == []
+    other = f"{part({'alg': 'ES256', 'typ': 'JOSE'})}.{b64url(b'plain words')}.{sign}"
+    assert kinds(other) == [("token", other)]
