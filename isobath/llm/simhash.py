@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import attach, cut, slices, text_bytes, text_rows
+from isobath.llm.common import attach, cut, shuffle_width, slices, text_bytes, text_rows
 from isobath.llm.components import components
 
 SHINGLE = 3
 SEED = 42
+#: Variants that one task groups.
+VARIANTS = 1 << 20
 
 
 def _spaces() -> np.ndarray:
@@ -95,12 +97,14 @@ def meeting(prints: DataFrame, bits: int = 64) -> DataFrame:
     """``variant`` and ``members``, in order, of every variant at which several of the distinct ``print`` values meet.
 
     Only the lowest ``bits`` bits are flipped: those above tell apart prints that are never to meet.
-    A variant has at most ``bits + 1`` members.
+    A variant has at most ``bits + 1`` members.  Variants are dealt before they are grouped, about
+    ``VARIANTS`` to a task: nearly all differ, so grouping them first where they arise saves nothing.
     """
+    tasks = max(shuffle_width(prints.sparkSession), prints.count() * (bits + 1) // VARIANTS)
     flips = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("bit")
     one = F.expr(f"CASE WHEN bit < {bits} THEN shiftleft(1L, bit) ELSE 0L END")
     variants = prints.select("print", flips).select(F.col("print").bitwiseXOR(one).alias("variant"), one.alias("one"), (F.col("bit") == bits).alias("self"))
-    met = variants.groupBy("variant").agg(F.bit_or("one").alias("mask"), F.bool_or("self").alias("self"))
+    met = variants.repartition(tasks, "variant").groupBy("variant").agg(F.bit_or("one").alias("mask"), F.bool_or("self").alias("self"))
     met = met.where(F.bit_count("mask") + F.col("self").cast("int") > 1)
     flipped = F.expr(f"transform(filter(sequence(0, {bits - 1}), i -> getbit(mask, i) = 1), i -> variant ^ shiftleft(1L, i))")
     return met.select("variant", F.array_sort(F.when(F.col("self"), F.concat(flipped, F.array("variant"))).otherwise(flipped)).alias("members"))
