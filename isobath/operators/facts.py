@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 #: Numbers in text with an optional sign, decimals and percent sign; fixed format.
 NUMBER = r"(?<![A-Za-z0-9_])[-+]?[0-9]+(?:[.,][0-9]+)?(?: *%)?"
+#: Numbers that name something rather than claim it: dates, spans of years, window lengths, ordinals and identifiers.
+EXCUSED = (
+    r"(?<![0-9A-Za-z_.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])",
+    r"(?<![0-9A-Za-z_.])[0-9]{4} *[-\u2013/] *[0-9]{4}(?![0-9]|[.,][0-9])",
+    r"(?<![0-9A-Za-z_.])[0-9]+(?: *(?:-|\u2013|to|a) *[0-9]+)?[- ](?:days?|weeks?|months?|years?|hours?|d[ií]as?|semanas?|mes(?:es)?|a[nñ]os?|horas?)(?![A-Za-z])",
+    r"(?<![0-9A-Za-z_.])[0-9]+(?:st|nd|rd|th|º|ª)(?![A-Za-z])",
+    r"(?:[Pp]ercentiles?|[Pp]ercentil(?:es)?) +[0-9]+(?![0-9]|[.,][0-9])",
+    r"[A-Za-z]+[-_]?[0-9][A-Za-z0-9_-]*",
+)
 #: Claims that a report may not make, by category; fixed patterns over folded text.
 PROHIBITED = {
     "official_classification": "clasificacion oficial|official classification",
@@ -56,12 +65,19 @@ def number_tokens(texts: DataFrame, ident: str = "text_id", text: str = "text")
     return rows.select(ident, "position", "token", plain.cast("double").alias("number"), F.char_length(F.regexp_extract(plain, r"\.([0-9]+)", 1)).alias("decimals"), F.contains("token", F.lit("%")).alias("percent"))
 
 
+def without_names(text: Column) -> Column:
+    """The text without the numbers that only name a date, span, window, rank or identifier."""
+    for pattern in EXCUSED:
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
 def unsupported_numbers(texts: DataFrame, cited: DataFrame, facts: DataFrame, ident: str = "text_id") -> DataFrame:
-    """Numbers that no cited valid fact of a fitting unit has at that precision.
+    """Numbers that no cited valid fact of a fitting unit has at that precision; what ``without_names`` leaves out claims nothing.
 
     ``cited``: the ids of the facts that each text may use.
     """
-    tokens = number_tokens(texts, ident)
+    tokens = number_tokens(texts.withColumn("text", without_names(F.col("text"))), ident)
     able = cited.join(facts.where("status = 'valid'"), "fact_id")
     rows = tokens.join(able, ident)
     share = F.col("unit").isin("fraction", "fraction_change")

@@ -240,10 +240,10 @@ NUMBER_TOKENS = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?
 
 
 def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims about regional means, of which every seventh is wrong."""
+    """Claims about regional means, of which every seventh is wrong, among dates, windows and names."""
     means = daily.area_means(grid_cells(spark, sf_dir)).select(F.date_format("date", "yyyyMMdd").alias("fact_id"), "date", F.col("mean").alias("value"), F.lit("degC").alias("unit"), F.lit(2).alias("precision"))
     shown = F.when(F.dayofyear("date") % 7 == 0, F.col("value") + 5).otherwise(F.col("value"))
-    texts = means.select(F.col("fact_id").alias("text_id"), F.concat(F.lit("The mean was "), F.format_string("%.2f", shown), F.lit(" on that day.")).alias("text"))
+    texts = means.select(F.col("fact_id").alias("text_id"), F.concat(F.lit("On "), F.date_format("date", "yyyy-MM-dd"), F.lit(" the 7-day report of 1991-2020 gave a mean of "), F.format_string("%.2f", shown), F.lit(" in track TRK000012, above percentile 90.")).alias("text"))
     cited = means.select(F.col("fact_id").alias("text_id"), "fact_id")
     return facts.unsupported_numbers(texts, cited, facts.registry(means.select("fact_id", "value", "unit", "precision"))).select("text_id")
 

@@ -20,12 +20,21 @@ def find_variable(df: DataFrame, aliases: tuple[str, ...] = ALIASES) -> str:
 
 
 def is_kelvin(df: DataFrame, variable: str, unit: str | None = None) -> bool:
-    """By the unit if it is given, else by the exact median: above 150 Kelvin, from -10 to 60 Celsius."""
+    """By the unit if it is given, else by the exact median: above 150 Kelvin, from -10 to 60 Celsius.
+
+    Four counts settle it, unless the two middle values lie on different sides of a bound.
+    """
     if unit is not None:
         kind = df.sparkSession.range(1).select(C.unit_kind(F.lit(unit)).alias("k")).first()["k"]
         if kind not in ("kelvin", "celsius"):
             raise ValueError(f"{unit!r} is no unit of temperature")
         return kind == "kelvin"
+    v = C.finite(F.col(variable))
+    n, low, celsius, high = df.agg(F.count(v), F.count_if(v < -10), F.count_if(v.between(-10, 60)), F.count_if(v > 150)).first()
+    if n and high > n // 2:  # both middle values are there, so the median is
+        return True
+    if n and low < (n + 1) // 2 and n // 2 + 1 <= low + celsius:
+        return False
     median = df.agg(F.percentile(C.finite(F.col(variable)), 0.5).alias("m")).first()["m"]
     if median is None or not (median > 150 or -10 <= median <= 60):
         raise ValueError("the unit can't be told from the values")
@@ -67,11 +76,14 @@ def read_cells(spark: SparkSession, path: str, *, lat: tuple[float, float] | Non
 
 
 def read_live_or_demo(spark: SparkSession, live: str, demo: str) -> DataFrame:
-    """The live cube if it can be read, else the demo, with ``data_mode``."""
+    """The live cube if it can be read and has a finite temperature, else the demo, with ``data_mode``."""
     try:
-        return spark.read.parquet(live).withColumn("data_mode", F.lit("live"))
-    except AnalysisException:
-        return spark.read.parquet(demo).withColumn("data_mode", F.lit("demo"))
+        df = spark.read.parquet(live)
+        if not df.where(C.finite(F.col(find_variable(df))).isNotNull()).isEmpty():
+            return df.withColumn("data_mode", F.lit("live"))
+    except (AnalysisException, ValueError):
+        pass
+    return spark.read.parquet(demo).withColumn("data_mode", F.lit("demo"))
 
 
 def demo_cells(spark: SparkSession, *, rows: int = 21, columns: int = 21, days: int = 10, seed: int = 42) -> DataFrame:
