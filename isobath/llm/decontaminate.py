@@ -15,7 +15,8 @@ passages in every document make a task larger.
 
 Defined results: words as in ``shingles``; null text has no words; an item without words matches
 nothing; an item of fewer than five words is one shingle of all its words, looked up as such; rows
-are independent, so repeated documents or items give a pair each; the output has the two ids under
+are independent, so repeated documents or items give a pair each; very long texts are searched whole;
+without documents or without items there are no pairs; the output has the two ids under
 their own names, ``n_shared``, ``n_item`` and ``containment``, and no other input column.
 """
 

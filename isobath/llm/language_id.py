@@ -13,7 +13,8 @@ one vector per language.
 
 Defined results: null text or text without a letter is ``und`` with score 0, as is any text where
 nothing was learned; ties go to the first language in order; rows without language teach nothing;
-rows are independent; other columns of the input aren't returned.
+rows are independent, so repeated rows give repeated results; very long texts are read whole, in blocks;
+an empty table gives no rows; other columns of the input aren't returned.
 """
 
 from __future__ import annotations

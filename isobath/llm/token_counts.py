@@ -11,7 +11,8 @@ strings count one each.  The pieces of a pre-token are counted once in the whole
    pre-token and summed per document.  Frequent keys are therefore never shuffled per document.
 
 Defined results: null text is empty and has 0 tokens; special strings in texts are special tokens,
-as by the library's default; texts are counted whole; rows are independent, repeated rows too; the
+as by the library's default; texts are counted whole, however
+long; rows are independent, repeated rows too; an empty table gives no rows; the
 output has the id, ``n_bytes`` and ``n_tokens`` and no other input column.
 """
 
