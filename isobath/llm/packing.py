@@ -117,7 +117,10 @@ def counted(splitter: Splitter, pre_tokens: list[str], known: dict[str, int]) ->
 def cut_text(splitter: Splitter, text: str, largest: int, known: dict[str, int]) -> list[tuple[int, int, int]]:
     """(begin, end, tokens) of the text's pieces, of ``largest`` tokens at most; offsets in code points."""
     plain, special = splitter(text)
-    total = sum(counted(splitter, plain, known)) + special
+    try:
+        total = sum(map(known.__getitem__, plain)) + special
+    except KeyError:
+        total = sum(counted(splitter, plain, known)) + special
     if total <= largest:
         return [(0, len(text), total)]
     parts: list[tuple[int, int]] = []  # code points and tokens, in order of the text
