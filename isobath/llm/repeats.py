@@ -158,8 +158,9 @@ def windows_of(shard: Shard, depth: int, keep: np.ndarray | None) -> Windows:
 def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct context a run that has it, of the least document; and per run its context's number.
 
-    A context is the bytes of a run's windows; contexts agree if anchor, shape and two 64-bit sums
-    of their bytes, each byte times a power of its place, do.
+    A context is the bytes of a run's windows.  Runs are ordered by anchor, shape and two 64-bit sums
+    of their bytes, each byte times a power of its place; those next to each other are one context
+    if their bytes are equal.
     """
     if not len(w.first):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -168,7 +169,8 @@ def distinct_contexts(shard: Shard, w: Windows, depth: int) -> tuple[np.ndarray,
     mixed = (w.hash ^ shape * np.uint64(0xBF58476D1CE4E5B9)) + sums[0]
     order = np.lexsort((shard.ids[w.text], sums[1], mixed))
     new = np.ones(len(order), bool)
-    new[1:] = (mixed[order][1:] != mixed[order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1])
+    new[1:] = (mixed[order][1:] != mixed[order][:-1]) | (sums[1][order][1:] != sums[1][order][:-1]) | (shape[order][1:] != shape[order][:-1])
+    apart(new, shard.data, w.first[order], w.count[order] + depth - 1)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
@@ -185,6 +187,18 @@ def bytes_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[index + np.repeat(first - (ends - size), size)]
 
 
+def apart(new: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+    """Set ``new`` where the bytes of a range differ from those of the one before.
+
+    ``new`` is set already where their sizes do.
+    """
+    alike = np.flatnonzero(~new)
+    for begin in range(0, len(alike), 1 << 13):
+        at = alike[begin : begin + (1 << 13)]
+        unlike = bytes_of(data, first[at], size[at]) != bytes_of(data, first[at - 1], size[at])
+        new[at] = np.logical_or.reduceat(unlike, np.cumsum(size[at]) - size[at])
+
+
 def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers in order of the keys, and the size of each row's bucket."""
     order = np.argsort(keys)
@@ -241,8 +255,9 @@ def refined(data: np.ndarray, windows: np.ndarray, group: np.ndarray, depth: int
 def earlier(contexts: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
     """Per context, as bits, the windows that a smaller document has too.
 
-    Contexts that several shards sent count once, for the least document.  What is left of a gram is
-    refined together; most grams have a single context left, which decides at once.
+    Contexts that several shards sent, and whose bytes are equal, count once, for the least document.
+    What is left of a gram is refined together, and decides for all rows of its context; most grams
+    have a single context left, which decides at once.
     """
     size = contexts["windows"].astype(np.int64) + depth - 1
     start = np.cumsum(size) - size
@@ -255,6 +270,7 @@ def earlier(contexts: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
     own, sums = contexts[order], sums[order]
     new = np.ones(len(order), bool)
     new[1:] = (own["key"][1:] != own["key"][:-1]) | (sums[1:] != sums[:-1]) | (own["lead"][1:] != own["lead"][:-1]) | (own["windows"][1:] != own["windows"][:-1])
+    apart(new, data, start[order], size[order])
     first = np.flatnonzero(new)
     number = np.cumsum(new) - 1
     # a context that a smaller document has too goes whole
@@ -290,6 +306,7 @@ def earlier(contexts: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
             found = np.zeros(len(part), np.uint64)
             np.bitwise_or.at(found, owner[hit], np.uint64(1) << place[hit].astype(np.uint64))
             bits[order[part]] |= found
+    bits[order] |= bits[order[first]][number]
     return bits
 
 

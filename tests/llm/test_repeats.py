@@ -117,3 +117,26 @@ def test_refinement_orders_like_sorting():
         assert (b >= 0) == (content.count(content[i]) > 1)
     met = [(b, c) for b, c in zip(bucket, content, strict=True) if b >= 0]
     assert len({b for b, _ in met}) == len({c for _, c in met}) == len(set(met))
+
+
+def test_rows_that_repeat_an_id_lose_the_same_bytes_in_any_shard(spark):
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows = [(1, "first " + shared[:55])] + [(2, f"{shared} and {k} other words") for k in range(12)] + [(None, f"{shared} and {k}") for k in range(6)]
+    for size in (1 << 20, 300, 60):
+        assert run(spark, rows, shard_bytes=size) == brute(rows)
+
+
+def test_contexts_are_told_apart_by_their_bytes(monkeypatch):
+    """Equal hashes alone make no copies."""
+    monkeypatch.setattr(R, "range_sums", lambda data, first, end, base: np.zeros(len(first), np.uint64))
+    texts = [b"a" * 49 + b"b", b"a" * 49 + b"c", b"a" * 49 + b"b"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    shard = R.Shard(np.array([1, 2, 3]), np.arange(3), data, np.array([0, 50, 100, 150]))
+    one = np.ones(3, np.int64)
+    w = R.Windows(np.zeros(3, np.uint64), np.array([0, 50, 100]), one, one, np.arange(3))
+    chosen, number = R.distinct_contexts(shard, w, 50)
+    assert number[0] != number[1] != number[2] and set(chosen) <= {0, 1, 2}
+    contexts = np.zeros(3, R.CONTEXT)
+    contexts["document"], contexts["windows"] = [1, 2, 3], 1
+    assert R.earlier(contexts, data, 50).tolist() == [0, 0, 1]
