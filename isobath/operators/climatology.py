@@ -1,12 +1,14 @@
 """Climatologies by calendar day and month, pooled over years.
 
-The pool of a day is every sample within a circular distance of it.  Instead of comparing days with
-samples, each sample is sent to the days that it belongs to, which is an equi-aggregation keyed by
-(day, cell): exact percentiles need the values of one day and cell, a bounded group.
+The pool of a day is every sample within a circular distance of it.  Samples are exchanged once, by
+cell; a cell's samples (one per date, a bounded array) are laid out by day, and pools and smoothing
+read neighbouring days of that array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,31 +23,62 @@ def calendar(spark) -> DataFrame:
     return days.select(F.dayofyear("d").alias("doy"), F.month("d").alias("month"), F.day("d").alias("day"), F.date_format("d", "MM-dd").alias("month_day"))
 
 
-def offsets(half: int) -> Column:
-    return F.explode(F.sequence(F.lit(-half), F.lit(half)))
+def around(days: Column, half: int, day: Column) -> Column:
+    """The entries of a 366-day array within ``half`` days of ``day`` (from 0), around the end of the year."""
+    return F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda by: F.get(days, F.pmod(day + by, F.lit(C.DAYS))))
+
+
+def each_day(entry: Callable[[Column], Column]) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(C.DAYS - 1)), entry)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def mean_of(values: Column) -> Column:
+    """Mean of an array without nulls; null if it is empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def sorted_quantile(values: Column, q: float) -> Column:
+    """Linear quantile of an array in ascending order."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    below, above = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return below + (above - below) * (at - low)
+
+
+def pool_statistics(pool: Column, percentiles: bool) -> Column:
+    """Struct of count, mean, population deviation and percentiles of a sorted array."""
+    quantile = lambda q: sorted_quantile(pool, q) if percentiles else F.lit(None).cast("double")
+    spread = lambda mean: F.when(F.size(pool) > 0, F.sqrt(F.aggregate(pool, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(pool)))
+    every = lambda mean: F.struct(F.size(pool).cast("long").alias("n"), mean.alias("mean"), spread(mean).alias("clim_std"), quantile(0.1).alias("p10"), quantile(0.5).alias("clim_median"), quantile(0.9).alias("p90"))
+    return bound(mean_of(pool), every)
 
 
 def daily_statistics(cells: DataFrame, keys: list[str] = ["row", "col"], *, half_window: int = 5, smoothing: int = 31, value: str = "value", percentiles: bool = True) -> DataFrame:
     """Per stable day and cell: count, mean, deviation and exact percentiles of the pooled samples.
 
     Mean, P10 and P90 are then smoothed by a centred circular mean over ``smoothing`` days; days
-    without samples are passed over.
+    without samples are passed over, and have no row.
     """
     if smoothing % 2 == 0 or smoothing < 1:
         raise ValueError("the smoothing window is odd")
-    samples = cells.where(F.col(value).isNotNull()).select(*keys, C.stable_day(F.col("date")).alias("day"), F.col(value).alias("v"))
-    pooled = samples.select(*keys, "v", "day", offsets(half_window).alias("by")).select(*keys, "v", C.wrap_day(F.col("day") + F.col("by")).alias("doy"))
-    quantiles = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))) if percentiles else F.lit(None).cast("array<double>")
-    raw = pooled.groupBy(*keys, "doy").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("clim_std"), quantiles.alias("q"))
-    raw = raw.select(*keys, "doy", "n", "mean", "clim_std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("clim_median"), F.col("q")[2].alias("p90"))
-    return smoothed(raw, keys, {"mean": "clim_mean", "p10": "clim_p10", "p90": "clim_p90"}, smoothing)
-
-
-def smoothed(raw: DataFrame, keys: list[str], names: dict[str, str], window: int) -> DataFrame:
-    """Centred circular rolling means of the columns ``names``, beside the others."""
-    spread = raw.select(*keys, *names, "doy", offsets(window // 2).alias("by")).select(*keys, *names, C.wrap_day(F.col("doy") + F.col("by")).alias("doy"))
-    means = spread.groupBy(*keys, "doy").agg(*[F.avg(k).alias(v) for k, v in names.items()])
-    return raw.drop(*names).join(means, [*keys, "doy"])
+    samples = cells.where(F.col(value).isNotNull()).select(*keys, C.stable_day(F.col("date")).alias("day"), F.col(value).cast("double").alias("v"))
+    # dealt by cell, so that a cell's days meet without another exchange
+    days = (samples.repartition(*keys) if keys else samples).groupBy(*keys, "day").agg(F.collect_list("v").alias("v"))
+    held = days.groupBy(*keys).agg(F.collect_list(F.struct("day", "v")).alias("days"))
+    none = F.array().cast("array<double>")
+    by_day = bound(F.map_from_entries("days"), lambda m: each_day(lambda d: F.coalesce(m[d + 1], none)))
+    pool = lambda days, d: F.array_sort(F.flatten(around(days, half_window, d)))
+    raw = bound(by_day, lambda days: each_day(lambda d: bound(pool(days, d), lambda p: pool_statistics(p, percentiles))))
+    mean = lambda near, c: mean_of(F.filter(F.transform(near, lambda x: x[c]), lambda x: x.isNotNull())).alias(f"clim_{c}")
+    smooth = lambda near: F.struct(*[mean(near, c) for c in ("mean", "p10", "p90")])
+    both = bound(raw, lambda r: each_day(lambda d: F.struct(F.get(r, d).alias("raw"), bound(around(r, smoothing // 2, d), smooth).alias("smooth"))))
+    out = held.select(*keys, F.posexplode(both).alias("at", "e")).where("e.raw.n > 0")
+    return out.select(*keys, (F.col("at") + 1).alias("doy"), "e.raw.n", "e.raw.clim_std", "e.raw.clim_median", "e.smooth.clim_mean", "e.smooth.clim_p10", "e.smooth.clim_p90")
 
 
 def raw_day_means(cells: DataFrame) -> DataFrame:
