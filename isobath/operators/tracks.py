@@ -172,10 +172,13 @@ def lineage(patches: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _numbered(rows: DataFrame, edges: DataFrame, name: str, letter: str) -> DataFrame:
-    """Rows with an id per component of ``edges``, numbered by the component's first node."""
+    """Rows with an id per component of ``edges``, numbered by the component's first node.
+
+    Centroids order it to nine digits: beyond, they hang on the order of summation.
+    """
     label = components(edges.select("a", "b")).withColumnRenamed("node", "node_id")
     rows = rows.join(label, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-    first = rows.groupBy("component").agg(F.min(F.struct("date", "centroid_latitude", "centroid_longitude", "patch_id")).alias("first"))
+    first = rows.groupBy("component").agg(F.min(F.struct("date", F.round("centroid_latitude", 9), F.round("centroid_longitude", 9), "patch_id")).alias("first"))
     # one row per component: the table that numbers them
     numbers = first.select("component", F.concat(F.lit(letter), F.lpad(F.row_number().over(Window.orderBy("first", "component")).cast("string"), 6, "0")).alias(name))
     return rows.join(numbers, "component").drop("component")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isobath.operators import assembly, daily, patches, spatial, tracks
 from isobath.plans.common import quantile_sql, report, rounded
 from isobath.sources.driver_tables import FULL_SQL, full_grid, grid_cells, grid_sql
+from isobath.sources.staging import stage
 
 RULE = patches.PatchRule(threshold=30.0, connectivity="rook", minimum_cells=3)
 LINKS = tracks.TrackRule()
@@ -25,8 +26,9 @@ WITH = f"WITH RECURSIVE {GRID}, {FOUND}"
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells and labelled cells; the latter are staged, for all that follows reads them several times."""
     cells = grid_cells(spark, sf_dir)
-    return cells, patches.detected(cells, RULE)
+    return cells, stage(patches.detected(cells, RULE), "found")
 
 
 def patch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ e AS (SELECT *, greatest((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b), 0) A
 sides AS (SELECT date, patch_id, row, col, row + dr AS r2, col + dc AS c2, CASE WHEN dr = -1 THEN {_R} * radians(1.0) * cos(radians(lat - 0.5)) WHEN dr = 1 THEN {_R} * radians(1.0) * cos(radians(lat + 0.5)) ELSE {_R} * radians(1.0) END AS len FROM found, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS t(dr, dc)),
 bare AS (SELECT * FROM sides s WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.date = s.date AND f.patch_id = s.patch_id AND f.row = s.r2 AND f.col = s.c2)),
 p AS (SELECT date, patch_id, sum(len) AS perimeter_km, count(DISTINCT (row, col)) AS edge_cells FROM bare GROUP BY ALL),
-tab AS (SELECT f.*, median_source_value, p10, p90, perimeter_km, 4 * pi() * area_km2 / (perimeter_km * perimeter_km) AS compactness, CASE WHEN major > 1e-6 THEN (round(degrees(atan2(2 * b, a - c)) / 2, 9) + 90 + 180) % 180 - 90 END AS orientation_degrees, CASE WHEN major > 1e-6 AND minor > 1e-6 THEN sqrt(major / minor) END AS elongation, 4 * sqrt(major) AS major_axis_length_km, 4 * sqrt(minor) AS minor_axis_length_km, sqrt(xx + yy) AS centroid_dispersion_km, edge_cells / cell_count AS edge_cell_fraction, CASE WHEN minor > 1e-6 THEN 'valid' ELSE 'warning' END AS status FROM f JOIN q USING (date, patch_id) JOIN e USING (date, patch_id) JOIN p USING (date, patch_id))"""
+tab AS (SELECT f.*, median_source_value, p10, p90, perimeter_km, 4 * pi() * area_km2 / (perimeter_km * perimeter_km) AS compactness, CASE WHEN major > 1e-6 THEN (round(degrees(atan2(2 * b, a - c)) / 2, 9) + 90 + 180) % 180 - 90 END AS orientation_degrees, CASE WHEN major > 1e-6 AND minor > 1e-6 THEN sqrt(major / minor) END AS elongation, 4 * sqrt(major) AS major_axis_length_km, 4 * sqrt(minor) AS minor_axis_length_km, sqrt(xx + yy) AS centroid_dispersion_km, edge_cells / cell_count AS edge_cell_fraction, CASE WHEN minor > 1e-6 THEN 'valid' ELSE 'warning' END AS status, CASE WHEN major <= 1e-6 THEN 'Patch cell centres have no two-dimensional spatial variance' WHEN minor <= 1e-6 THEN 'Patch minor-axis variance is zero; elongation is undefined' END AS reason FROM f JOIN q USING (date, patch_id) JOIN e USING (date, patch_id) JOIN p USING (date, patch_id))"""
 PATCH_TABLE = rounded(f"{WITH}, {_TABLE} SELECT * FROM tab", ", ".join(_PATCH_COLUMNS[1:]), "date, patch_id, cell_count, status, touches_north_boundary, touches_south_boundary, touches_east_boundary, touches_west_boundary", 4)
 
 
@@ -83,12 +85,13 @@ def patch_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINK = ["intersection_area_km2", "union_area_km2", "area_weighted_iou", "predecessor_overlap_fraction", "successor_overlap_fraction", "centroid_distance_km", "area_ratio", "log_area_ratio", "mean_intensity_difference", "maximum_intensity_difference", "link_score"]
-PATCH_LINKS = rounded(
-    f"""{WITH}, {_TABLE}, d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM (SELECT DISTINCT date FROM found)),
+_PAIRS = f"""d AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM (SELECT DISTINCT date FROM found)),
 sh AS (SELECT a.date AS d1, b.date AS d2, a.patch_id AS p, b.patch_id AS s, count(*) AS n, sum(a.area) AS sa FROM found a JOIN d ON d.date = a.date JOIN found b ON b.date = d.nx AND b.row = a.row AND b.col = a.col GROUP BY ALL),
 j AS (SELECT sh.*, x.area_km2 AS pa, y.area_km2 AS sa2, y.mean_source_value - x.mean_source_value AS dm, y.maximum_source_value - x.maximum_source_value AS dx, 2 * {_R} * asin(sqrt(least(1, pow(sin(radians(y.centroid_latitude - x.centroid_latitude) / 2), 2) + cos(radians(x.centroid_latitude)) * cos(radians(y.centroid_latitude)) * pow(sin(radians(y.centroid_longitude - x.centroid_longitude) / 2), 2)))) AS km FROM sh JOIN tab x ON x.date = d1 AND x.patch_id = p JOIN tab y ON y.date = d2 AND y.patch_id = s),
 k AS (SELECT *, pa + sa2 - sa AS un, sa2 / pa AS ratio FROM j),
-z AS (SELECT *, 0.35 * sa / un + 0.2 * sa / pa + 0.2 * sa / sa2 + 0.15 * greatest(0, 1 - km / 500) + 0.1 * least(ratio, 1 / ratio) AS score, sa / un >= 0.05 OR sa / pa >= 0.15 OR sa / sa2 >= 0.15 AS ov, d2 - d1 AS el FROM k)
+z AS (SELECT *, 0.35 * sa / un + 0.2 * sa / pa + 0.2 * sa / sa2 + 0.15 * greatest(0, 1 - km / 500) + 0.1 * least(ratio, 1 / ratio) AS score, sa / un >= 0.05 OR sa / pa >= 0.15 OR sa / sa2 >= 0.15 AS ov, d2 - d1 AS el FROM k)"""
+PATCH_LINKS = rounded(
+    f"""{WITH}, {_TABLE}, {_PAIRS}
 SELECT d1 AS predecessor_date, p AS predecessor_patch_id, d2 AS successor_date, s AS successor_patch_id, el AS elapsed_days, n AS intersection_cell_count, sa AS intersection_area_km2, un AS union_area_km2, sa / un AS area_weighted_iou, sa / pa AS predecessor_overlap_fraction, sa / sa2 AS successor_overlap_fraction, km AS centroid_distance_km, ratio AS area_ratio, ln(ratio) AS log_area_ratio, dm AS mean_intensity_difference, dx AS maximum_intensity_difference, CASE WHEN ov AND el <= 1 AND score >= 0.1 THEN 'accepted' ELSE 'rejected' END AS candidate_status, score AS link_score, CASE WHEN ov THEN 'overlap' WHEN el > 1 AND km <= 500 AND ratio BETWEEN 0.2 AND 5 THEN 'distance_fallback' END AS link_basis, el > 1 AS crosses_temporal_gap FROM z""",
     ", ".join(_LINK),
     "predecessor_date, predecessor_patch_id, successor_date, successor_patch_id, elapsed_days, intersection_cell_count, candidate_status, link_basis, crosses_temporal_gap",
@@ -98,24 +101,139 @@ SELECT d1 AS predecessor_date, p AS predecessor_patch_id, d2 AS successor_date,
 
 def _lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells, found = _found(spark, sf_dir)
-    table = patches.patch_table(cells, RULE, found)
+    table = stage(patches.patch_table(cells, RULE, found), "patches")
     return tracks.lineage(table, tracks.links(found, table, LINKS))
 
 
+_LISTS = ("parent_node_ids", "child_node_ids", "parent_track_ids", "child_track_ids")
+_TURNS = ("mean_bearing_degrees", "net_bearing_degrees")
+
+
 def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_lineage(spark, sf_dir)[0])
+    """Observations; lists of ids are joined by commas."""
+    nodes = _lineage(spark, sf_dir)[0]
+    return report(nodes.withColumns({c: F.array_join(c, ",") for c in _LISTS}), 4)
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_lineage(spark, sf_dir)[1])
+    return report(_lineage(spark, sf_dir)[1], 4)
 
 
 def track_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(tracks.track_metrics(_lineage(spark, sf_dir)[0]))
+    """Metrics of tracks; a bearing that rounds to a full turn is 0."""
+    out = report(tracks.track_metrics(_lineage(spark, sf_dir)[0]), 4)
+    return out.withColumns({c: F.pmod(c, F.lit(360.0)) for c in _TURNS})
 
 
 def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(tracks.family_metrics(_lineage(spark, sf_dir)[0]))
+    return report(tracks.family_metrics(_lineage(spark, sf_dir)[0]), 4)
+
+
+def track_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, found = _found(spark, sf_dir)
+    table = stage(patches.patch_table(cells, RULE, found), "patches")
+    return report(assembly.track_labels(found, tracks.lineage(table, tracks.links(found, table, LINKS))[0]), 4)
+
+
+def _node(day: str, patch: str) -> str:
+    return f"strftime({day}, '%Y-%m-%d') || '::P' || lpad(CAST({patch} AS VARCHAR), 6, '0')"
+
+
+def _km(y1: str, x1: str, y2: str, x2: str) -> str:
+    return f"2 * {_R} * asin(sqrt(least(1, pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
+
+
+def _bearing(y1: str, x1: str, y2: str, x2: str) -> str:
+    along = f"cos(radians({y1})) * sin(radians({y2})) - sin(radians({y1})) * cos(radians({y2})) * cos(radians({x2} - {x1}))"
+    return f"CASE WHEN abs({y2} - {y1}) >= 1e-12 OR abs({x2} - {x1}) >= 1e-12 THEN (degrees(atan2(sin(radians({x2} - {x1})) * cos(radians({y2})), {along})) + 360) % 360 END"
+
+
+def _numbers(name: str, edges: str, key: str, letter: str) -> str:
+    """CTEs up to ``name`` (``node``, ``key``): components of ``edges`` numbered by their first node."""
+    return f"""{name}u AS (SELECT a AS x, b AS y FROM {edges} UNION SELECT b, a FROM {edges}),
+{name}r AS (SELECT node AS x, node AS m FROM nd UNION SELECT u.y, r.m FROM {name}r r JOIN {name}u u ON u.x = r.x WHERE r.m < u.y),
+{name}c AS (SELECT x AS node, min(m) AS component FROM {name}r GROUP BY x),
+{name}f AS (SELECT component, min((date, round(centroid_latitude, 9), round(centroid_longitude, 9), patch_id)) AS first FROM {name}c JOIN nd USING (node) GROUP BY component),
+{name} AS (SELECT node, '{letter}' || lpad(CAST(rank AS VARCHAR), 6, '0') AS {key} FROM {name}c JOIN (SELECT component, row_number() OVER (ORDER BY first, component) AS rank FROM {name}f) USING (component))"""
+
+
+#: Edges of a node with one link on either side are in every best assignment; of the others all matchings are compared.
+_LINEAGE = f"""acc AS (SELECT *, sa / un AS iou, {_node('d1', 'p')} AS a, {_node('d2', 's')} AS b FROM z WHERE ov AND el <= 1 AND score >= 0.1),
+eo AS (SELECT *, count(*) OVER (PARTITION BY a) AS outs, count(*) OVER (PARTITION BY b) AS ins FROM acc),
+amb AS (SELECT d1, p, s, score + iou * 1e-10 AS score, row_number() OVER (PARTITION BY d1 ORDER BY p, s) AS k FROM eo WHERE outs > 1 OR ins > 1),
+pick AS (SELECT DISTINCT d1, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS ss, CAST(0 AS DOUBLE) AS total FROM amb UNION ALL
+  SELECT x.d1, m.k, CASE WHEN t THEN list_append(ps, m.p) ELSE ps END, CASE WHEN t THEN list_append(ss, m.s) ELSE ss END, CASE WHEN t THEN total + score ELSE total END FROM pick x JOIN amb m ON m.d1 = x.d1 AND m.k = x.k + 1, (VALUES (true), (false)) AS v(t) WHERE NOT t OR NOT (list_contains(ps, m.p) OR list_contains(ss, m.s))),
+best AS (SELECT d1, arg_max(ps, total) AS ps, arg_max(ss, total) AS ss FROM pick JOIN (SELECT d1, max(k) AS k FROM amb GROUP BY d1) USING (d1, k) GROUP BY d1),
+bone AS (SELECT d1, unnest(ps) AS p, unnest(ss) AS s FROM best),
+ed AS (SELECT eo.*, (outs = 1 AND ins = 1) OR bone.p IS NOT NULL AS backbone FROM eo LEFT JOIN bone ON bone.d1 = eo.d1 AND bone.p = eo.p AND bone.s = eo.s),
+chain AS (SELECT a, b FROM ed WHERE backbone AND outs = 1 AND ins = 1),
+nd AS (SELECT *, {_node('date', 'patch_id')} AS node FROM tab),
+{_numbers('trk', 'chain', 'track_id', 'T')},
+{_numbers('fam', 'ed', 'event_family_id', 'F')},
+up AS (SELECT b AS node, string_agg(a, ',' ORDER BY a) AS parents, count(*) AS np, max(outs) AS mo, max(CASE WHEN backbone THEN a END) AS bp, bool_or(el > 1) AS gap FROM ed GROUP BY b),
+dn AS (SELECT a AS node, string_agg(b, ',' ORDER BY b) AS children, count(*) AS nc, max(ins) AS mi, max(CASE WHEN backbone THEN b END) AS bc FROM ed GROUP BY a),
+upt AS (SELECT b AS node, string_agg(DISTINCT track_id, ',' ORDER BY track_id) AS parent_tracks FROM ed JOIN trk ON trk.node = ed.a GROUP BY b),
+dnt AS (SELECT a AS node, string_agg(DISTINCT track_id, ',' ORDER BY track_id) AS child_tracks FROM ed JOIN trk ON trk.node = ed.b GROUP BY a),
+dg AS (SELECT nd.*, track_id, event_family_id, coalesce(np, 0) AS np, coalesce(nc, 0) AS nc, coalesce(mo, 0) AS mo, coalesce(mi, 0) AS mi, parents, children, parent_tracks, child_tracks, bp, bc, coalesce(gap, false) AS gap FROM nd JOIN trk USING (node) JOIN fam USING (node) LEFT JOIN up USING (node) LEFT JOIN dn USING (node) LEFT JOIN upt USING (node) LEFT JOIN dnt USING (node)),
+ob AS (SELECT *, CASE WHEN (nc >= 2 OR mo >= 2) AND (np >= 2 OR mi >= 2) THEN 'complex_branch' WHEN nc >= 2 THEN 'split_parent' WHEN np >= 2 THEN 'merge_child' WHEN mo >= 2 THEN 'split_child' WHEN mi >= 2 THEN 'merge_parent' WHEN np = 0 AND nc = 0 THEN 'isolated_single_day' WHEN np = 0 THEN 'appearance' WHEN nc = 0 THEN 'termination' WHEN np = 1 AND nc = 1 AND mo = 1 AND mi = 1 THEN 'continuation' ELSE 'complex_branch' END AS kind, touches_north_boundary OR touches_south_boundary OR touches_east_boundary OR touches_west_boundary AS edge FROM dg)"""
+_WITH_LINEAGE = f"{WITH}, {_TABLE}, {_PAIRS}, {_LINEAGE}"
+_OBSERVED = ["area_km2", "centroid_latitude", "centroid_longitude", "mean_source_value", "maximum_source_value", "mean_exceedance", "maximum_exceedance"]
+_SIDES = [f"touches_{s}_boundary" for s in ("north", "south", "east", "west")]
+LINEAGE_NODES = rounded(
+    f"""{_WITH_LINEAGE} SELECT *, node AS node_id, patch_id AS local_patch_id, kind AS node_event_type, 'anomaly' AS source_variable, 'fixed' AS threshold_type, 'above' AS direction, coalesce(parents, '') AS parent_node_ids, coalesce(children, '') AS child_node_ids, coalesce(parent_tracks, '') AS parent_track_ids, coalesce(child_tracks, '') AS child_track_ids, np AS predecessor_count, nc AS successor_count, bp AS continuation_backbone_parent, bc AS continuation_backbone_child, gap AS link_crossed_temporal_gap, 1.0 AS valid_coverage, CAST(NULL AS VARCHAR) AS climatology_method, 'unknown' AS data_mode FROM ob""",
+    ", ".join([*_OBSERVED, "valid_coverage"]),
+    ", ".join(["node_id", "date", "local_patch_id", "track_id", "event_family_id", "node_event_type", "source_variable", "threshold_type", "direction", *_LISTS, "predecessor_count", "successor_count", "continuation_backbone_parent", "continuation_backbone_child", "link_crossed_temporal_gap", "climatology_method", "data_mode", "status", "reason", *_SIDES]),
+    4,
+)
+LINEAGE_EDGES = rounded(
+    f"""{_WITH_LINEAGE} SELECT a AS predecessor_node_id, b AS successor_node_id, d1 AS predecessor_date, d2 AS successor_date, p AS predecessor_patch_id, s AS successor_patch_id, el AS elapsed_days, n AS intersection_cell_count, sa AS intersection_area_km2, un AS union_area_km2, iou AS area_weighted_iou, sa / pa AS predecessor_overlap_fraction, sa / sa2 AS successor_overlap_fraction, km AS centroid_distance_km, ratio AS area_ratio, score AS link_score, 'overlap' AS link_basis, backbone AS is_continuation_backbone,
+CASE WHEN outs >= 2 AND ins >= 2 THEN 'complex' WHEN outs >= 2 THEN 'split' WHEN ins >= 2 THEN 'merge' ELSE 'continuation' END AS lineage_relation, el > 1 AS crosses_temporal_gap, 'valid' AS status, CAST(NULL AS VARCHAR) AS reason FROM ed""",
+    "intersection_area_km2, union_area_km2, area_weighted_iou, predecessor_overlap_fraction, successor_overlap_fraction, centroid_distance_km, area_ratio, link_score",
+    "predecessor_node_id, successor_node_id, predecessor_date, successor_date, predecessor_patch_id, successor_patch_id, elapsed_days, intersection_cell_count, link_basis, is_continuation_backbone, lineage_relation, crosses_temporal_gap, status, reason",
+    4,
+)
+TRACK_LABELS = rounded(
+    f"""{_WITH_LINEAGE} SELECT f.date, f.patch_id, row, col, lat, lon, value, area, exceedance, row = (SELECT max(row) FROM cells) AS north, row = (SELECT min(row) FROM cells) AS south, col = (SELECT max(col) FROM cells) AS east, col = (SELECT min(col) FROM cells) AS west, track_id, event_family_id, kind AS node_event_type, dense_rank() OVER (ORDER BY track_id) AS track_id_number, dense_rank() OVER (ORDER BY event_family_id) AS event_family_id_number FROM found f JOIN ob ON ob.date = f.date AND ob.patch_id = f.patch_id""",
+    "lat, lon, value, area, exceedance",
+    f"date, patch_id, {_CELL}, north, south, east, west, track_id, event_family_id, node_event_type, track_id_number, event_family_id_number",
+    4,
+)
+
+
+def _movement(source: str, key: str) -> str:
+    """CTEs ``steps`` and ``mv`` of the centroids of ``source`` per ``key``."""
+    ends = [f"{f}(centroid_{c}, date)" for f in ("arg_min", "arg_max") for c in ("latitude", "longitude")]
+    return f"""was AS (SELECT *, lag(centroid_latitude) OVER w AS y0, lag(centroid_longitude) OVER w AS x0, date - lag(date) OVER w AS days FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY date)),
+steps AS (SELECT *, CASE WHEN y0 IS NOT NULL THEN {_km('y0', 'x0', 'centroid_latitude', 'centroid_longitude')} END AS km, {_bearing('y0', 'x0', 'centroid_latitude', 'centroid_longitude')} AS turn FROM was),
+mv AS (SELECT {key}, count(*) AS n, sum(km) AS length, max(km / days) AS top, sum(days) AS span, (degrees(atan2(avg(sin(radians(turn))), avg(cos(radians(turn))))) + 360) % 360 AS bearing, {ends[0]} AS ya, {ends[1]} AS xa, {ends[2]} AS yz, {ends[3]} AS xz FROM steps GROUP BY {key}),
+mw AS (SELECT *, {_km('ya', 'xa', 'yz', 'xz')} AS net, {_bearing('ya', 'xa', 'yz', 'xz')} AS net_turn FROM mv)"""
+
+
+_UNITS = "'km2' AS area_unit, 'source-variable unit km2 day' AS cumulative_severity_unit, 'km' AS movement_unit, 'km day-1' AS speed_unit"
+_TRACK = ["mean_area_km2", "median_area_km2", "maximum_area_km2", "minimum_area_km2", "area_standard_deviation_km2", "observed_area_days_km2_days", "area_weighted_mean_exceedance", "maximum_exceedance", "mean_source_value", "maximum_source_value", "cumulative_severity", "mean_area_change_km2_per_day", "maximum_expansion_rate_km2_per_day", "maximum_contraction_rate_km2_per_day", "relative_area_change", "net_displacement_km", "trajectory_length_km", "mean_speed_km_per_day", "maximum_speed_km_per_day", "trajectory_tortuosity", "start_centroid_latitude", "start_centroid_longitude", "end_centroid_latitude", "end_centroid_longitude", *_TURNS]
+_TRACK_TABLE = rounded(
+    f"""{_WITH_LINEAGE}, {_movement('ob', 'track_id')},
+ch AS (SELECT *, (area_km2 - lag(area_km2) OVER w) / (date - lag(date) OVER w) AS change, date - lag(date) OVER w AS step FROM ob WINDOW w AS (PARTITION BY track_id ORDER BY date)),
+tr AS (SELECT track_id, min(event_family_id) AS event_family_id, min(date) AS start_date, max(date) AS end_date, count(*) AS observed_days, max(date) - min(date) + 1 AS duration_calendar_days, count(*) FILTER (step > 1) AS internal_gap_count, arg_min(kind, date) AS start_event_type, arg_max(kind, date) AS end_event_type, avg(area_km2) AS mean_area_km2, quantile_cont(area_km2, 0.5) AS median_area_km2, max(area_km2) AS maximum_area_km2, min(area_km2) AS minimum_area_km2, stddev_pop(area_km2) AS area_standard_deviation_km2, sum(area_km2) AS observed_area_days_km2_days, sum(mean_exceedance * area_km2) / sum(area_km2) AS area_weighted_mean_exceedance, max(maximum_exceedance) AS maximum_exceedance, sum(mean_source_value * area_km2) / sum(area_km2) AS mean_source_value, max(maximum_source_value) AS maximum_source_value, sum(mean_exceedance * area_km2) AS cumulative_severity, avg(change) AS mean_area_change_km2_per_day, max(change) FILTER (change > 0) AS maximum_expansion_rate_km2_per_day, min(change) FILTER (change < 0) AS maximum_contraction_rate_km2_per_day, (arg_max(area_km2, date) - arg_min(area_km2, date)) / arg_min(area_km2, date) AS relative_area_change, count(*) FILTER (change > 0) AS expansion_day_count, count(*) FILTER (change < 0) AS contraction_day_count, {', '.join(f'bool_or({c}) AS {c.replace("touches", "touched")}' for c in _SIDES)}, count(*) FILTER (edge) AS boundary_contact_day_count FROM ch GROUP BY track_id),
+j2 AS (SELECT *, CASE WHEN n >= 2 THEN net ELSE 0 END AS net_displacement_km, CASE WHEN n >= 2 THEN length ELSE 0 END AS trajectory_length_km, CASE WHEN span > 0 THEN length / span END AS mean_speed_km_per_day, top AS maximum_speed_km_per_day, bearing AS mean_bearing_degrees, CASE WHEN n >= 2 THEN net_turn END AS net_bearing_degrees, CASE WHEN n >= 2 AND net > 1e-12 THEN length / net END AS trajectory_tortuosity, ya AS start_centroid_latitude, xa AS start_centroid_longitude, yz AS end_centroid_latitude, xz AS end_centroid_longitude FROM tr JOIN mw USING (track_id))
+SELECT *, {_UNITS}, 'km2 day' AS observed_area_days_unit, 'source-variable unit' AS exceedance_unit, CASE WHEN observed_days = 1 THEN 'Movement and area-change rates require at least two observations' WHEN trajectory_tortuosity IS NULL THEN 'Trajectory tortuosity is not calculated for zero net displacement' END AS reason, CASE WHEN observed_days = 1 OR trajectory_tortuosity IS NULL THEN 'warning' ELSE 'valid' END AS status FROM j2""",
+    ", ".join(_TRACK),
+    ", ".join(["track_id", "event_family_id", "start_date", "end_date", "observed_days", "duration_calendar_days", "internal_gap_count", "start_event_type", "end_event_type", "expansion_day_count", "contraction_day_count", *[c.replace("touches", "touched") for c in _SIDES], "boundary_contact_day_count", "area_unit", "observed_area_days_unit", "exceedance_unit", "cumulative_severity_unit", "movement_unit", "speed_unit", "status", "reason"]),
+    4,
+)
+TRACK_TABLE = f"SELECT * REPLACE ({', '.join(f'{c} % 360 AS {c}' for c in _TURNS)}) FROM ({_TRACK_TABLE})"
+_FAMILY = ["family_area_days_km2_days", "maximum_patch_area_km2", "area_weighted_mean_exceedance", "maximum_exceedance", "cumulative_severity", "mean_total_daily_area_km2", "maximum_total_daily_area_km2", "start_centroid_latitude", "start_centroid_longitude", "end_centroid_latitude", "end_centroid_longitude", "family_net_displacement_km", "family_trajectory_length_km", "mean_family_speed_km_per_day", "maximum_family_extent_km"]
+FAMILY_TABLE = rounded(
+    f"""{_WITH_LINEAGE}, fd AS (SELECT event_family_id, date, sum(area_km2) AS area, count(*) AS many, sum(centroid_latitude * area_km2) / sum(area_km2) AS centroid_latitude, degrees(atan2(sum(area_km2 * sin(radians(centroid_longitude))), sum(area_km2 * cos(radians(centroid_longitude))))) AS centroid_longitude FROM ob GROUP BY ALL),
+{_movement('fd', 'event_family_id')},
+own AS (SELECT event_family_id, min(date) AS start_date, max(date) AS end_date, max(date) - min(date) + 1 AS duration_calendar_days, count(*) AS observed_patch_days, count(DISTINCT track_id) AS track_count, count(DISTINCT node) AS unique_patch_observation_count, count(*) FILTER (kind = 'split_parent') AS split_count, count(*) FILTER (kind = 'merge_child') AS merge_count, count(*) FILTER (kind = 'complex_branch') AS complex_branch_count, sum(area_km2) AS family_area_days_km2_days, max(area_km2) AS maximum_patch_area_km2, sum(mean_exceedance * area_km2) / sum(area_km2) AS area_weighted_mean_exceedance, max(maximum_exceedance) AS maximum_exceedance, sum(mean_exceedance * area_km2) AS cumulative_severity, count(DISTINCT date) FILTER (edge) AS boundary_contact_day_count FROM ob GROUP BY ALL),
+dy AS (SELECT event_family_id, max(many) AS maximum_simultaneous_patch_count, avg(area) AS mean_total_daily_area_km2, max(area) AS maximum_total_daily_area_km2, count(*) AS dates FROM fd GROUP BY ALL),
+ex AS (SELECT o.event_family_id, max({_km('o.centroid_latitude', 'o.centroid_longitude', 't.centroid_latitude', 't.centroid_longitude')}) AS extent FROM ob o JOIN ob t ON t.event_family_id = o.event_family_id AND t.date = o.date AND o.node < t.node GROUP BY ALL)
+SELECT *, ya AS start_centroid_latitude, xa AS start_centroid_longitude, yz AS end_centroid_latitude, xz AS end_centroid_longitude, CASE WHEN n >= 2 THEN net ELSE 0 END AS family_net_displacement_km, CASE WHEN n >= 2 THEN length ELSE 0 END AS family_trajectory_length_km, CASE WHEN span > 0 THEN length / span END AS mean_family_speed_km_per_day, coalesce(extent, 0) AS maximum_family_extent_km, {_UNITS}, 'km2 day' AS family_area_days_unit, CAST(NULL AS VARCHAR) AS climatology_method, 'unknown' AS data_mode, CASE WHEN dates < 2 THEN 'warning' ELSE 'valid' END AS status, CASE WHEN dates < 2 THEN 'Family movement rates require at least two observed dates' END AS reason FROM own JOIN dy USING (event_family_id) JOIN mw USING (event_family_id) LEFT JOIN ex USING (event_family_id)""",
+    ", ".join(_FAMILY),
+    "event_family_id, start_date, end_date, duration_calendar_days, observed_patch_days, track_count, unique_patch_observation_count, split_count, merge_count, complex_branch_count, boundary_contact_day_count, climatology_method, data_mode, maximum_simultaneous_patch_count, area_unit, family_area_days_unit, cumulative_severity_unit, movement_unit, speed_unit, status, reason",
+    4,
+)
 
 
 def moran_rook(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,16 +373,10 @@ def spatial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(assembly.spatial_feature_table(cells, variable="anomaly", unit="degrees_Celsius", threshold=4.0, kind="rook"))
 
 
-def track_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, found = _found(spark, sf_dir)
-    table = patches.patch_table(cells, RULE, found)
-    return report(assembly.track_labels(found, tracks.lineage(table, tracks.links(found, table, LINKS))[0]))
-
-
 QUERIES = {
-    "spatial_features": (spatial_features, None), "track_labels": (track_labels, None),
+    "spatial_features": (spatial_features, None), "track_labels": (track_labels, TRACK_LABELS),
     "patch_labels": (patch_labels, PATCH_LABELS), "patch_table": (patch_table, PATCH_TABLE), "patch_summary": (patch_summary, PATCH_SUMMARY), "patch_links": (patch_links, PATCH_LINKS),
-    "lineage_nodes": (lineage_nodes, None), "lineage_edges": (lineage_edges, None), "track_table": (track_table, None), "family_table": (family_table, None),
+    "lineage_nodes": (lineage_nodes, LINEAGE_NODES), "lineage_edges": (lineage_edges, LINEAGE_EDGES), "track_table": (track_table, TRACK_TABLE), "family_table": (family_table, FAMILY_TABLE),
     "moran_rook": (moran_rook, MORAN_ROOK), "moran_queen": (moran_queen, MORAN_QUEEN), "local_texture": (local_texture, LOCAL_TEXTURE), "thermal_gradient": (thermal_gradient, THERMAL_GRADIENT),
     "threshold_features": (threshold_features, THRESHOLD_FEATURES), "patch_features": (patch_features, PATCH_FEATURES), "representativeness": (representativeness, REPRESENTATIVENESS),
 }
