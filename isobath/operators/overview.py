@@ -135,7 +135,7 @@ def lineage_sample(observations: DataFrame, edges: DataFrame, date: str, track:
 def event_overview(date: str, *, flags: DataFrame, patches: DataFrame, daily: DataFrame, observations: DataFrame, classes: DataFrame) -> DataFrame:
     """One row for a date out of the products: the current event, patches, tracks, families and class."""
     day = F.lit(date).cast("date")
-    event = flags.where(F.col("date") == day).agg(F.max("event").alias("event"), F.max("intensity").alias("intensity"), F.max("status").alias("event_status"))
+    event = flags.where(F.col("date") == day).agg(F.max("event").alias("event"), F.max("event_day").alias("event_day"), F.max("intensity").alias("intensity"), F.max("status").alias("event_status"))
     spots = patches.where(F.col("date") == day).agg(F.count(F.lit(1)).alias("patches"), F.max("area_km2").alias("largest_patch_km2"))
     total = daily.where(F.col("date") == day).agg(F.max("total_patch_area_km2").alias("total_patch_area_km2"))
     moving = observations.where(F.col("date") == day).agg(F.countDistinct("track_id").alias("active_tracks"), F.countDistinct("event_family_id").alias("active_families"))
@@ -166,3 +166,22 @@ def interpretation(classes: DataFrame) -> DataFrame:
         own = sentence(template, "weighted_mean_anomaly") if "%" in template else F.lit(template)
         text = F.when(F.col("class") == name, own).otherwise(text)
     return classes.select("date", "class", text.alias("text"))
+
+
+#: Sentences about an event and what is in space beside it, per language.
+EVENT_TEXT = {
+    "en": ("On %s, event day %d of a regional event", "On %s, no regional event", " at an intensity of %.2f", ". Patches: %d, tracks: %d, families: %d", "; the largest patch has %.0f km2", "."),
+    "es": ("El %s, día %d de un evento regional", "El %s, sin evento regional", " con una intensidad de %.2f", ". Parches: %d, trayectorias: %d, familias: %d", "; el parche mayor tiene %.0f km2", "."),
+}
+
+
+def event_text(overview: DataFrame, language: str = "en") -> DataFrame:
+    """``date``, ``text``: the state of the event and the patches in rows of ``event_overview``, in one of two languages."""
+    running, none, strength, counts, largest, end = EVENT_TEXT[language]
+    day, active = F.date_format("date", "yyyy-MM-dd"), F.col("event").isNotNull()
+    state = F.when(active, F.format_string(running, day, F.coalesce("event_day", F.lit(1)))).otherwise(F.format_string(none, day))
+    parts = [
+        state, F.when(active & F.col("intensity").isNotNull(), sentence(strength, "intensity")), sentence(counts, "patches", "active_tracks", "active_families"),
+        F.when(F.col("patches") > 0, sentence(largest, "largest_patch_km2")), F.lit(end),
+    ]
+    return overview.select("date", F.concat_ws("", *parts).alias("text"))

@@ -48,6 +48,16 @@ def report(cells: DataFrame, *, maximum_gap_days: int = 2, minimum_observations:
     return out.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("overall_status", F.when(F.size("errors") > 0, "invalid").when(F.size("warnings") > 0, "warning").otherwise("valid")).drop("infinite")
 
 
+def dataset_problems(cells: DataFrame) -> DataFrame:
+    """``problem``, one row for each reason why the cells can't be used; none if they can."""
+    missing = [c for c in ("date", "lat", "lon", "value") if c not in cells.columns]
+    if missing:
+        return cells.sparkSession.createDataFrame([(f"Column {c} is missing",) for c in missing], "problem string")
+    found = cells.agg(F.count("date").alias("dates"), F.count(C.finite(F.col("value"))).alias("finite"))
+    problems = F.array_compact(F.array(F.when(F.col("dates") == 0, "There are no dates"), F.when(F.col("finite") == 0, "There are no finite values")))
+    return found.select(F.explode(problems).alias("problem"))
+
+
 def coverage_gate(value: Column, coverage: Column, minimum: float) -> Column:
     """``value``, ``status``, ``reason``: nothing where too little is valid."""
     low = coverage.isNull() | (coverage < minimum)

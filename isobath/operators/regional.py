@@ -52,6 +52,32 @@ def regular_step(cells: DataFrame, axis: str, coordinate: str, tolerance: float
     return steps.agg(F.percentile("step", 0.5).alias("step"), ((F.max("step") - F.min("step")) <= tolerance).alias("regular"))
 
 
+def _extent(cells: DataFrame) -> DataFrame:
+    return cells.agg(F.min("lat").alias("low_lat"), F.max("lat").alias("high_lat"), F.min("lon").alias("low_lon"), F.max("lon").alias("high_lon"))
+
+
+def box_overlap(cells: DataFrame, box: Box) -> DataFrame:
+    """One row, ``meets``: whether the grid's extent meets the rectangle; a grid without cells meets none."""
+    (s, n), (w, e) = box.lat, box.lon
+    meets = (F.col("high_lat") >= s) & (F.col("low_lat") <= n) & (F.col("high_lon") >= w) & (F.col("low_lon") <= e)
+    return _extent(cells).select(F.coalesce(meets, F.lit(False)).alias("meets"))
+
+
+def region_completeness(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """``region_id``, ``complete``: whether the grid reaches each side of the region to half a step."""
+    steps = regular_step(cells, "row", "lat").select((F.coalesce("step", F.lit(0.0)) / 2 + 1e-9).alias("lat_slack"))
+    steps = steps.crossJoin(regular_step(cells, "col", "lon").select((F.coalesce("step", F.lit(0.0)) / 2 + 1e-9).alias("lon_slack")))  # one row each
+    rows = regions.crossJoin(F.broadcast(_extent(cells).crossJoin(steps)))  # one row
+    lat = (F.col("low_lat") <= F.col("south") + F.col("lat_slack")) & (F.col("high_lat") >= F.col("north") - F.col("lat_slack"))
+    lon = (F.col("low_lon") <= F.col("west") + F.col("lon_slack")) & (F.col("high_lon") >= F.col("east") - F.col("lon_slack"))
+    return rows.select("region_id", F.coalesce(lat & lon, F.lit(False)).alias("complete"))
+
+
+def complete_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """The regions that the grid covers: those an index may be given for."""
+    return regions.join(region_completeness(cells, regions).where("complete"), "region_id", "left_semi")
+
+
 def block_means(cells: DataFrame, factor: int, *, minimum_fraction: float = 0.8) -> DataFrame:
     """Area-weighted means of ``factor`` x ``factor`` blocks, where enough of the block is valid; edge blocks are partial."""
     if factor < 1:

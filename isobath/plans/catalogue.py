@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isobath.plans import daily, features, spatial
+from isobath.plans import daily, features, products, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (daily, spatial, features)
+MODULES = (daily, spatial, features, products)
 
 flagship = daily.monthly_anomaly
 
