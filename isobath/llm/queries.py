@@ -130,9 +130,33 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.infill import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("output_sha256", F.sha2("output", 256))
+    return restored(made).withColumn("restored_sha256", F.sha2("text", 256)).drop("text")
+
+
+OP11_SQL = """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), h AS (
+  SELECT *, CAST('0x' || d[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || d[9:16] AS BIGINT) % (n + 1) AS y,
+    CASE WHEN n = 0 OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || d[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM h
+), p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan, op11_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_fill_in_middle": OP11_SQL}
