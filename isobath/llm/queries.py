@@ -154,9 +154,57 @@ FROM p
 """
 
 
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.dialogue import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+#: Checksums bit by bit; then the least (cost, edits) from each row and state, from the last row to the first.
+OP13_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), m AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(k[i]) >> b) & 1)))),
+    lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1)))) % 20 AS m FROM c
+), d AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM m, unnest(CASE m WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS t(copy)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM d
+), f AS (
+  SELECT *, CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o
+), s AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), v AS (
+  SELECT conv_id, n AS i, {'c': 0, 'e': '', 't': ''} AS v0, {'c': 10, 'e': 'II', 't': e'\nuser:\nassistant:'} AS vs, {'c': 5, 'e': 'I', 't': e'\nassistant:'} AS vu, {'c': 0, 'e': '', 't': ''} AS va FROM s
+  UNION ALL
+  SELECT conv_id, i - 1,
+    list_min([w0, {'c': 5 + wu.c, 'e': 'I' || wu.e, 't': e'\nuser:' || wu.t}, {'c': 10 + wa.c, 'e': 'II' || wa.e, 't': e'\nuser:\nassistant:' || wa.t}]),
+    list_min([ws, {'c': 5 + wu.c, 'e': 'I' || wu.e, 't': e'\nuser:' || wu.t}, {'c': 10 + wa.c, 'e': 'II' || wa.e, 't': e'\nuser:\nassistant:' || wa.t}]),
+    list_min([wu, {'c': 5 + wa.c, 'e': 'I' || wa.e, 't': e'\nassistant:' || wa.t}]),
+    list_min([wa, {'c': 5 + wu.c, 'e': 'I' || wu.e, 't': e'\nuser:' || wu.t}])
+  FROM (
+    SELECT v.conv_id, v.i, {'c': 2 + v0.c, 'e': 'D' || v0.e, 't': v0.t} AS d0, {'c': 2 + vs.c, 'e': 'D' || vs.e, 't': vs.t} AS ds, {'c': 2 + vu.c, 'e': 'D' || vu.e, 't': vu.t} AS du, {'c': 2 + va.c, 'e': 'D' || va.e, 't': va.t} AS da,
+      {'c': more + 1 + vu.c, 'e': 'R' || vu.e, 't': e'\nuser:' || text || vu.t} AS ru, {'c': more + 1 + va.c, 'e': 'R' || va.e, 't': e'\nassistant:' || text || va.t} AS ra,
+      {'c': more + CASE WHEN x = 's' THEN 0 ELSE 99 END + vs.c, 'e': 'K' || vs.e, 't': e'\n' || role || ':' || text || vs.t} AS ks, {'c': more + CASE WHEN x = 'u' THEN 0 ELSE 99 END + vu.c, 'e': 'K' || vu.e, 't': e'\n' || role || ':' || text || vu.t} AS ku,
+      {'c': more + CASE WHEN x = 'a' THEN 0 ELSE 99 END + va.c, 'e': 'K' || va.e, 't': e'\n' || role || ':' || text || va.t} AS ka,
+      list_min([d0, ru, ks, ku]) AS w0, list_min([ds, ru, ku]) AS ws, list_min([du, ra, ka]) AS wu, list_min([da, ru, ku]) AS wa
+    FROM v JOIN (SELECT *, CASE fault WHEN '' THEN 0 WHEN 't' THEN 5 ELSE 99 END AS more, left(role, 1) AS x FROM f) AS r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i
+  ) AS step
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.e, '') AS audit, sha256(coalesce(v0.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 0
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan, op11_fill_in_middle, op13_dialogue_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op13_dialogue_repair": OP13_SQL}
