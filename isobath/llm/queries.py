@@ -154,6 +154,26 @@ FROM p
 """
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isobath.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: Holds for pages that mark their article by ``article``, with headings, paragraphs, bold and breaks and the character references below.
+OP12_SQL = r"""
+WITH a AS (
+  SELECT row_number() OVER () AS r, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages
+), b AS (
+  SELECT r, i, string_split_regex(h, '</?(?:h1|p)>')[i] AS x FROM a, unnest(range(1, len(string_split_regex(h, '</?(?:h1|p)>')) + 1)) AS t(i)
+), d AS (
+  SELECT r, i, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g')) AS x FROM b
+)
+SELECT page_id, url, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (x <> ''), '') AS text, CAST(length(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (x <> ''), '')) AS BIGINT) AS n_chars
+FROM a LEFT JOIN d USING (r) GROUP BY r, page_id, url
+"""
+
+
 def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isobath.llm.dialogue import damage, repair
 
@@ -203,8 +223,8 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN s ON s.conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan, op11_fill_in_middle, op13_dialogue_repair)}
+    return {f.__name__: f for f in (op1_warc, op2_repeats, op3_language_id, op4_token_counts, op5_decontaminate, op6_exact_dedup, op7_best_fit, op8_simhash, op9_personal_data, op10_secret_scan, op11_fill_in_middle, op12_main_text, op13_dialogue_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op13_dialogue_repair": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op12_main_text": OP12_SQL, "op13_dialogue_repair": OP13_SQL}
