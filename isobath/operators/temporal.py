@@ -1,20 +1,29 @@
 """Temporal features of daily series over trailing windows, for every end date.
 
-An observation is sent to each window that holds it (a window of w days takes w rows per
-observation), so windows are equi-joined with the existing end dates and no range join is planned.
+``feature_table`` reads a series in two ways.  Sums, moments, extremes and changes are aggregates over window
+frames of its rows by day.  Order statistics, trends and spectra are answered from an index of the
+series (``functions.windows``), which is one row of two arrays: ``BLOCKS`` tasks take their share of
+the end dates each, so the rows exchanged follow the series and not its windows.  A series
+has a row a day; it is the unit that a task holds.
+
+``windowed`` sends each observation to the windows that hold it, for features that only rows express.
 Calendar gaps are never bridged: changes, runs and correlations use pairs one day apart.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+import datetime
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobath.functions import windows as W
+
+#: Shares of a series' end dates.
+BLOCKS = 32
 WINDOWS = (7, 15, 30, 90)
 #: The window of all dates up to the end date; its days are counted from the series' first date.
 ALL = "all"
@@ -40,15 +49,6 @@ def windowed(series: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame
     return sent.join(ends, ["metric", "end"])
 
 
-def expanding(series: DataFrame) -> DataFrame:
-    """As ``windowed``, with one window per end date: from the first date of its series on."""
-    over = Window.partitionBy("metric")
-    sent = series.select("metric", "date", "value", F.min("date").over(over).alias("first"), F.max("date").over(over).alias("last")).where(F.col("value").isNotNull())
-    sent = sent.select("metric", "first", "date", "value", F.explode(F.sequence("date", "last")).alias("end"))
-    ends = series.select("metric", F.col("date").alias("end")).distinct()
-    return sent.join(ends, ["metric", "end"]).select("metric", "end", (F.datediff("end", "first") + 1).alias("days"), "date", "value")
-
-
 def simple_features(rows: DataFrame, *, change_threshold: float = 0.5, level: float = 0.0) -> DataFrame:
     """All features that aggregates and windows express, one wide row per (metric, end, days)."""
     key = ["metric", "end", "days"]
@@ -117,85 +117,153 @@ def spectrum(values: np.ndarray) -> tuple[float, float, float, float]:
     return power.sum() / n**2, 1 / frequency[1:][np.argmax(power[1:])], slow / total, (total - slow) / total
 
 
-def slope_bounds(t: np.ndarray, v: np.ndarray, level: float = 0.95) -> tuple[float, float, float]:
-    """Confidence bounds of the median pairwise slope, and Kendall's two-sided p by the normal approximation."""
-    i, j = np.triu_indices(len(t), 1)
-    slopes = np.sort((v[j] - v[i]) / (t[j] - t[i]))
-    n = len(t)
-    counts = np.unique(v, return_counts=True)[1]
-    variance = (n * (n - 1) * (2 * n + 5) - (counts * (counts - 1) * (2 * counts + 5)).sum()) / 18
-    if variance <= 0:
-        return math.nan, math.nan, math.nan
-    z = 1.959963984540054 if level == 0.95 else abs(_normal_quantile((1 - level) / 2))
-    half = z * math.sqrt(variance)
-    upper = min(int(round((len(slopes) + half) / 2)), len(slopes) - 1)
-    lower = max(int(round((len(slopes) - half) / 2)) - 1, 0)
-    s = np.sign(v[j] - v[i]).sum()
-    return slopes[lower], slopes[upper], math.erfc(abs(s) / math.sqrt(2 * variance))
-
-
-def _normal_quantile(p: float) -> float:
-    low, high = -10.0, 10.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if 0.5 * math.erfc(-mid / math.sqrt(2)) < p else (low, mid)
-    return low
-
-
-def pair_trend(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
-    """``theil_sen`` of one window in memory."""
-    i, j = np.triu_indices(len(t), 1)
-    rise = v[j] - v[i]
-    if not len(rise):
-        return math.nan, math.nan
-    scale = math.sqrt(float(np.count_nonzero(rise)) * len(rise))
-    return float(np.median(rise / (t[j] - t[i]))), np.sign(rise).sum() / scale if scale else math.nan
-
-
-def shaped_features(rows: DataFrame, spectral_minimum: int = 30, trend: bool = False) -> DataFrame:
-    """What aggregates don't express: slope bounds, Kendall's p and the spectrum, per window.
-
-    With ``trend`` also what ``theil_sen`` gives: the pairs of long windows stay in memory, one window at a time.
-    """
+#: Days, ``ALL``, or a period of first and last date, which ends at the end date if that is earlier.
+Span = int | str | tuple[datetime.date, datetime.date]
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date")
-        v = frame["value"].to_numpy(float)
-        t = pd.to_datetime(frame["date"]).to_numpy().astype("datetime64[D]").astype(float)
-        out = [math.nan] * 7
-        if len(v) >= 3:
-            out[:3] = slope_bounds(t, v)
-        if len(v) == key[2] and len(v) >= spectral_minimum and v.std() > 0:
-            out[3:] = spectrum(v)
-        if trend:
-            out.extend(pair_trend(t, v))
-        return pd.DataFrame([[*key, *out]], columns=names)
 
-    names = ["metric", "end", "days", "theil_sen_ci_lower", "theil_sen_ci_upper", "mann_kendall_p_value", *FAMILIES["complexity"][1:], *(("theil_sen_slope", "mann_kendall_tau") if trend else ())]
-    fields = "metric string, end date, days int, " + ", ".join(f"{n} double" for n in names[3:])
-    return rows.groupBy("metric", "end", "days").applyInPandas(one, fields).select("metric", "end", "days", *[F.nanvl(n, F.lit(None)).alias(n) for n in names[3:]])
+def framed(series: DataFrame, spans: tuple[Span, ...], *, change_threshold: float = 0.5, level: float = 0.0) -> DataFrame:
+    """``metric, end, span`` and what aggregates over frames of a series' rows express, for every window at every date.
 
+    All frames are one pass over the rows of a series in order; a period is a frame in which other days have no value.
+    """
+    own = Window.partitionBy("metric").orderBy("day")
+    first = F.min("date").over(Window.partitionBy("metric"))
+    rows = series.withColumns({"day": F.unix_date("date"), "first": first})
+    parts: list[Column] = []
+    entries: list[Column] = []
+    for k, span in enumerate(spans):
+        name = lambda c, k=k: f"{c}__{k}"
+        value = F.when(F.col("date").between(*map(F.lit, span)), F.col("value")) if isinstance(span, tuple) else F.col("value")
+        rows = rows.withColumn(name("v"), value)
+        v = F.col(name("v"))
+        lag = lambda back, v=v: F.when(F.col("day") - F.lag("day", back).over(own) == back, F.lag(v, back).over(own))
+        rows = rows.withColumn(name("p"), F.when(v.isNotNull(), lag(1)))
+        p = F.col(name("p"))
+        rows = rows.withColumns({name("pp"): F.when(p.isNotNull(), lag(2)), name("t"): F.when(v.isNotNull(), F.datediff("date", "first").cast("double"))})
+        t, step = F.col(name("t")), v - p
+        # days of the window that can't end a change (1) or a turn (2) are left out of the frame
+        whole, change, turn = (own.rangeBetween(min(lost + 1 - span, 0), 0) if isinstance(span, int) else own.rowsBetween(Window.unboundedPreceding, 0) for lost in range(3))
+        room = lambda lost, c, span=span: c if not isinstance(span, int) or span > lost else F.lit(None)
+        raw = {
+            "n": F.count(v).over(whole), "mean": F.avg(v).over(whole), "minimum": F.min(v).over(whole), "maximum": F.max(v).over(whole), "mean_absolute_value": F.avg(F.abs(v)).over(whole), "square": F.avg(v * v).over(whole),
+            "positive_load": F.avg(F.greatest(v, v * 0)).over(whole), "negative_load": F.avg(F.greatest(-v, v * 0)).over(whole), "positive_accumulation": F.sum(F.greatest(v, v * 0)).over(whole), "negative_accumulation": F.sum(F.greatest(-v, v * 0)).over(whole),
+            "variance": F.var_pop(v).over(whole), "standard_deviation": F.stddev_pop(v).over(whole), "ols_slope": F.regr_slope(v, t).over(whole), "intercept": F.regr_intercept(v, t).over(whole), "ols_r_squared": F.regr_r2(v, t).over(whole), "t0": F.min(t).over(whole),
+            "initial_final_difference": F.last(v, True).over(whole) - F.first(v, True).over(whole), "proportion_above_threshold": F.avg((v > level).cast("double")).over(whole), "proportion_below_threshold": F.avg((v < level).cast("double")).over(whole),
+            "some_pairs": F.count(p).over(change), "mean_absolute_successive_change": F.avg(F.abs(step)).over(change), "square_change": F.avg(step * step).over(change), "maximum_absolute_jump": F.max(F.abs(step)).over(change),
+            "changes_of_sign": F.count_if((F.signum(v) * F.signum(p)) == -1).over(change), "large": F.count_if(F.abs(step) > change_threshold).over(change), "transitions": F.count_if((v > level) != (p > level)).over(change),
+            "turns": F.count_if(step * (p - F.col(name("pp"))) < 0).over(turn), "deviation": F.least(F.stddev_pop(F.when(p.isNotNull(), v)).over(change), F.stddev_pop(p).over(change)), "correlation": F.corr(v, p).over(change),
+        }
+        parts += [c.alias(name(n)) for n, c in raw.items()]
+        at = lambda n, name=name: F.col(name(n))
+        pairs = F.coalesce(room(1, at("some_pairs")), F.lit(0)).cast("long")
+        paired = lambda c, pairs=pairs: F.when(pairs > 0, c.cast("double"))
+        same = ("n", "mean", "minimum", "maximum", "mean_absolute_value", "positive_load", "negative_load", "positive_accumulation", "negative_accumulation", "variance", "standard_deviation", "ols_slope", "ols_r_squared", "initial_final_difference", "proportion_above_threshold", "proportion_below_threshold")
+        entry = {n: at(n) for n in same} | {n: paired(at(n)) for n in ("mean_absolute_successive_change", "maximum_absolute_jump")}
+        entry |= {
+            "pairs": pairs, "rms": F.sqrt(at("square")), "ols_intercept": at("intercept") + at("ols_slope") * at("t0"), "rmssd": F.sqrt(paired(at("square_change"))), "sign_change_count": paired(at("changes_of_sign")),
+            "turning_point_count": paired(F.coalesce(room(2, at("turns")), F.lit(0))), "proportion_changes_over_threshold": paired(at("large")) / pairs, "state_transition_count": F.coalesce(room(1, at("transitions")), F.lit(0)).cast("double"),
+            "lag1_autocorrelation": F.when((pairs >= 2) & (at("deviation") > 0), at("correlation")),
+        }
+        start, stop = (F.lit(span[0]), F.least("date", F.lit(span[1]))) if isinstance(span, tuple) else (F.col("first") if span == ALL else F.date_sub("date", span - 1), F.col("date"))
+        entry |= {"start": start, "stop": stop, "days": F.datediff(stop, start) + 1}
+        entries.append(F.struct(F.lit(k).alias("span"), *[c.alias(n) for n, c in sorted(entry.items())]))
+    kept = ["metric", "date", "first", *(c for c in ("wanted",) if c in series.columns)]
+    wide = rows.select(*kept, *parts)
+    if "wanted" in kept:
+        wide = wide.where("wanted")
+    out = wide.select("metric", F.col("date").alias("end"), F.inline(F.array(*entries)))
+    r = F.col("lag1_autocorrelation")  # two pairs correlate fully, but for rounding
+    return out.withColumn("decorrelation_time", F.when((r > 0) & (r < 1 - 1e-9), -1.0 / F.ln(r)))
+
+
+#: What ``indexed`` gives beside the key.
+INDEXED = ("p10", "p25", "median", "p75", "p90", "mad", "shannon_entropy", "theil_sen_slope", "theil_sen_ci_lower", "theil_sen_ci_upper", "mann_kendall_tau", "mann_kendall_p_value", "longest_run_above_threshold", "mean_run_length_above_threshold", "longest_run_below_threshold", *FAMILIES["complexity"][1:])
+
+
+def indexed(series: DataFrame, spans: tuple[Span, ...], *, level: float = 0.0, spectral_minimum: int = 30) -> DataFrame:
+    """``metric, end, span`` (its place in ``spans``) and order statistics, trend, runs and spectrum of each window with an observation."""
+    wanted = F.col("wanted") if "wanted" in series.columns else F.lit(True)
+    day = F.struct(F.unix_date("date").alias("day"), F.col("value").cast("double").alias("value"), wanted.alias("wanted"))
+    arrays = series.groupBy("metric").agg(F.array_sort(F.collect_list(day)).alias("s")).select("metric", "s.day", "s.value", "s.wanted")
+    dealt = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    dealt = dealt.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # in turn: blocks cost alike
+    epoch = datetime.date(1970, 1, 1)
+    limits = tuple(tuple((d - epoch).days for d in x) if isinstance(x, tuple) else x for x in spans)
+    fields = "metric string, day int, span int, " + ", ".join(f"{n} double" for n in INDEXED)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for metric, days, values, asked, block in zip(batch["metric"], batch["day"], batch["value"], batch["wanted"], batch["block"], strict=True):
+                found = _windows_of(np.asarray(days, np.int64), np.array([np.nan if x is None else x for x in values], float), np.asarray(asked, bool), int(block), limits, level, spectral_minimum)
+                yield pd.DataFrame({"metric": metric, **found}, columns=["metric", "day", "span", *INDEXED])
+
+    rows = dealt.mapInPandas(each, fields)
+    return rows.select("metric", F.date_from_unix_date("day").alias("end"), "span", *[F.nanvl(n, F.lit(None)).alias(n) for n in INDEXED])
+
+
+def _windows_of(days: np.ndarray, values: np.ndarray, asked: np.ndarray, block: int, spans: tuple, level: float, spectral_minimum: int) -> dict[str, np.ndarray]:
+    """One block's end dates of one series."""
+    ends = days[asked][block::BLOCKS]
+    finite = np.isfinite(values)
+    t, v = days[finite], values[finite]
+    consecutive = np.diff(t, prepend=t[:1] - 2) == 1
+    states = (v > level, v < level)
+    starts = [s & ~(consecutive & np.concatenate([[False], s[:-1]])) for s in states]
+    place = np.arange(len(v))
+    lengths = [np.where(s, place - np.maximum.accumulate(np.where(begins, place, -1)) + 1, 0) for s, begins in zip(states, starts, strict=True)]
+    ranks = W.Ranks(v) if len(v) else None
+    columns: dict[str, list[np.ndarray]] = {n: [] for n in ("day", "span", *INDEXED)}
+    for number, span in enumerate(spans):
+        low = np.full(len(ends), span[0]) if isinstance(span, tuple) else np.full(len(ends), days[0]) if span == ALL else ends - span + 1
+        high = np.minimum(ends, span[1]) if isinstance(span, tuple) else ends
+        lo, hi = np.searchsorted(t, low), np.searchsorted(t, high, "right")
+        some = hi > lo
+        lo, hi, n = lo[some], hi[some], (hi - lo)[some]
+        if not len(lo):
+            continue
+        own = {"day": ends[some], "span": np.full(len(lo), number), "mad": ranks.mad(lo, hi), "shannon_entropy": ranks.entropy(lo, hi)}
+        own |= {name: ranks.quantile(lo, hi, q) for name, q in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))}
+        rising = W.concordance(ranks, v, lo, hi)
+        tied, terms = W.ties(v, lo, hi)
+        pairs = n * (n - 1) // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own["mann_kendall_tau"] = rising / np.sqrt((pairs - tied).astype(float) * pairs)
+        own["mann_kendall_p_value"] = np.array([W.kendall_p(*x) for x in zip(rising.tolist(), n.tolist(), tied.tolist(), terms.tolist(), strict=True)])
+        rest = np.full((10, len(lo)), np.nan)
+        for k, (a, b, m, d) in enumerate(zip(lo.tolist(), hi.tolist(), n.tolist(), (high - low + 1)[some].tolist(), strict=True)):
+            if m > 2:
+                slopes = W.Slopes(t[a:b].astype(float), v[a:b])
+                rest[0, k] = (slopes.at((slopes.pairs - 1) // 2) + slopes.at(slopes.pairs // 2)) / 2
+                if places := W.slope_places(m, int(terms[k]), W.NORMAL_95):
+                    rest[1:3, k] = slopes.at(places[0]), slopes.at(places[1])
+            for row, kind in ((3, 0), (5, 1)):
+                rest[row, k] = np.minimum(lengths[kind][a:b], place[: b - a] + 1).max()
+            begun = int(starts[0][a + 1 : b].sum()) + int(states[0][a])
+            rest[4, k] = states[0][a:b].sum() / begun if begun else 0.0
+            if m == d and m >= spectral_minimum and v[a:b].min() < v[a:b].max():
+                rest[6:, k] = spectrum(v[a:b])
+        own |= dict(zip(("theil_sen_slope", "theil_sen_ci_lower", "theil_sen_ci_upper", "longest_run_above_threshold", "mean_run_length_above_threshold", "longest_run_below_threshold", *FAMILIES["complexity"][1:]), rest, strict=True))
+        for name, column in own.items():
+            columns[name].append(column)
+    return {name: np.concatenate(c) if c else np.zeros(0) for name, c in columns.items()}
+
+
+def wide_features(series: DataFrame, *, windows: tuple[Span, ...] = WINDOWS, change_threshold: float = 0.5, level: float = 0.0) -> DataFrame:
+    """One row per metric, end date and window (``span``: its place in ``windows``) with all features but the coefficient of variation.
+
+    ``series``: ``metric``, ``date`` (once per metric) and ``value``; with a boolean column ``wanted``, only its dates are end dates.
+    """
+    rows = framed(series, windows, change_threshold=change_threshold, level=level)
+    wide = rows.join(indexed(series, windows, level=level), ["metric", "end", "span"], "left")
+    return wide.withColumn("iqr", F.col("p75") - F.col("p25")).withColumn("p90_minus_p10", F.col("p90") - F.col("p10"))
 
-def feature_table(series: DataFrame, *, windows: tuple[int | str, ...] = WINDOWS, minimum: int = 5, unit: str = "1", change_threshold: float = 0.5, level: float = 0.0, coefficient_of_variation_valid: bool = False) -> DataFrame:
-    """The long table of 48 features per metric, end date and window (days, or ``ALL``), with status and reason.
+
+def feature_table(series: DataFrame, *, windows: tuple[Span, ...] = WINDOWS, minimum: int = 5, unit: str = "1", change_threshold: float = 0.5, level: float = 0.0, coefficient_of_variation_valid: bool = False) -> DataFrame:
+    """The long table of 48 features per metric, end date and window (days, ``ALL``, or a period), with status and reason.
 
     ``coefficient_of_variation_valid``: the values have a true zero, so the coefficient of variation is given.
     """
-    key = ["metric", "end", "days"]
-    ends = series.select("metric", F.col("date").alias("end")).distinct()
-    parts = []
-    if fixed := tuple(w for w in windows if w != ALL):
-        rows = windowed(series, fixed)
-        every = ends.withColumn("days", F.explode(F.array(*[F.lit(w) for w in fixed])))
-        wide = every.join(simple_features(rows, change_threshold=change_threshold, level=level), key, "left").join(theil_sen(rows), key, "left").join(shaped_features(rows), key, "left")
-        parts.append(_long(wide, minimum, unit, coefficient_of_variation_valid))
-    if ALL in windows:
-        rows = expanding(series)
-        first = series.groupBy("metric").agg(F.min("date").alias("first"))
-        every = ends.join(first, "metric").select("metric", "end", (F.datediff("end", "first") + 1).alias("days"))
-        wide = every.join(simple_features(rows, change_threshold=change_threshold, level=level), key, "left").join(shaped_features(rows, trend=True), key, "left")
-        parts.append(_long(wide, minimum, unit, coefficient_of_variation_valid))
-    return reduce(DataFrame.union, parts)
+    return _long(wide_features(series, windows=windows, change_threshold=change_threshold, level=level), minimum, unit, coefficient_of_variation_valid)
 
 
 def _long(wide: DataFrame, minimum: int, unit: str, with_variation: bool) -> DataFrame:
@@ -207,12 +275,12 @@ def _long(wide: DataFrame, minimum: int, unit: str, with_variation: bool) -> Dat
         for name in names:
             few = (n < minimum) | (F.lit(family == "trend") & (n < max(3, minimum)))
             value = F.when(~few, variation if name == "coefficient_of_variation" else F.col(name))
-            cover = F.coalesce("pairs", F.lit(0)) / F.greatest(F.lit(1), F.col("days") - 1) if family == "instability" else n / F.col("days")
+            cover = F.coalesce("pairs", F.lit(0)) / F.greatest(F.lit(1), F.col("days") - 1) if family == "instability" else n / F.greatest(F.lit(1), F.col("days"))
             reason = F.when(few, F.format_string(f"Only %d finite observations; minimum is {minimum}", n)).when(value.isNull(), _missing_reason(family, name))
             own = _unit(family, name, unit)
             entries.append(F.struct(F.lit(family).alias("family"), F.lit(name).alias("metric"), value.alias("value"), F.lit(own).alias("unit"), F.when(value.isNull(), "not_calculated").otherwise("valid").alias("status"), reason.alias("reason"), (F.coalesce("pairs", F.lit(0)) if family == "instability" else n).alias("n_observations"), cover.alias("valid_coverage")))
-    long = wide.select(F.col("metric").alias("source_metric"), "end", "days", F.explode(F.array(*entries)).alias("e"))
-    return long.select(F.col("end").alias("analysis_end_date"), F.date_sub("end", F.col("days") - 1).alias("window_start_date"), F.col("end").alias("window_end_date"), F.col("days").alias("window_days"), "source_metric", "e.family", "e.metric", "e.value", "e.unit", "e.status", "e.reason", "e.n_observations", "e.valid_coverage")
+    long = wide.select(F.col("metric").alias("source_metric"), "end", "start", "stop", "days", F.explode(F.array(*entries)).alias("e"))
+    return long.select(F.col("end").alias("analysis_end_date"), F.col("start").alias("window_start_date"), F.col("stop").alias("window_end_date"), F.col("days").alias("window_days"), "source_metric", "e.family", "e.metric", "e.value", "e.unit", "e.status", "e.reason", "e.n_observations", "e.valid_coverage")
 
 
 def _missing_reason(family: str, name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,69 @@ SELECT "end", median(rise / run) AS theil_sen_slope, sum(sign(rise)) / nullif(sq
 )
 
 
+#: Features that one row of ``wide_features`` has.
+_ALL = sorted({n for names in temporal.FAMILIES.values() for n in names} - {"coefficient_of_variation"})
+PERIOD = (datetime.date(1994, 1, 1), datetime.date(1996, 12, 31))
+
+
+def _wide_sql(spans: str, ends: str = "s") -> str:
+    """All features of the windows ``spans`` (``span``, ``start``, ``stop``, of end date ``e.date``) at the dates of ``ends``, each from its rows and pairs."""
+    simple = ", ".join(f"{v} AS {k}" for k, v in _SIMPLE.items())
+    query = f"""WITH RECURSIVE {SERIES_SQL}, s AS (SELECT date, value - (SELECT avg(value) FROM series) AS v FROM series),
+x AS (SELECT e.date AS "end", d.* FROM {ends} AS e, LATERAL ({spans}) AS d),
+w AS (SELECT x.*, s.date, s.v FROM x JOIN s ON s.date BETWEEN x.start AND x.stop),
+p AS (SELECT *, CASE WHEN date - lag(date) OVER o = 1 THEN lag(v) OVER o END AS p, CASE WHEN date - lag(date, 2) OVER o = 2 THEN lag(v, 2) OVER o END AS pp, date - min(date) OVER g AS t, min(v) OVER g AS lo, max(v) OVER g AS hi FROM w WINDOW o AS (PARTITION BY "end", span ORDER BY date), g AS (PARTITION BY "end", span)),
+r AS (SELECT *, CASE WHEN v > 0 THEN sum(CASE WHEN v > 0 AND NOT coalesce(p > 0, false) THEN 1 ELSE 0 END) OVER o END AS ra, CASE WHEN v < 0 THEN sum(CASE WHEN v < 0 AND NOT coalesce(p < 0, false) THEN 1 ELSE 0 END) OVER o END AS rb FROM p WINDOW o AS (PARTITION BY "end", span ORDER BY date)),
+z AS (SELECT *, CASE WHEN ra IS NOT NULL THEN count(*) OVER (PARTITION BY "end", span, ra) END AS sa, CASE WHEN rb IS NOT NULL THEN count(*) OVER (PARTITION BY "end", span, rb) END AS sb FROM r),
+a AS (SELECT "end", span, start, stop, CAST(stop - start + 1 AS BIGINT) AS days, count(*) AS n, {simple} FROM z GROUP BY ALL),
+m AS (SELECT "end", span, median(abs(v - median)) AS mad FROM z JOIN a USING ("end", span) GROUP BY ALL),
+b AS (SELECT "end", span, len(list_filter(range(1, 10), lambda b: v >= lo + b * ((hi - lo) / 10))) AS bin, count(*) AS c FROM z GROUP BY ALL),
+h AS (SELECT "end", span, CASE WHEN count(*) > 1 THEN -sum(s * log2(s)) ELSE 0 END AS shannon_entropy FROM (SELECT *, c / sum(c) OVER (PARTITION BY "end", span) AS s FROM b) GROUP BY ALL),
+q AS (SELECT i."end", i.span, j.v - i.v AS rise, j.date - i.date AS run FROM w AS i JOIN w AS j ON i."end" = j."end" AND i.span = j.span AND j.date > i.date),
+k AS (SELECT "end", span, list_sort(list(rise / run)) AS slopes, median(rise / run) AS theil_sen_slope, CAST(sum(sign(rise)) AS BIGINT) AS s, count(*) AS pairs, count(*) FILTER (rise = 0) AS tied FROM q GROUP BY ALL),
+c AS (SELECT "end", span, sum(c * (c - 1) * (2 * c + 5)) AS terms FROM (SELECT "end", span, v, count(*) AS c FROM w GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT 1 AS m, [CAST(1 AS DOUBLE)] AS share UNION ALL SELECT m + 1, list_transform(range(1, m * (m + 1) // 2 + 2), lambda i: list_sum(share[greatest(1, i - m):i]) / (m + 1)) FROM e WHERE m < 33),
+y AS (SELECT a."end", a.span, n, slopes, theil_sen_slope, s, pairs, tied, (n * (n - 1) * (2 * n + 5) - terms) / 18 AS variance, (pairs - abs(s)) // 2 AS fewer, abs(s) / sqrt(2 * nullif((n * (n - 1) * (2 * n + 5) - terms) / 18, 0)) AS z
+  FROM a JOIN k USING ("end", span) JOIN c USING ("end", span)),
+t AS (SELECT "end", span, theil_sen_slope, s / nullif(sqrt(CAST(pairs - tied AS DOUBLE) * pairs), 0) AS mann_kendall_tau,
+  CASE WHEN variance > 0 THEN slopes[greatest(CAST(round_even((pairs - 1.959963984540054 * sqrt(variance)) / 2, 0) AS BIGINT), 1)] END AS theil_sen_ci_lower,
+  CASE WHEN variance > 0 THEN slopes[least(CAST(round_even((pairs + 1.959963984540054 * sqrt(variance)) / 2, 0) AS BIGINT), pairs - 1) + 1] END AS theil_sen_ci_upper,
+  CASE WHEN tied = 0 AND n <= 33 THEN least(1, 2 * list_sum(share[1:fewer + 1])) WHEN tied = 0 AND fewer <= 1 THEN 0 WHEN z = 0 THEN 1 WHEN z > 4 THEN 0
+    WHEN variance > 0 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 90), lambda i: exp(2 * i * ln(2) + (2 * i + 1) * ln(z) + lgamma(i + 1) - lgamma(2 * i + 2)))) END AS mann_kendall_p_value
+  FROM y LEFT JOIN e ON m = n),
+f AS (SELECT "end", span, n, f, (real * real + imaginary * imaginary) * CASE WHEN 2 * f = n THEN 1 ELSE 2 END AS power FROM (
+  SELECT "end", span, n, f, sum(d * cos(2 * pi() * f * i / n)) AS real, sum(d * sin(2 * pi() * f * i / n)) AS imaginary
+  FROM (SELECT "end", span, n, v - mean AS d, row_number() OVER (PARTITION BY "end", span ORDER BY date) - 1 AS i FROM w JOIN a USING ("end", span) WHERE n = days AND n >= 30 AND minimum < maximum) AS u, unnest(range(1, n // 2 + 1)) AS r(f) GROUP BY "end", span, n, f) AS sums),
+l AS (SELECT "end", span, sum(power) / (n * n) AS spectral_variance, 1 / (arg_max(f, power) * (CAST(1 AS DOUBLE) / n)) AS dominant_period, sum(CASE WHEN f * (CAST(1 AS DOUBLE) / n) <= 0.1 THEN power ELSE 0 END) / sum(power) AS low_frequency_power_fraction, sum(CASE WHEN f * (CAST(1 AS DOUBLE) / n) > 0.1 THEN power ELSE 0 END) / sum(power) AS high_frequency_power_fraction FROM f GROUP BY "end", span, n)
+SELECT a.*, p75 - p25 AS iqr, p90 - p10 AS p90_minus_p10, mad, CASE WHEN lag1_autocorrelation > 0 AND lag1_autocorrelation < 1 - 1e-9 THEN -1 / ln(lag1_autocorrelation) END AS decorrelation_time, shannon_entropy,
+  theil_sen_slope, theil_sen_ci_lower, theil_sen_ci_upper, mann_kendall_tau, mann_kendall_p_value, spectral_variance, dominant_period, low_frequency_power_fraction, high_frequency_power_fraction
+FROM a JOIN m USING ("end", span) JOIN h USING ("end", span) JOIN t USING ("end", span) LEFT JOIN l USING ("end", span) WHERE n >= 5"""
+    return rounded(query, ", ".join(_ALL), '"end", CAST(span AS BIGINT) AS span, start, stop, days, n')
+
+
+def temporal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the windows 7, 15, 30 and 90 at every date, a row a window."""
+    wide = temporal.wide_features(_series(spark, sf_dir))
+    return report(wide.where("n >= 5").select("end", "span", "start", "stop", "days", "n", *_ALL))
+
+
+TEMPORAL_WINDOWS = _wide_sql("SELECT span, e.date - CAST(width - 1 AS INTEGER) AS start, e.date AS stop FROM (VALUES (0, 7), (1, 15), (2, 30), (3, 90)) AS v(span, width)")
+
+
+def temporal_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the window of all dates, and of a period, as they stood on the last date of each quarter."""
+    quarter = Window.partitionBy("metric", F.trunc("date", "quarter"))
+    series = _series(spark, sf_dir).withColumn("wanted", F.col("date") == F.max("date").over(quarter))
+    wide = temporal.wide_features(series, windows=(temporal.ALL, PERIOD))
+    return report(wide.where("n >= 5").select("end", "span", "start", "stop", "days", "n", *_ALL))
+
+
+TEMPORAL_QUARTERS = _wide_sql(
+    f"SELECT 0 AS span, (SELECT min(date) FROM s) AS start, e.date AS stop UNION ALL SELECT 1, DATE '{PERIOD[0]}', least(e.date, DATE '{PERIOD[1]}')",
+    "(SELECT max(date) AS date FROM s GROUP BY date_trunc('quarter', date))",
+)
+
+
 def temporal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 48 features of every end date and production window in the long form with status and reason."""
     return report(temporal.feature_table(_series(spark, sf_dir), windows=(*temporal.WINDOWS, temporal.ALL)))
@@ -269,7 +334,7 @@ def rolling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLLING_EVENTS = rounded("SELECT event_type, date, mean, n, avg(mean) OVER (PARTITION BY event_type ORDER BY date ROWS 6 PRECEDING) AS seven_day_mean FROM (SELECT event_type, CAST(ts AS DATE) AS date, avg(value) AS mean, count(value) AS n FROM events GROUP BY ALL)", "mean, seven_day_mean", "event_type, date, n")
 
 QUERIES = {
-    "temporal_features": (temporal_features, TEMPORAL_FEATURES), "trend_pairs": (trend_pairs, TREND_PAIRS), "temporal_table": (temporal_table, None), "exceedance_runs": (exceedance_runs, EXCEEDANCE_RUNS), "quality_report": (quality_report, QUALITY_REPORT),
+    "temporal_features": (temporal_features, TEMPORAL_FEATURES), "trend_pairs": (trend_pairs, TREND_PAIRS), "temporal_windows": (temporal_windows, TEMPORAL_WINDOWS), "temporal_quarters": (temporal_quarters, TEMPORAL_QUARTERS), "temporal_table": (temporal_table, None), "exceedance_runs": (exceedance_runs, EXCEEDANCE_RUNS), "quality_report": (quality_report, QUALITY_REPORT),
     "block_means": (block_means, BLOCK_MEANS), "regional_indices": (regional_indices, REGIONAL_INDICES), "regional_partials": (regional_partials, REGIONAL_PARTIALS), "domain_anomalies": (domain_anomalies, DOMAIN_ANOMALIES), "cell_areas": (cell_areas, CELL_AREAS),
     "geodesy": (geodesy, GEODESY), "stable_days": (stable_days, STABLE_DAYS), "describe_grid": (describe_grid, DESCRIBE_GRID), "box_subset": (box_subset, BOX_SUBSET), "temporal_segments": (temporal_segments, TEMPORAL_SEGMENTS), "endpoint_changes": (endpoint_changes, ENDPOINT_CHANGES),
     "top_days": (top_days, TOP_DAYS), "number_tokens": (number_tokens, None), "numeric_claims": (numeric_claims, NUMERIC_CLAIMS), "direction_codes": (direction_codes, DIRECTION_CODES), "rolling_events": (rolling_events, ROLLING_EVENTS),

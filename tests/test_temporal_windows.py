@@ -39,3 +39,24 @@ def test_query_has_every_production_window(monkeypatch, spark, series):
     out = features.temporal_table(spark, "")
     assert out.count() == len(DAYS) * 5 * 48
     assert {7, 15, 30, 90, 1, 45} <= {r["window_days"] for r in out.select("window_days").distinct().collect()}
+
+
+def test_period_ends_at_the_end_date(series):
+    period = (DAYS[10], DAYS[30])
+    out = temporal.feature_table(series, windows=(period,)).where("metric = 'mean'").collect()
+    got = {r["analysis_end_date"]: r for r in out}
+    for k in (5, 12, 25, 44 - 1):
+        r, inside = got[DAYS[k]], [v for i, (d, v) in enumerate(zip(DAYS, VALUES, strict=True)) if period[0] <= d <= min(DAYS[k], period[1]) and i != 7]
+        assert r["window_start_date"] == period[0] and r["window_end_date"] == min(DAYS[k], period[1]) and r["n_observations"] == len(inside)
+        assert r["value"] is None if len(inside) < 5 else r["value"] == pytest.approx(statistics.mean(inside))
+
+
+def test_only_wanted_dates_are_end_dates(series):
+    out = temporal.wide_features(series.withColumn("wanted", F.dayofmonth("date") == 1), windows=(7, "all"))
+    assert {r["end"] for r in out.collect()} == {d for d in DAYS if d.day == 1}
+
+
+def test_series_without_values(spark):
+    empty = spark.createDataFrame([("m", DAYS[0], None), ("m", DAYS[1], None)], "metric string, date date, value double")
+    assert {r["status"] for r in temporal.feature_table(empty, windows=(7, "all")).collect()} == {"not_calculated"}
+    assert temporal.feature_table(empty.limit(0), windows=(7, "all")).count() == 0
