@@ -4,21 +4,21 @@ Two texts are near copies if the sets of their ``shingle``-word shingles have a
 of ``LEAST`` or more; a component is what such pairs connect.  A node is a distinct set, named by a
 64-bit hash of it, so copies count once.  Words are those of ``simhash``; a set holds 64-bit hashes.
 
-Fingerprints.  Shingles of five words move about a seventh of a fingerprint's bits at a similarity
-of 0.8, too many for any ball.  The fingerprint that proposes is therefore coarser: of single words,
-each counted ``REPEATS`` times at most, over ``BLOCKS`` independent blocks of ``BITS`` bits.  The
-radius is split over the blocks: pairs within ``3 * BLOCKS - 1`` bits in all, and most that
-are further, have a block within two bits.  Each block is hashed by ``simhash.meeting`` (every
-variant within one bit, shuffled and met), with its number above the bits.
-
-Pairs.  Comparing all that meet would grow with the square of a group of near copies, so nodes meet
-in rounds, about once a node and block each.  A round draws one node of every block value, and
-one block value of every variant; nodes are compared with the node drawn of their own value, and
-those of a variant's values with that of the value drawn there, unless they are known to be in one
-component.  Rounds draw anew and go on until one links a ``WORTH``-th of the first or less.  In variants of at most ``SMALL``
-nodes all pairs not yet in one component are compared at last.  What can be missed is a pair of
-two components that meets in larger variants only and is drawn in none of the rounds; of a group
-that holds together by more than one such pair it takes as many misses to come apart.
+Fingerprints.  At a similarity of 0.8 a fingerprint differs in about 0.15 of its bits, too many for
+any ball.  So each text has ``BLOCKS`` independent fingerprints of ``BITS`` bits, of its distinct
+pairs of neighbouring words, and each is hashed by ``simhash.meeting`` (every variant within one bit, shuffled
+and met), with its number above the bits.  Two texts are compared if any block of theirs is within two
+bits: by the binomial law that holds for 0.95 of the pairs at a similarity of 0.8, whatever the edit
+(words appended or cut off; words replaced change fewer pairs), and for 0.98 at 5/6.  Pairs that
+differ in more than ``FAR`` bits of all blocks are not similar, but for one in 10^5.
+
+Pairs.  Comparing all that meet would grow with the square of a group of near copies.  First each node
+is compared with one leader per block: of the variants that it meets others in, the node that comes
+first in a random order of all nodes, so a group shares few leaders.  What the similar ones among
+these pairs connect has one label.  Then, in every variant whose nodes have several labels, all pairs of
+different labels are compared, in tiles of at most ``TILE`` by ``TILE`` nodes, by their bits and then by
+their sets.  So every pair that meets is compared or in one component already; none is left out
+for the size of its variant.
 
 Null text is empty; texts without a word are one node; ids are told apart as in ``simhash``: rows
 are independent, null ids are smallest and never name a component unless all its ids are null; an
@@ -28,6 +28,7 @@ empty table gives no rows; no other column is returned or looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +45,26 @@ from isobath.llm.simhash import labelled, meeting, text_hashes
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
-BLOCKS, BITS, REPEATS = 5, 40, 2
-SMALL = 8
-#: Rounds go on while one links more than this part of what the first did.
-WORTH = 10
-SEEDS = np.random.default_rng(20240301).integers(0, 2**64, BLOCKS, dtype=np.uint64)
+BLOCKS, BITS = 14, 28
+#: Words of a fingerprint's features, and blocks that are hashed at a time.
+FEATURE, AT_ONCE = 2, 2
+#: Bits of all blocks in which similar texts differ at most: 0.15 of them, and five standard deviations more.
+FAR = int(0.15 * BLOCKS * BITS + 5 * (0.15 * 0.85 * BLOCKS * BITS) ** 0.5)
+TILE = 512
+#: Links that one task labels (16 bytes each); more are labelled by all.
+LINKS = 1 << 20
+SEEDS = np.random.default_rng(20240301).integers(0, 2**64, BLOCKS // 2, dtype=np.uint64)
 
 
 def word_prints(words: np.ndarray) -> np.ndarray:
     """The blocks' bits, each with the block's number above them, of one text's word hashes."""
-    distinct, count = np.unique(words, return_counts=True)
-    words = np.repeat(distinct, np.minimum(count, REPEATS))
-    ones = np.zeros(BLOCKS * BITS, np.int64)
-    for begin in range(0, len(words), 1 << 12):
-        mixed = mix(words[begin : begin + (1 << 12), None] ^ SEEDS).view(np.uint8).reshape(-1, BLOCKS, 8)[:, :, : BITS // 8]
-        ones += np.unpackbits(np.ascontiguousarray(mixed), axis=2).reshape(-1, BLOCKS * BITS).sum(axis=0, dtype=np.int64)
-    packed = np.packbits((2 * ones > len(words)).reshape(BLOCKS, BITS), axis=1)
-    wide = np.zeros((BLOCKS, 8), np.uint8)
-    wide[:, 8 - BITS // 8 :] = packed
-    return wide.view(">u8").reshape(-1).astype(np.int64) | (np.arange(BLOCKS, dtype=np.int64) << BITS)
+    features = shingle_set(words, FEATURE)
+    ones = np.zeros(BLOCKS * 32, np.int64)
+    for begin in range(0, len(features), 1 << 12):  # a mixed number of 64 bits serves two blocks
+        mixed = mix(features[begin : begin + (1 << 12), None] ^ SEEDS)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    packed = np.packbits(2 * ones > len(features)).view(np.uint32).astype(np.int64)
+    return packed >> (32 - BITS) | (np.arange(BLOCKS, dtype=np.int64) << BITS)
 
 
 def shingle_set(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -135,56 +137,109 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
-def drawn(state: DataFrame, members: DataFrame, number: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of one round: ``state`` has ``print``, ``ball`` and ``label``, ``members`` ``variant`` and ``ball``."""
-    node = lambda *key: F.struct(F.xxhash64(*key, F.lit(number)).alias("draw"), "print", "label")
-    led = cut(attach(state, ["ball"], ["print"], {"lead": (F.min(node("print", "ball")), F.min)}), "led")
-    own = led.where("label <> lead.label").select(F.col("lead.print").alias("a"), F.col("print").alias("b"))
-    leads = led.where("print = lead.print").select("ball", "print", "label")
-    met = members.join(leads, "ball").groupBy("variant").agg(F.min(node("ball", "variant")).alias("lead"), F.collect_list(F.struct("print", "label")).alias("m"))
-    across = met.select("lead", F.explode("m").alias("m")).where("m.label <> lead.label").select(F.col("lead.print").alias("a"), F.col("m.print").alias("b"))
-    return own.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def gathered(nodes: DataFrame, blocks: range) -> DataFrame:
+    """``block``, ``group``, ``print``: the nodes of every variant of the blocks, or single value, that several share."""
+    balls = nodes.select("print", F.explode(F.slice("balls", blocks.start + 1, len(blocks))).alias("ball"))
+    values = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("inside")), "values")
+    met = cut(meeting(values.select(F.col("ball").alias("print")), BITS), "variants")
+    # a value shared by several nodes is a group of its own: the complement tells it from variants
+    of = met.select("variant", F.explode("members").alias("ball")).union(values.where("inside > 1").select(F.bitwise_not("ball"), "ball"))
+    groups = of.groupBy("ball").agg(F.array_sort(F.collect_list("variant")).alias("groups"))
+    # a value may be that of a third of all nodes: nodes and groups of a value meet over salts
+    rows = balls.withColumn("own", F.lit(None).cast("array<long>")).unionByName(groups.select(F.lit(None).cast("long").alias("print"), "ball", F.col("groups").alias("own")))
+    placed = attach(rows, ["ball"], ["print"], {"groups": (F.max("own"), F.max)})
+    block = F.shiftright("ball", BITS).cast("int")
+    return placed.where("print IS NOT NULL").select(block.alias("block"), F.explode("groups").alias("group"), "print")
+
+
+def led(members: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b``: each node and, per block, the first in random order of those that it shares a group with."""
+    first = F.struct(F.xxhash64("print").alias("order"), "print")
+    leads = attach(members, ["group"], ["print"], {"lead": (F.min(first), F.min)})
+    own = leads.groupBy("block", "print").agg(F.min("lead").alias("lead")).select("print", F.col("lead.print").alias("lead"))
+    return own.where("print <> lead").select(F.least("print", "lead").alias("a"), F.greatest("print", "lead").alias("b")).distinct()
+
+
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that differ in ``FAR`` bits at most and whose sets' sizes allow a similarity."""
+    side = lambda c: nodes.select(F.col("print").alias(c), F.struct("n", "balls").alias(f"{c}s"))
+    bits = F.aggregate(F.zip_with("as.balls", "bs.balls", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    sizes = LEAST[1] * F.least("as.n", "bs.n") >= LEAST[0] * F.greatest("as.n", "bs.n")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (bits <= FAR)).select("a", "b")
+
+
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Close pairs ``a`` < ``b`` of one group whose labels differ, all of them."""
+    known = members.select("group", "print").join(labels.withColumnRenamed("node", "print"), "print", "left").select("group", "print", F.coalesce("label", "print").alias("label"))
+    mixed = known.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    rows = cut(known.join(mixed, "group", "left_semi"), "mixed")
+    # the label with most nodes of a group is one side only; the others are both
+    sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+    sized = attach(rows.select("group", "print", "label", F.lit(None).cast("struct<n: long, label: long>").alias("m"), F.lit(None).cast("long").alias("s")).unionByName(sizes.select("group", F.lit(None).cast("long").alias("print"), F.lit(None).cast("long").alias("label"), F.col("main").alias("m"), F.col("all").alias("s"))), ["group"], ["print"], {"main": (F.max("m"), F.max), "every": (F.max("s"), F.max)})
+    sized = sized.where("print IS NOT NULL").select("group", "print", "label", (F.col("label") == F.col("main.label")).alias("main"), F.ceil(F.col("every") / TILE).cast("int").alias("columns"), F.greatest(F.ceil((F.col("every") - F.col("main.n")) / TILE), F.lit(1)).cast("int").alias("rows"))
+    spread = lambda n: F.pmod(F.xxhash64("print"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = sized.where("NOT main").select("group", spread("rows").alias("r"), every("columns").alias("c"), "print", "label", F.lit(True).alias("left"))
+    right = sized.select("group", spread("columns").alias("c"), "print", "label", "rows", F.lit(False).alias("left")).select("group", every("rows").alias("r"), "c", "print", "label", "left")
+    filled = left.unionByName(right).join(nodes.select("print", "n", "balls"), "print")
+    tiles = filled.groupBy("group", "r", "c").agg(F.collect_list(F.when(F.col("left"), F.struct("print", "label", "n", "balls"))).alias("x"), F.collect_list(F.when(~F.col("left"), F.struct("print", "label", "n", "balls"))).alias("y"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (_columns(batch.column(c)[k].values) for c in (0, 1))
+                met = (x[1][:, None] != y[1]) & (LEAST[1] * np.minimum(x[2][:, None], y[2]) >= LEAST[0] * np.maximum(x[2][:, None], y[2]))
+                i, j = np.nonzero(met)
+                near = np.bitwise_count(x[3][i] ^ y[3][j]).sum(axis=1) <= FAR
+                a, b = x[0][i[near]], y[0][j[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return tiles.select("x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _columns(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    balls = rows.field("balls").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), BLOCKS)
+    return (*(rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("print", "label", "n")), balls)
 
 
-def unlinked(state: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` with different labels that share a variant of at most ``SMALL`` nodes."""
-    kinds = state.groupBy("ball", "label").agg(F.count(F.lit(1)).alias("many"))
-    differ = members.join(kinds, "ball").groupBy("variant").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("many").alias("many")).where(f"low <> high AND many <= {SMALL}")
-    placed = differ.select("variant").join(members, "variant").join(state, "ball").groupBy("variant").agg(F.array_sort(F.collect_set(F.struct("print", "n", "label"))).alias("m"))
-    every = placed.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y")
-    close = LEAST[1] * F.least("x.n", "y.n") >= LEAST[0] * F.greatest("x.n", "y.n")
-    return every.where((F.col("x.label") != F.col("y.label")) & close).select(F.col("x.print").alias("a"), F.col("y.print").alias("b")).distinct()
+def labels_of(links: DataFrame) -> DataFrame:
+    """``node`` and ``label``, the least node that ``links`` reach, of the nodes in them: by one task while they are ``LINKS`` at most."""
+    if links.count() > LINKS:
+        return components(links)
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p, q = find(a), find(b)
+                top[max(p, q)] = min(p, q)
+        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([find(x) for x in top], pa.int64())], names=["node", "label"])
 
-def contracted(state: DataFrame, links: DataFrame) -> DataFrame:
-    """The state with one label for what ``links`` connect."""
-    known = state.select("print", "label").distinct()
-    side = lambda c, name: known.select(F.col("print").alias(c), F.col("label").alias(name))
-    joined = links.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    outer = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return cut(state.join(outer, "label", "left").select("print", "n", "ball", F.coalesce("to", "label").alias("label")), "state")
+    return links.select("a", "b").coalesce(1).mapInArrow(join, "node long, label long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: id, ``print`` and ``component_id``, the least id that similar pairs reach."""
     rows = cut(sketches(docs, id_col, text_col, shingle), "sketches")
     distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("balls").alias("balls")), "distinct")
-    nodes = distinct.select("print", "n", F.explode("balls").alias("ball"))
-    nodes = cut(attach(nodes, ["ball"], ["print"], {"inside": (F.count(F.lit(1)), F.sum)}), "balls")
-    balls = cut(nodes.groupBy("ball").agg(F.max("inside").alias("inside")), "values")
-    met = cut(meeting(balls.select(F.col("ball").alias("print")), BITS), "variants")
-    members = met.select("variant", F.explode("members").alias("ball"))
-    # of nodes that meet others: those that share a value, and those whose value is at a variant
-    alone = nodes.where("inside = 1").join(members.select("ball").distinct(), "ball", "left_semi")
-    state = nodes.where("inside > 1").unionByName(alone).select("print", "n", "ball", F.col("print").alias("label"))
-    state = cut(state, "state")
-    sets = cut(sets_of(rows, state.select("print").distinct(), shingle), "sets")
-    found: list[int] = []
-    while len(found) < 2 or WORTH * found[-1] > found[0]:
-        links = cut(verified(cut(drawn(state, members, len(found)), "pairs"), sets), "links")
-        found.append(links.count())
-        state = contracted(state, links) if found[-1] else state
-    links = cut(verified(cut(unlinked(state, members), "pairs"), sets), "links")
-    state = contracted(state, links) if not links.isEmpty() else state
-    labels = state.select(F.col("print").alias("node"), "label").distinct()
+    nodes = distinct.select("print", "n", "balls")
+    parts = [cut(gathered(nodes, range(k, min(k + AT_ONCE, BLOCKS))), "members") for k in range(0, BLOCKS, AT_ONCE)]
+    members = reduce(DataFrame.union, parts)
+
+    def similar_of(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), shingle)
+        return cut(verified(pairs, cut(sets, "sets")), "links")
+
+    links = similar_of(cut(close(reduce(DataFrame.union, [led(p) for p in parts]).distinct(), nodes), "pairs"))
+    labels = cut(labels_of(links), "labels")
+    more = cut(across(members, labels, nodes), "pairs")
+    if not more.isEmpty() and not (found := similar_of(more)).isEmpty():
+        labels = cut(labels_of(links.union(found)), "labels")
     return labelled(rows.select("id", "print"), distinct.select("print", "least"), labels, id_col)

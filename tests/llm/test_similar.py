@@ -63,8 +63,55 @@ def test_stage_takes_what_is_similar_and_nothing_else(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [3, 9]
 
 
-def test_large_variants_are_linked_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(S, "SMALL", 1)
+def test_tiles_compare_all_that_meet(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE", 3)
+    monkeypatch.setattr(S, "LINKS", 0)
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     got = {r["doc_id"]: r["component_id"] for r in S.near_copies(docs).collect()}
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+KINDS = ("appended", "prepended", "cut", "inserted", "replaced")
+
+
+def edited(rng, words, kind, share):
+    """A copy whose five-word shingles have about the similarity ``share``; all words are new ones."""
+    n = len(words)
+    new = lambda k: [f"n{rng.randrange(10**9)}" for _ in range(k)]
+    many = round((n - 4) * (1 / share - 1))
+    if kind == "appended":
+        return words + new(many)
+    if kind == "prepended":
+        return new(many) + words
+    if kind == "cut":
+        return words[: n - round((n - 4) * (1 - share))]
+    if kind == "inserted":
+        at = rng.randrange(5, n - 5)
+        # shingles over the place are lost too
+        return words[:at] + new(max(1, many - 8)) + words[at:]
+    own = list(words)
+    for at in rng.sample(range(n), max(1, round(n * (1 - share) / (1 + share) / 5))):
+        own[at] = new(1)[0]
+    return own
+
+
+def test_recall_of_every_kind_of_edit(spark):
+    """Pairs at similarities from 0.8 to 0.95, texts of 30 to 1,000 words; each pair of vocabulary of its own kind."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(400)]
+    docs, pairs = [], []
+    for kind in KINDS:
+        for length in (30, 60, 120, 300, 1000):
+            for share in (0.8, 0.82, 0.84, 0.87, 0.9, 0.95):
+                for _ in range(8):
+                    words = [rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(10**7)}" for _ in range(length)]
+                    a, b = " ".join(words), " ".join(edited(rng, words, kind, share))
+                    x, y = brute_set(a), brute_set(b)
+                    docs += [(len(docs), a), (len(docs) + 1, b)]
+                    pairs.append((kind, docs[-2][0], len(x & y) / len(x | y)))
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for kind in KINDS:
+        wanted = [i for k, i, s in pairs if k == kind and s >= 0.8]
+        assert len(wanted) > 100
+        assert sum(got[i + 1] == i for i in wanted) >= 0.93 * len(wanted), kind
+    assert all(got[i + 1] == i + 1 for _, i, s in pairs if s < 0.8)
