@@ -6,8 +6,8 @@ of ``LEAST`` or more; a component is what such pairs connect.  A node is a disti
 
 Fingerprints.  At a similarity of 0.8 a fingerprint differs in about 0.15 of its bits, too many for
 any ball.  So each text has ``BLOCKS`` independent fingerprints of ``BITS`` bits, of its distinct
-pairs of neighbouring words, and each is hashed by ``simhash.meeting`` (every variant within one bit, shuffled
-and met), with its number above the bits.  Two texts are compared if any block of theirs is within two
+pairs of neighbouring words, and each is hashed by its ball (every variant within one bit, shuffled
+and met, see ``meeting``), with its number above the bits.  Two texts are compared if any block of theirs is within two
 bits: by the binomial law that holds for 0.95 of the pairs at a similarity of 0.8, whatever the edit
 (words appended or cut off; words replaced change fewer pairs), and for 0.98 at 5/6.  Pairs that
 differ in more than ``FAR`` bits of all blocks are not similar, but for one in 10^5.
@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import attach, cut, decoded_sets, salt_of, slices, text_bytes, text_rows
+from isobath.llm.common import attach, cut, decoded_sets, salt_of, shuffle_width, slices, text_bytes, text_rows
 from isobath.llm.components import components
 from isobath.llm.shingles import mix, shingle_hashes
-from isobath.llm.simhash import labelled, meeting, text_hashes
+from isobath.llm.simhash import VARIANTS, labelled, text_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -51,7 +51,7 @@ FEATURE, AT_ONCE = 2, 2
 #: Bits of all blocks in which similar texts differ at most: 0.15 of them, and five standard deviations more.
 FAR = int(0.15 * BLOCKS * BITS + 5 * (0.15 * 0.85 * BLOCKS * BITS) ** 0.5)
 TILE = 512
-#: Links that one task labels (16 bytes each); more are labelled by all.
+#: Links that one task labels (16 bytes each), and nodes that are broadcast (8 bytes); more are dealt to all.
 LINKS = 1 << 20
 SEEDS = np.random.default_rng(20240301).integers(0, 2**64, BLOCKS // 2, dtype=np.uint64)
 
@@ -111,7 +111,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 def sets_of(rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """``print`` and ``hashes``, the set as packed numbers in order, of the nodes."""
-    texts = rows.select("print", "text").join(nodes, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    nodes = cut(nodes, "wanted")
+    # up to LINKS numbers travel to the texts; beyond, texts and numbers meet by shuffle
+    few = F.broadcast(nodes) if nodes.count() <= LINKS else nodes
+    texts = rows.select("print", "text").join(few, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +140,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
+def meeting(values: DataFrame) -> DataFrame:
+    """``variant`` and ``members`` of every variant at which several of the distinct ``ball`` values meet.
+
+    As ``simhash.meeting``, with variant and flipped bit in one number, so half the bytes are shuffled.
+    """
+    tasks = max(shuffle_width(values.sparkSession), values.count() * (BITS + 1) // VARIANTS)
+    flips = F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("bit")
+    one = F.expr(f"CASE WHEN bit < {BITS} THEN shiftleft(1L, bit) ELSE 0L END")
+    emitted = values.select("ball", flips).select((F.shiftleft(F.col("ball").bitwiseXOR(one), 5) + F.col("bit")).alias("packed"))
+    variant = F.shiftright("packed", 5)
+    met = emitted.repartition(tasks, variant).groupBy(variant.alias("variant")).agg(F.bit_or(F.expr("shiftleft(1, CAST(packed & 31 AS INT))")).alias("mask"))
+    flipped = F.expr(f"transform(filter(sequence(0, {BITS}), i -> getbit(mask, i) = 1), i -> CASE WHEN i < {BITS} THEN variant ^ shiftleft(1L, i) ELSE variant END)")
+    return met.where(F.bit_count("mask") > 1).select("variant", F.array_sort(flipped).alias("members"))
+
+
 def gathered(nodes: DataFrame, blocks: range) -> DataFrame:
     """``block``, ``group``, ``print``: the nodes of every variant of the blocks, or single value, that several share."""
     balls = nodes.select("print", F.explode(F.slice("balls", blocks.start + 1, len(blocks))).alias("ball"))
     values = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("inside")), "values")
-    met = cut(meeting(values.select(F.col("ball").alias("print")), BITS), "variants")
+    met = cut(meeting(values), "variants")
     # a value shared by several nodes is a group of its own: the complement tells it from variants
     of = met.select("variant", F.explode("members").alias("ball")).union(values.where("inside > 1").select(F.bitwise_not("ball"), "ball"))
     groups = of.groupBy("ball").agg(F.array_sort(F.collect_list("variant")).alias("groups"))
