@@ -1,7 +1,9 @@
 """Weighted statistics of groups: aggregates, exact quantiles and gradients.
 
-Aggregates combine on the map side.  Quantiles are exact: the rows of a group are sorted once by
-value, whatever the number of probabilities; a group (one date's grid) is the unit of that sort.
+Aggregates combine on the map side.  Quantiles are exact, and no task holds a group: its rows are dealt by the
+leading digits of their values, ``STEPS`` shares an octave, so that shares are in order; each is
+sorted for itself, and the weights of the shares before it, a few numbers a group, give its place.  One
+exchange serves the sorting and the weights, whatever the number of probabilities.
 """
 
 from __future__ import annotations
@@ -10,6 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Shares into which an octave of values is dealt.
+STEPS = 64
+
+
+def share_of(value: Column) -> Column:
+    """Number of the share that a finite value lies in: never falls as values rise."""
+    size = F.floor(F.log2(F.abs(value)) * STEPS).cast("int") + 100_000  # logarithms of doubles lie within 1,100
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
+
+
+def dealt(rows: DataFrame, by: list[str], value: str, weight: Column, ties: list[str] = []) -> DataFrame:
+    """``by, v, w`` of every row, ``upto``, the weights of its group up to it in order of value and ``ties``, and ``every``, all of them."""
+    used = rows.select(*by, *ties, F.col(value).alias("v"), weight.alias("w"), share_of(F.col(value)).alias("share"))
+    used = used.repartition(*by, "share")
+    order = Window.partitionBy(*by, "share").orderBy("v", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = used.select(*by, "share", "v", "w", F.sum("w").over(order).alias("upto"))
+    group = Window.partitionBy(*by)
+    before = F.sum("n").over(group.orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
+    shares = used.groupBy(*by, "share").agg(F.sum("w").alias("n"))
+    shares = shares.select(*by, "share", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(group).alias("every"))
+    return placed.join(shares, [*by, "share"]).select(*by, "v", "w", (F.col("before") + F.col("upto")).alias("upto"), "every")
+
+
 def weight_of(value: Column, weight: Column) -> Column:
     """The weight where the value is there."""
     return F.when(value.isNotNull(), weight)
@@ -44,10 +69,8 @@ def weighted_quantiles(rows: DataFrame, by: list[str], value: str, weight: str,
     Rows without a value or a positive weight don't count; outside the first and last midpoint the
     end values hold.  Equal values are taken in the order of ``ties``, for their weights may differ.
     """
-    used = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*by, *ties, F.col(value).alias("v"), F.col(weight).alias("w"))
-    group = Window.partitionBy(*by)
-    order = group.orderBy("v", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = used.select(*by, "v", ((F.sum("w").over(order) - F.col("w") / 2) / F.sum("w").over(group)).alias("p"))
+    used = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    placed = dealt(used, by, value, F.col(weight), ties).select(*by, "v", ((F.col("upto") - F.col("w") / 2) / F.col("every")).alias("p"))
 
     def at(q: float) -> Column:
         low, high = F.max(F.when(F.col("p") <= q, F.col("v"))), F.min(F.when(F.col("p") > q, F.col("v")))
@@ -57,6 +80,18 @@ def weighted_quantiles(rows: DataFrame, by: list[str], value: str, weight: str,
     return placed.groupBy(*by).agg(*[at(q).alias(name) for name, q in probabilities.items()])
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Per group of ``by``, linear quantiles of the values that are there, by their places from 0."""
+    placed = dealt(rows.where(F.col(value).isNotNull()), by, value, F.lit(1).cast("long")).withColumn("place", F.col("upto") - 1)
+
+    def at(q: float) -> Column:
+        exact = (F.col("every") - 1) * q
+        low, high = (F.max(F.when(F.col("place") == f(exact), F.col("v"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * F.max(exact - F.floor(exact))
+
+    return placed.groupBy(*by).agg(*[at(q).alias(name) for name, q in probabilities.items()])
+
+
 def gradient(value: Column, coordinate: Column, weight: Column, value_mean: Column, coordinate_mean: Column) -> Column:
     """Weighted least-squares slope about known means; null below two points or two coordinates."""
     w = weight_of(value, weight)

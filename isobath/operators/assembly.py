@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isobath.functions import columns as C
 from isobath.functions import statistics as S
 from isobath.operators import bank, climatology, patches, regional, spatial
+from isobath.operators.graph import ranked
 from isobath.sources import cells as cell_sources
 from isobath.sources import sinks
 
@@ -170,7 +171,7 @@ def tracking_problems(labels: DataFrame, table: DataFrame, *, tolerance: float =
 
 def track_labels(labels: DataFrame, observations: DataFrame) -> DataFrame:
     """The label cells with numbers for their track and family; numbers follow the ids' order."""
-    number = lambda c: observations.select(c).distinct().select(c, F.row_number().over(Window.orderBy(c)).alias(f"{c}_number"))  # noqa: E731  one row per id
+    number = lambda c: ranked(observations.select(c).distinct(), [c], f"{c}_number")
     own = observations.select("date", F.col("local_patch_id").alias("patch_id"), "track_id", "event_family_id", "node_event_type")
     return labels.join(own, ["date", "patch_id"]).join(number("track_id"), "track_id").join(number("event_family_id"), "event_family_id")
 

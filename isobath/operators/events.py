@@ -57,8 +57,8 @@ def percentile_threshold(series: DataFrame, percentile: float, keys: list[str] =
     if not 0 < percentile < 100:
         raise ValueError("a percentile lies between 0 and 100")
     if not keys:
-        own = series.agg(F.percentile("value", percentile / 100.0).alias("threshold"))
-        return series.crossJoin(F.broadcast(own))  # one row
+        own = S.percentiles(series.withColumn("every_row", F.lit(0)), ["every_row"], "value", {"threshold": percentile / 100.0})
+        return series.withColumn("every_row", F.lit(0)).join(F.broadcast(own), "every_row", "left").drop("every_row")  # one row
     return series.join(series.groupBy(*keys).agg(F.percentile("value", percentile / 100.0).alias("threshold")), keys)
 
 

@@ -1,7 +1,8 @@
 """Threshold patches of gridded cells: connected components per date, their metrics and daily summary.
 
-Labelling needs a date's grid in one place, so it runs per date on the cells above the threshold
-only; everything else is aggregation by (date, patch).
+Labelling runs per tile of a date's grid, on the cells above the threshold only; labels that touch over a
+tile's border are merged as components of a graph, so neither a patch nor a grid has to fit a
+task.  Everything else is aggregation by (date, patch).
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 from isobath.functions import columns as C
 from isobath.functions import statistics as S
+from isobath.operators.graph import components
+from isobath.sources.staging import stage
 
 ROOK = ((-1, 0), (1, 0), (0, -1), (0, 1))
 QUEEN = (*ROOK, (-1, -1), (-1, 1), (1, -1), (1, 1))
+#: Rows and columns of a tile.
+TILE = 512
 
 
 @dataclass(frozen=True)
@@ -76,16 +81,37 @@ def least_labels(row: np.ndarray, col: np.ndarray, kind: str) -> np.ndarray:
             return parent
 
 
-def labelled(mask_cells: DataFrame, kind: str, keys: list[str] = ["date"]) -> DataFrame:
-    """``keys, row, col, label``: components of the given cells, named by their first cell in scan order."""
-    schema = mask_cells.select(*keys, "row", "col")
+def labelled(mask_cells: DataFrame, kind: str, keys: list[str] = ["date"], tile: int = TILE) -> DataFrame:
+    """``keys, row, col, label``: components of the given cells, named by the place of their first cell in scan order."""
+    at = [F.floor(F.col(c) / tile).cast("int").alias(f"{c}_tile") for c in ("row", "col")]
+    cells = mask_cells.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *at)
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row", "col"]).reset_index(drop=True)
-        return frame.assign(label=least_labels(frame["row"].to_numpy(), frame["col"].to_numpy(), kind).astype("int32"))
-
-    fields = ", ".join(f"{n} {t}" for n, t in schema.dtypes)
-    return schema.groupBy(*keys).applyInPandas(label, f"{fields}, label int")
+        row, col = frame["row"].to_numpy().astype("int64"), frame["col"].to_numpy().astype("int64")
+        first = least_labels(row - row.min(), col - col.min(), kind)
+        return frame.assign(label=row[first] << 32 | col[first])
+
+    fields = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
+    own = stage(cells.groupBy(*keys, "row_tile", "col_tile").applyInPandas(label, f"{fields}, label long"), "tiles")
+    found = own.select(*keys, "row", "col", "label")
+    edges = stage(borders(own, kind, keys, tile), "borders")
+    if edges.isEmpty():
+        return found
+    merged = components(edges).select("node.*", F.col("component.label").alias("least"))
+    return found.join(merged, [*keys, "label"], "left").select(*keys, "row", "col", F.coalesce("least", "label").alias("label"))
+
+
+def borders(cells: DataFrame, kind: str, keys: list[str], tile: int) -> DataFrame:
+    """``a, b``: labels (with their keys) of neighbouring cells of different tiles, once each; only cells on a border are looked at."""
+    on_border = F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1)
+    edge = cells.where(on_border)
+    forward = [o for o in neighbours(kind) if o > (0, 0)]
+    to = edge.withColumn("o", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in forward])))
+    to = to.select(*keys, (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), F.col("label").alias("a"), "row_tile", "col_tile")
+    to = to.where((F.floor(F.col("row") / tile) != F.col("row_tile")) | (F.floor(F.col("col") / tile) != F.col("col_tile"))).drop("row_tile", "col_tile")
+    met = to.join(edge.select(*keys, "row", "col", F.col("label").alias("b")), [*keys, "row", "col"])
+    return met.select(F.struct(*keys, F.col("a").alias("label")).alias("a"), F.struct(*keys, F.col("b").alias("label")).alias("b")).distinct()
 
 
 def detected(cells: DataFrame, rule: PatchRule) -> DataFrame:

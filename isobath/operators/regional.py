@@ -164,12 +164,3 @@ def compatibility(cells: DataFrame, clim: DataFrame, tolerance: float = 1e-6) ->
     days = clim.agg(F.countDistinct("doy").alias("days"), F.bool_and(F.col("clim_std") >= 0).alias("sound"))
     status = F.when(F.col("cells_without") > 0, "incompatible_coordinates").when(F.col("days") != C.DAYS, "incompatible_calendar").when(~F.col("sound"), "invalid_deviation").otherwise("compatible")
     return lost.crossJoin(days).select(status.alias("status"), (status == "compatible").alias("anomaly_allowed"), (status == "compatible").alias("percentiles_allowed"))  # one row each
-
-
-def coastal_distance(cells: DataFrame, coast: DataFrame, limit_km: float = 111.12) -> DataFrame:
-    """Cells within a distance of the nearest coast vertex: vertices of neighbouring degree boxes are compared."""
-    reach = int(limit_km / 111.0) + 1
-    spread = coast.select(F.col("lat").alias("y"), F.col("lon").alias("x"), F.explode(F.sequence(F.floor(F.col("lat")).cast("int") - reach, F.floor(F.col("lat")).cast("int") + reach)).alias("box"))
-    axis = cells.select("row", "col", "lat", "lon").distinct().withColumn("box", F.floor("lat").cast("int"))
-    near = axis.join(spread, "box").groupBy("row", "col").agg(F.min(C.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("coast_km"))
-    return cells.join(near.where(F.col("coast_km") <= limit_km), ["row", "col"])

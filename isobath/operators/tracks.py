@@ -6,6 +6,8 @@ overlap.  Only links that distance alone makes pair the patches of two dates, a
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from isobath.functions import columns as C
 from isobath.functions import statistics as S
-from isobath.operators.graph import components
+from isobath.operators.graph import components, ranked
 from isobath.sources.staging import stage
 
 
@@ -78,33 +80,52 @@ def pair_metrics(cells: DataFrame, patches: DataFrame, rule: TrackRule) -> DataF
     )
 
 
-def best_assignment(score: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairs of the largest total score: shortest augmenting paths with potentials."""
-    turned = score.shape[0] > score.shape[1]
-    cost = -(score.T if turned else score)
-    n, m = cost.shape
-    u, v, owner, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while owner[j0]:
-            used[j0] = True
-            i0 = owner[j0]
-            free = np.flatnonzero(~used[1:]) + 1
-            slack = cost[i0 - 1, free - 1] - u[i0] - v[free]
-            better = slack < least[free]
-            least[free[better]], way[free[better]] = slack[better], j0
-            j1 = free[np.argmin(least[free])]
-            delta = least[j1]
-            u[owner[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((b, a) if turned else (a, b) for a, b in pairs)
+def best_assignment(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> list[int]:
+    """Places of the given pairs that form the one-to-one choice of the largest total score; scores are positive.
+
+    Shortest augmenting paths with potentials over the given pairs alone: memory follows the pairs.
+    A left node may stay alone for a score of zero, which is an arc to an end of its own.
+    """
+    n = int(left.max()) + 1 if len(left) else 0
+    m = int(right.max()) + 1 if len(right) else 0
+    arcs: list[list[tuple[int, float, int]]] = [[(m + i, 0.0, -1)] for i in range(n)]
+    for k, (i, j, x) in enumerate(zip(left.tolist(), right.tolist(), score.tolist(), strict=True)):
+        arcs[i].append((j, -x, k))
+    price, back = [0.0] * (m + n), [min(c for _, c, _ in a) for a in arcs]
+    owner, chosen, mate = [-1] * (m + n), [-1] * (m + n), [-1] * n
+    for start in range(n):
+        least: dict[int, float] = {}
+        way: dict[int, tuple[int, int]] = {}
+        settled: list[tuple[int, float]] = []
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        i, base = start, 0.0
+        while True:
+            for j, cost, k in arcs[i]:
+                if j not in done:
+                    d = base + cost - back[i] - price[j]
+                    if d < least.get(j, math.inf):
+                        least[j], way[j] = d, (i, k)
+                        heapq.heappush(heap, (d, j))
+            while True:
+                base, j = heapq.heappop(heap)
+                if j not in done and base == least[j]:
+                    break
+            done.add(j)
+            if owner[j] < 0:
+                break
+            settled.append((j, base))
+            i = owner[j]
+        back[start] += base
+        for seen, d in settled:
+            back[owner[seen]] += base - d
+            price[seen] -= base - d
+        while True:  # turn the path round
+            i, k = way[j]
+            owner[j], chosen[j], mate[i], j = i, k, j, mate[i]
+            if i == start:
+                break
+    return sorted(k for k in chosen if k >= 0)
 
 
 def links(cells: DataFrame, patches: DataFrame, rule: TrackRule) -> DataFrame:
@@ -117,11 +138,10 @@ def links(cells: DataFrame, patches: DataFrame, rule: TrackRule) -> DataFrame:
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         p, i = np.unique(frame["predecessor_patch_id"], return_inverse=True)
         s, j = np.unique(frame["successor_patch_id"], return_inverse=True)
-        score = np.zeros((len(p), len(s)))
         tie = frame["area_weighted_iou"] * 1e-10 + frame["intersection_area_km2"].clip(upper=1e6) * 1e-18 + (1 - frame["centroid_distance_km"] / 20050.0).clip(lower=0) * 1e-12
-        score[i, j] = frame["link_score"] + tie + (len(p) - i) * (len(s) - j) * 1e-14
-        chosen = set(best_assignment(score))
-        return frame.assign(is_continuation_backbone=[(a, b) in chosen for a, b in zip(i, j, strict=True)])
+        score = (frame["link_score"] + tie).to_numpy() + (len(p) - i) * (len(s) - j) * 1e-14
+        chosen = set(best_assignment(i, j, score))
+        return frame.assign(is_continuation_backbone=[k in chosen for k in range(len(frame))])
 
     fields = ", ".join(f"{n} {t}" for n, t in accepted.dtypes)
     return accepted.groupBy("predecessor_date", "successor_date").applyInPandas(assign, f"{fields}, is_continuation_backbone boolean")
@@ -179,8 +199,7 @@ def _numbered(rows: DataFrame, edges: DataFrame, name: str, letter: str) -> Data
     label = components(edges.select("a", "b")).withColumnRenamed("node", "node_id")
     rows = rows.join(label, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
     first = rows.groupBy("component").agg(F.min(F.struct("date", F.round("centroid_latitude", 9), F.round("centroid_longitude", 9), "patch_id")).alias("first"))
-    # one row per component: the table that numbers them
-    numbers = first.select("component", F.concat(F.lit(letter), F.lpad(F.row_number().over(Window.orderBy("first", "component")).cast("string"), 6, "0")).alias(name))
+    numbers = ranked(first, ["first", "component"], "number").select("component", F.concat(F.lit(letter), F.lpad(F.col("number").cast("string"), 6, "0")).alias(name))
     return rows.join(numbers, "component").drop("component")
 
 

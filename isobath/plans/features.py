@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobath.functions import columns as C
-from isobath.operators import climatology, daily, facts, overview, quality, regional, temporal
+from isobath.operators import climatology, coast, daily, facts, overview, quality, regional, temporal
 from isobath.plans.common import CLIMATOLOGY, STABLE_DAY, report, rounded
 from isobath.sources import cells as cell_sources
 from isobath.sources.driver_tables import FULL_SQL, SERIES_SQL, daily_series, full_grid, grid_cells, grid_sql
@@ -333,9 +333,37 @@ def rolling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROLLING_EVENTS = rounded("SELECT event_type, date, mean, n, avg(mean) OVER (PARTITION BY event_type ORDER BY date ROWS 6 PRECEDING) AS seven_day_mean FROM (SELECT event_type, CAST(ts AS DATE) AS date, avg(value) AS mean, count(value) AS n FROM events GROUP BY ALL)", "mean, seven_day_mean", "event_type, date, n")
 
+def _coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coast vertices: two lines through the suppliers by key."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    lat, lon = -10.5 + F.pmod(F.col("s_suppkey") * 7, F.lit(50)) * 0.05, -91.0 + F.pmod(F.col("s_nationkey") * 11 + F.col("s_suppkey"), F.lit(60)) * 0.05
+    return rows.select((F.col("s_suppkey") % 2).alias("line"), F.col("s_suppkey").alias("place"), lat.alias("lat"), lon.alias("lon"))
+
+
+def coastal_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid points within 60 nautical miles of the coast, with their distance from it."""
+    points = grid_cells(spark, sf_dir, 20, 20).select("row", "col", "lat", "lon").distinct()
+    return report(coast.coast_distance(points, coast.arcs(_coast(spark, sf_dir))))
+
+
+#: All points against all arcs, by latitudes, longitudes and bearings from the arc's first end.
+COASTAL_CORRIDOR = rounded(
+    f"""WITH {grid_sql(20, 20)}, point AS (SELECT DISTINCT row, col, lat, lon, radians(lat) AS p, radians(lon) AS l FROM cells),
+vertex AS (SELECT s_suppkey % 2 AS line, s_suppkey AS place, radians(-10.5 + (s_suppkey * 7) % 50 * 0.05) AS p, radians(-91.0 + (s_nationkey * 11 + s_suppkey) % 60 * 0.05) AS l FROM supplier),
+arc AS (SELECT p AS p1, l AS l1, lead(p) OVER o AS p2, lead(l) OVER o AS l2 FROM vertex WINDOW o AS (PARTITION BY line ORDER BY place)),
+h AS (SELECT row, col, lat, lon, 2 * asin(least(1, sqrt(sin((p - p1) / 2) ^ 2 + cos(p) * cos(p1) * sin((l - l1) / 2) ^ 2))) AS d13, 2 * asin(least(1, sqrt(sin((p - p2) / 2) ^ 2 + cos(p) * cos(p2) * sin((l - l2) / 2) ^ 2))) AS d23,
+  2 * asin(least(1, sqrt(sin((p2 - p1) / 2) ^ 2 + cos(p2) * cos(p1) * sin((l2 - l1) / 2) ^ 2))) AS d12, atan2(sin(l - l1) * cos(p), cos(p1) * sin(p) - sin(p1) * cos(p) * cos(l - l1)) AS b13, atan2(sin(l2 - l1) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(l2 - l1)) AS b12
+  FROM point, arc WHERE p2 IS NOT NULL),
+x AS (SELECT *, asin(sin(d13) * sin(b13 - b12)) AS off, atan2(sin(d13) * cos(b13 - b12), cos(d13)) AS along FROM h)
+SELECT row, col, lat, lon, min({C.EARTH_RADIUS_KM} * CASE WHEN along BETWEEN 0 AND d12 THEN abs(off) ELSE least(d13, d23) END) AS coast_km FROM x GROUP BY ALL HAVING min({C.EARTH_RADIUS_KM} * CASE WHEN along BETWEEN 0 AND d12 THEN abs(off) ELSE least(d13, d23) END) <= 111.12""",
+    "lat, lon, coast_km",
+    "CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col",
+)
+
+
 QUERIES = {
     "temporal_features": (temporal_features, TEMPORAL_FEATURES), "trend_pairs": (trend_pairs, TREND_PAIRS), "temporal_windows": (temporal_windows, TEMPORAL_WINDOWS), "temporal_quarters": (temporal_quarters, TEMPORAL_QUARTERS), "temporal_table": (temporal_table, None), "exceedance_runs": (exceedance_runs, EXCEEDANCE_RUNS), "quality_report": (quality_report, QUALITY_REPORT),
     "block_means": (block_means, BLOCK_MEANS), "regional_indices": (regional_indices, REGIONAL_INDICES), "regional_partials": (regional_partials, REGIONAL_PARTIALS), "domain_anomalies": (domain_anomalies, DOMAIN_ANOMALIES), "cell_areas": (cell_areas, CELL_AREAS),
     "geodesy": (geodesy, GEODESY), "stable_days": (stable_days, STABLE_DAYS), "describe_grid": (describe_grid, DESCRIBE_GRID), "box_subset": (box_subset, BOX_SUBSET), "temporal_segments": (temporal_segments, TEMPORAL_SEGMENTS), "endpoint_changes": (endpoint_changes, ENDPOINT_CHANGES),
-    "top_days": (top_days, TOP_DAYS), "number_tokens": (number_tokens, None), "numeric_claims": (numeric_claims, NUMERIC_CLAIMS), "direction_codes": (direction_codes, DIRECTION_CODES), "rolling_events": (rolling_events, ROLLING_EVENTS),
+    "top_days": (top_days, TOP_DAYS), "coastal_corridor": (coastal_corridor, COASTAL_CORRIDOR), "number_tokens": (number_tokens, None), "numeric_claims": (numeric_claims, NUMERIC_CLAIMS), "direction_codes": (direction_codes, DIRECTION_CODES), "rolling_events": (rolling_events, ROLLING_EVENTS),
 }

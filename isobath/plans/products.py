@@ -14,7 +14,7 @@ from isobath.plans import spatial as spatial_plans
 from isobath.plans.common import CLIMATOLOGY, report, rounded
 from isobath.plans.features import _BOX_SQL, BOXES
 from isobath.sources import cells as cell_sources
-from isobath.sources import sinks
+from isobath.sources import netcdf, sinks
 from isobath.sources.driver_tables import FULL_SQL, SERIES_SQL, daily_series, full_grid, grid_cells, grid_sql
 from isobath.sources.staging import shared_folder, stage
 
@@ -45,6 +45,30 @@ def normalised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORMALISED_CELLS = rounded(f"WITH {GRID} SELECT date, lat, lon, CASE WHEN row <> col THEN value END AS value, dense_rank() OVER (ORDER BY lat) - 1 AS row, dense_rank() OVER (ORDER BY lon) - 1 AS col FROM cells WHERE date BETWEEN DATE '2000-02-01' AND DATE '2000-04-01'", "lat, lon, value", "date, row, col")
 
 
+def netcdf_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube in Kelvin written as NetCDF, its months of one spring read back, normalised and indexed."""
+    path = _folder(spark, "netcdf")
+    cells = full_grid(grid_cells(spark, sf_dir)).select("date", F.col("lat"), (F.col("lon") + 360.0).alias("lon"), (F.col("value") + 273.15).alias("analysed_sst"))
+    netcdf.write_netcdf(cells, path, units="kelvin")
+    back = netcdf.read_netcdf(spark, path, dates=("2000-02-01", "2000-04-01"))
+    return report(cell_sources.indexed(cell_sources.normalised(back)))
+
+
+NETCDF_CUBE = rounded(f"WITH {GRID}, {FULL_SQL} SELECT date, lat, lon, value, dense_rank() OVER (ORDER BY lat) - 1 AS row, dense_rank() OVER (ORDER BY lon) - 1 AS col FROM full_cells WHERE date BETWEEN DATE '2000-02-01' AND DATE '2000-04-01'", "lat, lon, value", "date, row, col")
+
+
+def netcdf_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of one date of a NetCDF cube, of its last month."""
+    path = _folder(spark, "netcdf")
+    cells = full_grid(grid_cells(spark, sf_dir)).select("date", "lat", "lon", "value")
+    netcdf.write_netcdf(cells, path)
+    last = cells.agg(F.max("date").cast("string").alias("d")).first()["d"]
+    return report(netcdf.read_netcdf_date(spark, path, last, ("value",)))
+
+
+NETCDF_DAY = rounded(f"WITH {GRID}, {FULL_SQL} SELECT date, lat, lon, value FROM full_cells WHERE date = (SELECT max(date) FROM cells)", "lat, lon, value", "date")
+
+
 def live_or_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by mode where the live cube is there, and where it holds no finite value."""
     cells = grid_cells(spark, sf_dir).withColumnRenamed("value", "sst")
@@ -441,7 +465,7 @@ concat('El {DAY}, ', CASE WHEN event IS NULL THEN 'sin evento regional' ELSE pri
 
 
 QUERIES = {
-    "normalised_cells": (normalised_cells, NORMALISED_CELLS), "live_or_demo": (live_or_demo, LIVE_OR_DEMO), "available_dates": (available_dates, AVAILABLE_DATES), "unit_names": (unit_names, UNIT_NAMES), "product_states": (product_states, PRODUCT_STATES),
+    "normalised_cells": (normalised_cells, NORMALISED_CELLS), "netcdf_cube": (netcdf_cube, NETCDF_CUBE), "netcdf_day": (netcdf_day, NETCDF_DAY), "live_or_demo": (live_or_demo, LIVE_OR_DEMO), "available_dates": (available_dates, AVAILABLE_DATES), "unit_names": (unit_names, UNIT_NAMES), "product_states": (product_states, PRODUCT_STATES),
     "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY),
     "tile_cover": (tile_cover, TILE_COVER), "source_series": (source_series, SOURCE_SERIES), "resolved_duplicates": (resolved_duplicates, RESOLVED_DUPLICATES), "gated_means": (gated_means, GATED_MEANS), "auxiliary_problems": (auxiliary_problems, AUXILIARY_PROBLEMS),
     "dataset_problems": (dataset_problems, DATASET_PROBLEMS), "lost_coordinates": (lost_coordinates, LOST_COORDINATES), "prepared_series": (prepared_series, PREPARED_SERIES), "threshold_percentile": (threshold_percentile, THRESHOLD_PERCENTILE), "threshold_custom": (threshold_custom, THRESHOLD_CUSTOM),

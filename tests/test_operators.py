@@ -180,11 +180,53 @@ def test_gaps_are_not_bridged(spark):
 def test_best_assignment_against_all_permutations():
     rng = np.random.default_rng(2)
     for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (3, 6)):
-        score = rng.random((n, m))
-        got = sum(score[a, b] for a, b in tracks.best_assignment(score))
+        score = rng.random((n, m)) + 1e-6
+        left, right = (x.ravel() for x in np.indices((n, m)))
+        chosen = tracks.best_assignment(left, right, score.ravel())
+        assert len(set(left[chosen])) == len(set(right[chosen])) == len(chosen)
         short, long = (n, m) if n <= m else (m, n)
         table = score if n <= m else score.T
-        assert math.isclose(got, max(sum(table[i, p[i]] for i in range(short)) for p in itertools.permutations(range(long), short)))
+        assert math.isclose(score.ravel()[chosen].sum(), max(sum(table[i, p[i]] for i in range(short)) for p in itertools.permutations(range(long), short)))
+
+
+def test_best_assignment_of_sparse_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = rng.integers(1, 6, 2)
+        some = rng.random((n, m)) < 0.4
+        left, right = np.nonzero(some)
+        score = rng.random(len(left)) + 1e-6
+        chosen = tracks.best_assignment(left, right, score)
+        assert len(set(left[chosen])) == len(set(right[chosen])) == len(chosen)
+        dense = np.zeros((max(n, m), max(n, m)))
+        dense[left, right] = score
+        best = max(sum(dense[i, p[i]] for i in range(len(dense))) for p in itertools.permutations(range(len(dense))))
+        assert math.isclose(score[chosen].sum(), best, abs_tol=1e-12)
+    assert tracks.best_assignment(np.zeros(0, int), np.zeros(0, int), np.zeros(0)) == []
+
+
+def test_labels_over_tiles_are_those_of_the_whole_grid(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, int(r), int(c)) for d in ("a", "b") for r, c in zip(*np.nonzero(rng.random((40, 50)) < 0.55), strict=True)]
+    # a spiral over all tiles, and cells of another sign that only touch it
+    rows += [("c", r, c) for r in range(0, 40, 4) for c in range(50)] + [("c", r, 49 if r // 4 % 2 else 0) for r in range(36) if r % 4]
+    df = spark.createDataFrame(rows, "date string, row int, col int").repartition(3)
+    for kind in ("rook", "queen"):
+        whole = {(r["date"], r["row"], r["col"]): r["label"] for r in patches.labelled(df, kind).collect()}
+        for tile in (1, 7, 16):
+            assert {(r["date"], r["row"], r["col"]): r["label"] for r in patches.labelled(df, kind, tile=tile).collect()} == whole
+        assert {k[0]: v for k, v in whole.items()}["c"] == 0 and len({v for k, v in whole.items() if k[0] == "c"}) == 1
+        assert all(label <= (r << 32 | c) for (_, r, c), label in whole.items())
+
+
+def test_places_among_all_rows(spark):
+    from isobath.operators.graph import ranked
+
+    values = [(k * 7919) % 1000 for k in range(1000)]
+    out = ranked(spark.createDataFrame([(v, -v % 3) for v in values], "v int, w int").repartition(5), ["w", "v"], "place")
+    got = [(r["w"], r["v"]) for r in sorted(out.collect(), key=lambda r: r["place"])]
+    assert got == sorted(got) and sorted(r["place"] for r in out.collect()) == list(range(1, 1001))
+    assert ranked(spark.createDataFrame([], "v int, w int"), ["v"], "place").count() == 0
 
 
 def lineage_of(spark, fields):
