@@ -14,7 +14,7 @@ from isobath.plans import spatial as spatial_plans
 from isobath.plans.common import CLIMATOLOGY, report, rounded
 from isobath.plans.features import _BOX_SQL, BOXES
 from isobath.sources import cells as cell_sources
-from isobath.sources import netcdf, sinks
+from isobath.sources import netcdf, parts, sinks
 from isobath.sources.driver_tables import FULL_SQL, SERIES_SQL, daily_series, full_grid, grid_cells, grid_sql
 from isobath.sources.staging import shared_folder, stage
 
@@ -166,6 +166,26 @@ def resumed_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESUMED_CLIMATOLOGY = rounded(f"WITH {grid_sql(6, 6)}, {CLIMATOLOGY} SELECT * FROM clim", "clim_mean, clim_p90", f"n, CAST(doy AS BIGINT) AS doy, {_CELL}")
 
 
+def rebuilt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints by tile and year, after one of them was spoiled and all were brought up to date."""
+    folder, tiles = _folder(spark, "parts"), climatology.tiles(6, 6, 9)
+    month = F.add_months(F.lit("1990-01-01").cast("date"), F.datediff("date", F.lit("2000-01-01")))
+    cells = stage(grid_cells(spark, sf_dir, 6, 6).select(month.alias("date"), "row", "col", "value"), "months")
+    parts.build(cells, tiles, folder)
+    spoiled = stage(parts.stored(spark, folder).where("tile = 2 AND year = 1995").withColumn("value", F.col("value") + 1), "spoiled")
+    spoiled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts.KEYS).parquet(f"{folder}/data")
+    state = parts.build(cells, tiles, folder)
+    totals = parts.assembled(spark, folder).groupBy(*parts.KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return report(state.select(*parts.KEYS, "rows", "rebuilt").join(totals, parts.KEYS))
+
+
+REBUILT_PARTS = rounded(
+    f"WITH {grid_sql(6, 6)}, m AS (SELECT CAST(DATE '1990-01-01' + to_months(CAST(date - DATE '2000-01-01' AS INTEGER)) AS DATE) AS date, row // 3 * 2 + col // 3 AS tile, value FROM cells) SELECT tile, year(date) AS year, count(*) AS rows, tile = 2 AND year(date) = 1995 AS rebuilt, count(*) AS n, sum(value) AS total FROM m GROUP BY ALL",
+    "total",
+    "CAST(tile AS BIGINT) AS tile, CAST(year AS BIGINT) AS year, rows, rebuilt, n",
+)
+
+
 def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and tiles of a tiled climatology, and its cells that aren't in one tile exactly."""
     tiled = stage(assembly.build_tiles(grid_cells(spark, sf_dir, 6, 6), 9), "tiled")
@@ -466,7 +486,7 @@ concat('El {DAY}, ', CASE WHEN event IS NULL THEN 'sin evento regional' ELSE pri
 
 QUERIES = {
     "normalised_cells": (normalised_cells, NORMALISED_CELLS), "netcdf_cube": (netcdf_cube, NETCDF_CUBE), "netcdf_day": (netcdf_day, NETCDF_DAY), "live_or_demo": (live_or_demo, LIVE_OR_DEMO), "available_dates": (available_dates, AVAILABLE_DATES), "unit_names": (unit_names, UNIT_NAMES), "product_states": (product_states, PRODUCT_STATES),
-    "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY),
+    "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY), "rebuilt_parts": (rebuilt_parts, REBUILT_PARTS),
     "tile_cover": (tile_cover, TILE_COVER), "source_series": (source_series, SOURCE_SERIES), "resolved_duplicates": (resolved_duplicates, RESOLVED_DUPLICATES), "gated_means": (gated_means, GATED_MEANS), "auxiliary_problems": (auxiliary_problems, AUXILIARY_PROBLEMS),
     "dataset_problems": (dataset_problems, DATASET_PROBLEMS), "lost_coordinates": (lost_coordinates, LOST_COORDINATES), "prepared_series": (prepared_series, PREPARED_SERIES), "threshold_percentile": (threshold_percentile, THRESHOLD_PERCENTILE), "threshold_custom": (threshold_custom, THRESHOLD_CUSTOM),
     "axis_edges": (axis_edges, AXIS_EDGES), "axis_steps": (axis_steps, AXIS_STEPS), "region_extents": (region_extents, REGION_EXTENTS), "region_climatology": (region_climatology, REGION_CLIMATOLOGY), "grid_compatibility": (grid_compatibility, GRID_COMPATIBILITY),

@@ -36,6 +36,11 @@ def _file_system(spark: SparkSession, path: str):
     return jvm, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    jvm, fs = _file_system(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def publish(frames: dict[str, DataFrame], folder: str) -> None:
     """Write all tables beside ``folder``, read each back, and then put the bundle in its place.
 
