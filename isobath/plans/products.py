@@ -17,6 +17,7 @@ from isobath.sources import cells as cell_sources
 from isobath.sources import netcdf, parts, sinks
 from isobath.sources.driver_tables import FULL_SQL, SERIES_SQL, daily_series, full_grid, grid_cells, grid_sql
 from isobath.sources.staging import shared_folder, stage
+from isobath.streaming import daily as stream_daily
 
 GRID = grid_sql()
 DAY = "2000-04-20"
@@ -186,6 +187,27 @@ REBUILT_PARTS = rounded(
 )
 
 
+def streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of days with a mean value above 50 per event type, given out by a stream over the events."""
+    path, notes = _folder(spark, "runs"), _folder(spark, "runs-notes")
+    source = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    runs = stream_daily.settled_runs(events.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "value"), 50.0)
+    runs.writeStream.format("parquet").option("path", path).option("checkpointLocation", notes).trigger(availableNow=True).start().awaitTermination()
+    return report(spark.read.schema(runs.schema).parquet(path))
+
+
+STREAMED_RUNS = rounded(
+    """WITH days AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, avg(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY ALL),
+o AS (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) AS day FROM events),
+g AS (SELECT series, date, mean, date - CAST(row_number() OVER (PARTITION BY series ORDER BY date) AS INTEGER) AS island FROM days, o WHERE date < day AND mean > 50),
+r AS (SELECT series, min(date) AS start, max(date) AS "end", count(*) AS days, max(mean) AS maximum FROM g GROUP BY series, island)
+SELECT r.* FROM r, o WHERE r."end" + 1 < day""",
+    "maximum",
+    'series, start, "end", days',
+)
+
+
 def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and tiles of a tiled climatology, and its cells that aren't in one tile exactly."""
     tiled = stage(assembly.build_tiles(grid_cells(spark, sf_dir, 6, 6), 9), "tiled")
@@ -486,7 +508,7 @@ concat('El {DAY}, ', CASE WHEN event IS NULL THEN 'sin evento regional' ELSE pri
 
 QUERIES = {
     "normalised_cells": (normalised_cells, NORMALISED_CELLS), "netcdf_cube": (netcdf_cube, NETCDF_CUBE), "netcdf_day": (netcdf_day, NETCDF_DAY), "live_or_demo": (live_or_demo, LIVE_OR_DEMO), "available_dates": (available_dates, AVAILABLE_DATES), "unit_names": (unit_names, UNIT_NAMES), "product_states": (product_states, PRODUCT_STATES),
-    "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY), "rebuilt_parts": (rebuilt_parts, REBUILT_PARTS),
+    "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY), "rebuilt_parts": (rebuilt_parts, REBUILT_PARTS), "streamed_runs": (streamed_runs, STREAMED_RUNS),
     "tile_cover": (tile_cover, TILE_COVER), "source_series": (source_series, SOURCE_SERIES), "resolved_duplicates": (resolved_duplicates, RESOLVED_DUPLICATES), "gated_means": (gated_means, GATED_MEANS), "auxiliary_problems": (auxiliary_problems, AUXILIARY_PROBLEMS),
     "dataset_problems": (dataset_problems, DATASET_PROBLEMS), "lost_coordinates": (lost_coordinates, LOST_COORDINATES), "prepared_series": (prepared_series, PREPARED_SERIES), "threshold_percentile": (threshold_percentile, THRESHOLD_PERCENTILE), "threshold_custom": (threshold_custom, THRESHOLD_CUSTOM),
     "axis_edges": (axis_edges, AXIS_EDGES), "axis_steps": (axis_steps, AXIS_STEPS), "region_extents": (region_extents, REGION_EXTENTS), "region_climatology": (region_climatology, REGION_CLIMATOLOGY), "grid_compatibility": (grid_compatibility, GRID_COMPATIBILITY),
