@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -58,6 +59,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that are written: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ differ in more than ``FAR`` bits of all blocks are not similar, but for one in 1
 
 Pairs.  Comparing all that meet would grow with the square of a group of near copies.  First each node
 is compared with one leader per block: of the variants that it meets others in, the node that comes
-first in a random order of all nodes, so a group shares few leaders.  What the similar ones among
+first in a random order of all nodes, so a group shares few leaders; where two meet alone, they are a pair.  What the similar ones among
 these pairs connect has one label.  Then, in every variant whose nodes have several labels, all pairs of
 different labels are compared, in tiles of at most ``TILE`` by ``TILE`` nodes, by their bits and then by
 their sets.  So every pair that meets is compared or in one component already; none is left out
@@ -33,11 +33,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import attach, cut, decoded_sets, salt_of, shuffle_width, slices, text_bytes, text_rows
+from isobath.llm.common import attach, cut, decoded_sets, release, salt_of, shuffle_width, slices, text_bytes, text_rows
 from isobath.llm.components import components
 from isobath.llm.shingles import mix, shingle_hashes
 from isobath.llm.simhash import VARIANTS, labelled, text_hashes
@@ -46,8 +46,8 @@ SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 BLOCKS, BITS = 14, 28
-#: Words of a fingerprint's features, and blocks that are hashed at a time.
-FEATURE, AT_ONCE = 2, 2
+#: Words of a fingerprint's features, and variants that are on disk at a time: as many blocks, one at least.
+FEATURE, AT_ONCE = 2, 1 << 25
 #: Bits of all blocks in which similar texts differ at most: 0.15 of them, and five standard deviations more.
 FAR = int(0.15 * BLOCKS * BITS + 5 * (0.15 * 0.85 * BLOCKS * BITS) ** 0.5)
 TILE = 512
@@ -155,40 +155,51 @@ def meeting(values: DataFrame) -> DataFrame:
     return met.where(F.bit_count("mask") > 1).select("variant", F.array_sort(flipped).alias("members"))
 
 
+def fits(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
+
+
 def gathered(nodes: DataFrame, blocks: range) -> DataFrame:
-    """``block``, ``group``, ``print``: the nodes of every variant of the blocks, or single value, that several share."""
-    balls = nodes.select("print", F.explode(F.slice("balls", blocks.start + 1, len(blocks))).alias("ball"))
+    """``block, group, print, n, lead, size``: the nodes of every variant of the blocks, or single value, that several share.
+
+    ``lead`` is the group's first node in a random order of all.  Of a group of two, only the other one has
+    a row, and none if their sizes rule a similarity out: chance meetings end here.
+    """
+    balls = nodes.select("print", "n", F.explode(F.slice("balls", blocks.start + 1, len(blocks))).alias("ball"))
     values = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("inside")), "values")
     met = cut(meeting(values), "variants")
     # a value shared by several nodes is a group of its own: the complement tells it from variants
     of = met.select("variant", F.explode("members").alias("ball")).union(values.where("inside > 1").select(F.bitwise_not("ball"), "ball"))
     groups = of.groupBy("ball").agg(F.array_sort(F.collect_list("variant")).alias("groups"))
     # a value may be that of a third of all nodes: nodes and groups of a value meet over salts
-    rows = balls.withColumn("own", F.lit(None).cast("array<long>")).unionByName(groups.select(F.lit(None).cast("long").alias("print"), "ball", F.col("groups").alias("own")))
+    rows = balls.withColumn("own", F.lit(None).cast("array<long>")).unionByName(groups.select(F.lit(None).cast("long").alias("print"), F.lit(None).cast("int").alias("n"), "ball", F.col("groups").alias("own")))
     placed = attach(rows, ["ball"], ["print"], {"groups": (F.max("own"), F.max)})
     block = F.shiftright("ball", BITS).cast("int")
-    return placed.where("print IS NOT NULL").select(block.alias("block"), F.explode("groups").alias("group"), "print")
+    members = placed.where("print IS NOT NULL").select(block.alias("block"), F.explode("groups").alias("group"), "print", "n")
+    first = F.struct(F.xxhash64("print").alias("order"), "print", "n")
+    found = attach(members, ["group"], ["print"], {"lead": (F.min(first), F.min), "size": (F.count(F.lit(1)), F.sum)})
+    return found.where((F.col("size") > 2) | (F.col("print") != F.col("lead.print")) & fits("n", "lead.n"))
 
 
 def led(members: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b``: each node and, per block, the first in random order of those that it shares a group with."""
-    first = F.struct(F.xxhash64("print").alias("order"), "print")
-    leads = attach(members, ["group"], ["print"], {"lead": (F.min(first), F.min)})
-    own = leads.groupBy("block", "print").agg(F.min("lead").alias("lead")).select("print", F.col("lead.print").alias("lead"))
-    return own.where("print <> lead").select(F.least("print", "lead").alias("a"), F.greatest("print", "lead").alias("b")).distinct()
+    """Pairs ``a`` < ``b``: those of groups of two, and each other node with one lead per block, the first of its groups'."""
+    two, more = members.where("size = 2"), members.where("size > 2")
+    own = more.groupBy("block", "print", "n").agg(F.min("lead").alias("lead")).select("print", "n", "lead")
+    pairs = two.select("print", "n", "lead").union(own).where((F.col("print") != F.col("lead.print")) & fits("n", "lead.n"))
+    return pairs.select(F.least("print", "lead.print").alias("a"), F.greatest("print", "lead.print").alias("b")).distinct()
 
 
 def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that differ in ``FAR`` bits at most and whose sets' sizes allow a similarity."""
     side = lambda c: nodes.select(F.col("print").alias(c), F.struct("n", "balls").alias(f"{c}s"))
     bits = F.aggregate(F.zip_with("as.balls", "bs.balls", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    sizes = LEAST[1] * F.least("as.n", "bs.n") >= LEAST[0] * F.greatest("as.n", "bs.n")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (bits <= FAR)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits("as.n", "bs.n") & (bits <= FAR)).select("a", "b")
 
 
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Close pairs ``a`` < ``b`` of one group whose labels differ, all of them."""
-    known = members.select("group", "print").join(labels.withColumnRenamed("node", "print"), "print", "left").select("group", "print", F.coalesce("label", "print").alias("label"))
+    """Close pairs ``a`` < ``b`` of one group whose labels differ, all of them; groups of two were compared before."""
+    known = members.where("size > 2").select("group", "print").join(labels.withColumnRenamed("node", "print"), "print", "left").select("group", "print", F.coalesce("label", "print").alias("label"))
     mixed = known.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
     rows = cut(known.join(mixed, "group", "left_semi"), "mixed")
     # the label with most nodes of a group is one side only; the others are both
@@ -248,7 +259,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(sketches(docs, id_col, text_col, shingle), "sketches")
     distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("balls").alias("balls")), "distinct")
     nodes = distinct.select("print", "n", "balls")
-    parts = [cut(gathered(nodes, range(k, min(k + AT_ONCE, BLOCKS))), "members") for k in range(0, BLOCKS, AT_ONCE)]
+    parts, step = [], max(1, min(BLOCKS, AT_ONCE // ((BITS + 1) * max(1, nodes.count()))))
+    for k in range(0, BLOCKS, step):
+        parts.append(cut(gathered(nodes, range(k, min(k + step, BLOCKS))), "members"))
+        release(docs.sparkSession)  # the blocks' variants are on disk no longer than needed
     members = reduce(DataFrame.union, parts)
 
     def similar_of(pairs: DataFrame) -> DataFrame:
@@ -257,6 +271,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = similar_of(cut(close(reduce(DataFrame.union, [led(p) for p in parts]).distinct(), nodes), "pairs"))
     labels = cut(labels_of(links), "labels")
+    release(docs.sparkSession)
     more = cut(across(members, labels, nodes), "pairs")
     if not more.isEmpty() and not (found := similar_of(more)).isEmpty():
         labels = cut(labels_of(links.union(found)), "labels")

@@ -66,6 +66,7 @@ def test_stage_takes_what_is_similar_and_nothing_else(spark):
 def test_tiles_compare_all_that_meet(spark, monkeypatch):
     monkeypatch.setattr(S, "TILE", 3)
     monkeypatch.setattr(S, "LINKS", 0)
+    monkeypatch.setattr(S, "AT_ONCE", 1 << 15)
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     got = {r["doc_id"]: r["component_id"] for r in S.near_copies(docs).collect()}
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
