@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ EXCUSED = (
     r"(?:[Pp]ercentiles?|[Pp]ercentil(?:es)?) +[0-9]+(?![0-9]|[.,][0-9])",
     r"[A-Za-z]+[-_]?[0-9][A-Za-z0-9_-]*",
 )
-#: Claims that a report may not make, by category; fixed patterns over folded text.
+#: Claims that a report may not make, by category, over folded text: defaults, to be replaced by a report's own.
 PROHIBITED = {
     "official_classification": "clasificacion oficial|official classification",
     "forecast": r"\bforecast|\bpredict|\bwill\b|expected to|\bpronostic|se espera que",
@@ -94,16 +96,22 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc")
 
 
-def prohibited_claims(texts: DataFrame, ident: str = "text_id", text: str = "text") -> DataFrame:
-    """Texts that make a prohibited claim, one row per category; a negation up to 35 characters before excuses it."""
-    rows = texts.withColumn("__folded", folded(F.col(text)))
+def _claims(pattern: str) -> Callable[[Column], Column]:
+    """Whether a sentence has a match that no negation excuses: negated ones are taken out first."""
+    negated = f"{NEGATION}.{{0,35}}?(?:{pattern})"
+    return lambda sentence: F.regexp_replace(sentence, negated, " ").rlike(pattern)
+
+
+def prohibited_claims(texts: DataFrame, ident: str = "text_id", text: str = "text", patterns: dict[str, str] = PROHIBITED) -> DataFrame:
+    """Texts that make a prohibited claim, one row per category of ``patterns``; a negation up to 35 characters before, in the same sentence, excuses it."""
+    sentences = F.split(folded(F.col(text)), r"(?<=[.!?;])\s+|\n+")
+    rows = texts.withColumn("__sentences", sentences).withColumn("__whole", folded(F.col(text)))
     found = []
-    for name, pattern in PROHIBITED.items():
-        bare = F.col("__folded")
-        if name != "external_reference":
-            # negated matches are taken out first
-            bare = F.regexp_replace(bare, f"{NEGATION}.{{0,35}}?(?:{pattern})", " ")
-        found.append(F.when(bare.rlike(pattern), F.lit(name)))
+    for name, pattern in patterns.items():
+        if name == "external_reference":
+            found.append(F.when(F.col("__whole").rlike(pattern), F.lit(name)))
+            continue
+        found.append(F.when(F.exists("__sentences", _claims(pattern)), F.lit(name)))
     return rows.select(ident, F.explode(F.array_compact(F.array(*found))).alias("category"))
 
 

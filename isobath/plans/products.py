@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobath.functions import columns as C
-from isobath.operators import assembly, climatology, daily, events, overview, patches, quality, regional, tracks
+from isobath.operators import assembly, climatology, daily, events, overview, patches, quality, regional, rules, tracks
 from isobath.plans import daily as daily_plans
 from isobath.plans import spatial as spatial_plans
 from isobath.plans.common import CLIMATOLOGY, report, rounded
@@ -208,6 +208,45 @@ SELECT r.* FROM r, o WHERE r."end" + 1 < day""",
 )
 
 
+#: Checks of the star schema: some rows break most of them.
+RULES = (
+    rules.Rule("price in range", "orders", "range", ("o_totalprice",), {"low": 2000.0, "high": 300000.0}, "warning"),
+    rules.Rule("status known", "orders", "among", ("o_orderstatus",), {"values": ["O", "F"]}),
+    rules.Rule("priority given", "orders", "required", ("o_orderpriority",)),
+    rules.Rule("customer known", "orders", "reference", ("o_custkey",), {"to": "customer", "columns": ("c_custkey",)}),
+    rules.Rule("one order a customer", "orders", "unique", ("o_custkey",), severity="warning"),
+    rules.Rule("discount at most tax", "lineitem", "order", ("l_discount", "l_tax"), severity="warning"),
+    rules.Rule("not returned", "lineitem", "matches", ("l_returnflag",), {"pattern": "^[AN]$"}),
+    rules.Rule("quantity by discount", "lineitem", "holds", ("l_quantity",), {"condition": "l_quantity < 49 OR l_discount > 0.02"}),
+    rules.Rule("order known", "lineitem", "reference", ("l_orderkey",), {"to": "orders", "columns": ("o_orderkey",)}),
+)
+
+
+def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of orders and line items that break the rules."""
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem", "customer")}
+    return rules.violations(tables, RULES, {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey"})
+
+
+RULE_VIOLATIONS = """SELECT 'price in range' AS rule, 'warning' AS severity, 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS key, 'o_totalprice=' || CAST(o_totalprice AS VARCHAR) AS detail FROM orders WHERE o_totalprice NOT BETWEEN 2000 AND 300000
+UNION ALL SELECT 'status known', 'error', 'orders', CAST(o_orderkey AS VARCHAR), 'o_orderstatus=' || o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+UNION ALL SELECT 'priority given', 'error', 'orders', CAST(o_orderkey AS VARCHAR), 'o_orderpriority=' || coalesce(o_orderpriority, 'null') FROM orders WHERE coalesce(trim(o_orderpriority), '') = ''
+UNION ALL SELECT 'customer known', 'error', 'orders', CAST(o_orderkey AS VARCHAR), 'o_custkey=' || o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'one order a customer', 'warning', 'orders', CAST(min(o_orderkey) AS VARCHAR), 'o_custkey=' || o_custkey || ': ' || count(*) || ' rows' FROM orders GROUP BY o_custkey HAVING count(*) > 1
+UNION ALL SELECT 'discount at most tax', 'warning', 'lineitem', CAST(l_orderkey AS VARCHAR), 'l_discount=' || CAST(l_discount AS VARCHAR) || ', l_tax=' || CAST(l_tax AS VARCHAR) FROM lineitem WHERE l_discount > l_tax
+UNION ALL SELECT 'not returned', 'error', 'lineitem', CAST(l_orderkey AS VARCHAR), 'l_returnflag=' || l_returnflag FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT 'quantity by discount', 'error', 'lineitem', CAST(l_orderkey AS VARCHAR), 'l_quantity=' || CAST(l_quantity AS VARCHAR) FROM lineitem WHERE NOT (l_quantity < 49 OR l_discount > 0.02)
+UNION ALL SELECT 'order known', 'error', 'lineitem', CAST(l_orderkey AS VARCHAR), 'l_orderkey=' || l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"""
+
+
+def rule_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(rules.verdict(rule_violations(spark, sf_dir), RULES))
+
+
+RULE_VERDICT = f"""WITH v AS ({RULE_VIOLATIONS}) SELECT CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 'failed' WHEN count(*) > 0 THEN 'warning' ELSE 'passed' END AS status,
+count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, CAST({len(RULES)} AS BIGINT) AS rules, count(DISTINCT rule) AS rules_broken FROM v"""
+
+
 def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and tiles of a tiled climatology, and its cells that aren't in one tile exactly."""
     tiled = stage(assembly.build_tiles(grid_cells(spark, sf_dir, 6, 6), 9), "tiled")
@@ -508,7 +547,7 @@ concat('El {DAY}, ', CASE WHEN event IS NULL THEN 'sin evento regional' ELSE pri
 
 QUERIES = {
     "normalised_cells": (normalised_cells, NORMALISED_CELLS), "netcdf_cube": (netcdf_cube, NETCDF_CUBE), "netcdf_day": (netcdf_day, NETCDF_DAY), "live_or_demo": (live_or_demo, LIVE_OR_DEMO), "available_dates": (available_dates, AVAILABLE_DATES), "unit_names": (unit_names, UNIT_NAMES), "product_states": (product_states, PRODUCT_STATES),
-    "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY), "rebuilt_parts": (rebuilt_parts, REBUILT_PARTS), "streamed_runs": (streamed_runs, STREAMED_RUNS),
+    "published_bundle": (published_bundle, PUBLISHED_BUNDLE), "json_round_trip": (json_round_trip, JSON_ROUND_TRIP), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "json_lines": (json_lines, JSON_LINES), "resumed_climatology": (resumed_climatology, RESUMED_CLIMATOLOGY), "rebuilt_parts": (rebuilt_parts, REBUILT_PARTS), "streamed_runs": (streamed_runs, STREAMED_RUNS), "rule_violations": (rule_violations, RULE_VIOLATIONS), "rule_verdict": (rule_verdict, RULE_VERDICT),
     "tile_cover": (tile_cover, TILE_COVER), "source_series": (source_series, SOURCE_SERIES), "resolved_duplicates": (resolved_duplicates, RESOLVED_DUPLICATES), "gated_means": (gated_means, GATED_MEANS), "auxiliary_problems": (auxiliary_problems, AUXILIARY_PROBLEMS),
     "dataset_problems": (dataset_problems, DATASET_PROBLEMS), "lost_coordinates": (lost_coordinates, LOST_COORDINATES), "prepared_series": (prepared_series, PREPARED_SERIES), "threshold_percentile": (threshold_percentile, THRESHOLD_PERCENTILE), "threshold_custom": (threshold_custom, THRESHOLD_CUSTOM),
     "axis_edges": (axis_edges, AXIS_EDGES), "axis_steps": (axis_steps, AXIS_STEPS), "region_extents": (region_extents, REGION_EXTENTS), "region_climatology": (region_climatology, REGION_CLIMATOLOGY), "grid_compatibility": (grid_compatibility, GRID_COMPATIBILITY),
