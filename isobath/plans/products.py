@@ -191,7 +191,8 @@ def streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of days with a mean value above 50 per event type, given out by a stream over the events."""
     path, notes = _folder(spark, "runs"), _folder(spark, "runs-notes")
     source = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    # a stream takes a pattern for a file, but not its plain path
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source[:-1]}[t]")
     runs = stream_daily.settled_runs(events.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), "value"), 50.0)
     runs.writeStream.format("parquet").option("path", path).option("checkpointLocation", notes).trigger(availableNow=True).start().awaitTermination()
     return report(spark.read.schema(runs.schema).parquet(path))
