@@ -144,3 +144,47 @@ def diagnose(cells: DataFrame, climatology: DataFrame, analysis_date: str, *, th
     )
     state = F.when(F.col("area_above_p90") >= 50, "widespread").when(F.col("area_above_p90") > 0, "localized").otherwise("not_above")
     return out.withColumn("percentile_state", state).withColumn("flag", C.thermal_flag(F.col("mean_anomaly"), threshold))
+
+
+def full_diagnosis(cells: DataFrame, climatology: DataFrame | None = None, analysis_date: str | None = None, *, method: str = "daily", threshold: float = 2.0) -> DataFrame:
+    """One row of twelve metrics for one date, the last one by default; without a climatology only what needs none.
+
+    Changes are to the date before and the seventh before it among the available dates.
+    """
+    dates = cells.select("date").distinct()
+    if analysis_date is not None:
+        dates = dates.where(F.col("date") <= F.lit(analysis_date).cast("date"))
+    last = [r["date"] for r in dates.orderBy(F.col("date").desc()).limit(8).collect()]
+    if not last or analysis_date is not None and str(last[0]) != analysis_date:
+        raise ValueError(f"no cells of {analysis_date or 'any date'}")
+    on = lambda k: F.max(F.when(F.col("date") == F.lit(last[k]), F.col("value"))) if len(last) > k else F.lit(None).cast("double")
+    rows = cells.where(F.col("date").isin(*{last[k] for k in (0, 1, 7) if len(last) > k})).groupBy("row", "col", "lat", "lon").agg(on(0).alias("value"), on(1).alias("day_before"), on(7).alias("week_before"), F.max(F.col("date") == F.lit(last[0])).alias("there"))
+    rows = weighted(rows.where("there").drop("there").withColumn("date", F.lit(last[0])))
+    v, w = F.col("value"), F.col("w")
+    wanted = {
+        "mean_sst_c": S.weighted_mean(v, w), "mean_daily_change_c": S.weighted_mean(v - F.col("day_before"), w), "seven_day_change_c": S.weighted_mean(v - F.col("week_before"), w), "valid_data_coverage_percent": 100.0 * S.coverage(v, w),
+    }
+    later = ("mean_sst_anomaly_c", "maximum_anomaly_c", "p90_anomaly_c", "area_anomaly_ge_threshold_percent", "warm_centroid_longitude", "warm_centroid_latitude", "area_above_climatological_p90_percent", "percentile_warm_state")
+    if climatology is None:
+        out = rows.groupBy("date").agg(*[c.alias(n) for n, c in wanted.items()])
+        return out.select("*", *[F.lit(None).cast("string" if n == "percentile_warm_state" else "double").alias(n) for n in later])
+    rows = anomalies(rows, climatology, method)
+    a = F.col("anomaly")
+    pull = F.when(a >= threshold, a * w)
+    p90 = F.col("clim_p90") if "clim_p90" in climatology.columns else F.lit(None).cast("double")
+    both = F.when(v.isNotNull() & p90.isNotNull(), F.when(v > p90, 1.0).otherwise(0.0))
+    wanted |= {
+        "mean_sst_anomaly_c": S.weighted_mean(a, w), "maximum_anomaly_c": F.max(a), "area_anomaly_ge_threshold_percent": S.percent_area(a, w, a >= threshold), "area_above_climatological_p90_percent": 100.0 * S.weighted_mean(both, w),
+        **{f"warm_centroid_{n}": F.when(F.sum(pull) > 0, F.sum(pull * F.col(c)) / F.sum(pull)) for c, n in (("lat", "latitude"), ("lon", "longitude"))},
+    }
+    out = rows.groupBy("date").agg(*[c.alias(n) for n, c in wanted.items()])
+    out = out.join(S.weighted_quantiles(rows, ["date"], "anomaly", "w", {"p90_anomaly_c": 0.9}), "date", "left")
+    share = F.col("area_above_climatological_p90_percent")
+    return out.withColumn("percentile_warm_state", F.when(share >= 50, "widespread_above_p90").when(share > 0, "localized_above_p90").when(share.isNotNull(), "not_above_p90"))
+
+
+def latest_diagnosis(cells: DataFrame, *, threshold: float = 2.0) -> DataFrame:
+    """``full_diagnosis`` of the last date against the cells' own monthly statistics."""
+    from isobath.operators.climatology import monthly
+
+    return full_diagnosis(cells, monthly(cells), method="monthly", threshold=threshold)

@@ -214,6 +214,40 @@ SELECT *, CASE WHEN area_above_p90 >= 50 THEN 'widespread' WHEN area_above_p90 >
 )
 
 
+_TWELVE = "mean_sst_c, mean_daily_change_c, seven_day_change_c, valid_data_coverage_percent, mean_sst_anomaly_c, maximum_anomaly_c, p90_anomaly_c, area_anomaly_ge_threshold_percent, warm_centroid_longitude, warm_centroid_latitude, area_above_climatological_p90_percent"
+
+
+def _twelve_sql(clim: str, match: str, day: str, p90: str) -> str:
+    """The twelve metrics of the date ``day`` against the climatology ``clim`` joined by ``match``."""
+    rows = f"""{clim}, dates AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM (SELECT DISTINCT date FROM cells WHERE date <= {day})),
+now AS (SELECT c.*, cos(radians(lat)) AS w FROM cells c JOIN dates USING (date) WHERE k = 1), d1 AS (SELECT c.* FROM cells c JOIN dates USING (date) WHERE k = 2), d7 AS (SELECT c.* FROM cells c JOIN dates USING (date) WHERE k = 8),
+a AS (SELECT n.*, n.value - d1.value AS c1, n.value - d7.value AS c7, n.value - clim_mean AS anomaly, {p90} AS p90 FROM now n LEFT JOIN d1 ON d1.row = n.row AND d1.col = n.col LEFT JOIN d7 ON d7.row = n.row AND d7.col = n.col LEFT JOIN clim m ON m.row = n.row AND m.col = n.col AND {match}),
+q AS ({quantile_sql('a', 'date', 'anomaly', 'w', {'p90_anomaly_c': 0.9})}),
+o AS (SELECT date, sum(value * w) / sum(w) AS mean_sst_c, sum(c1 * w) / sum(CASE WHEN c1 IS NOT NULL THEN w END) AS mean_daily_change_c, sum(c7 * w) / sum(CASE WHEN c7 IS NOT NULL THEN w END) AS seven_day_change_c, 100.0 AS valid_data_coverage_percent,
+  sum(anomaly * w) / sum(CASE WHEN anomaly IS NOT NULL THEN w END) AS mean_sst_anomaly_c, max(anomaly) AS maximum_anomaly_c, 100 * sum(CASE WHEN anomaly >= 2 THEN w ELSE 0 END) / sum(CASE WHEN anomaly IS NOT NULL THEN w END) AS area_anomaly_ge_threshold_percent,
+  sum(CASE WHEN anomaly >= 2 THEN anomaly * w * lon END) / sum(CASE WHEN anomaly >= 2 THEN anomaly * w END) AS warm_centroid_longitude, sum(CASE WHEN anomaly >= 2 THEN anomaly * w * lat END) / sum(CASE WHEN anomaly >= 2 THEN anomaly * w END) AS warm_centroid_latitude,
+  100 * sum(CASE WHEN value > p90 THEN w WHEN p90 IS NOT NULL THEN 0 END) / sum(CASE WHEN p90 IS NOT NULL THEN w END) AS area_above_climatological_p90_percent FROM a GROUP BY date)
+SELECT o.*, p90_anomaly_c, CASE WHEN area_above_climatological_p90_percent >= 50 THEN 'widespread_above_p90' WHEN area_above_climatological_p90_percent > 0 THEN 'localized_above_p90' WHEN area_above_climatological_p90_percent IS NOT NULL THEN 'not_above_p90' END AS percentile_warm_state FROM o JOIN q USING (date)"""
+    return rounded(f"WITH {grid_sql(6, 6)}, {rows}", _TWELVE, "date, percentile_warm_state")
+
+
+def full_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve metrics of one date against the daily climatology."""
+    cells = grid_cells(spark, sf_dir, 6, 6)
+    return report(daily.full_diagnosis(cells, climatology.daily_statistics(cells), "2000-04-10"))
+
+
+FULL_DIAGNOSIS = _twelve_sql(CLIMATOLOGY, f"m.doy = {STABLE_DAY.replace('date', 'n.date').replace('make_n.date', 'make_date')}", "DATE '2000-04-10'", "clim_p90")
+
+
+def latest_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve metrics of the last date against the cells' monthly statistics, which have no percentile."""
+    return report(daily.latest_diagnosis(grid_cells(spark, sf_dir, 6, 6)))
+
+
+LATEST_DIAGNOSIS = _twelve_sql("clim AS (SELECT row, col, month(date) AS month, avg(value) AS clim_mean FROM cells GROUP BY ALL)", "m.month = month(n.date)", "DATE '9999-12-31'", "CAST(NULL AS DOUBLE)")
+
+
 def bank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = full_grid(grid_cells(spark, sf_dir, 20, 20))
     return cells.withColumn("variable", F.lit("sst")).unionByName(daily.time_mean_anomalies(cells).drop("value").withColumnRenamed("anomaly", "value").withColumn("variable", F.lit("anomaly")))
@@ -329,6 +363,6 @@ QUERIES = {
     "longitude_profile": (longitude_profile, LONGITUDE_PROFILE), "time_mean_anomaly": (time_mean_anomaly, TIME_MEAN_ANOMALY), "climatology_daily": (climatology_daily, CLIMATOLOGY_DAILY),
     "climatology_series": (climatology_series, CLIMATOLOGY_SERIES), "climatology_monthly": (climatology_monthly, CLIMATOLOGY_MONTHLY), "climatology_merged": (climatology_merged, CLIMATOLOGY_MERGED),
     "climatology_raw_day": (climatology_raw_day, CLIMATOLOGY_RAW_DAY), "climatology_jumps": (climatology_jumps, CLIMATOLOGY_JUMPS), "calendar_days": (calendar_days, CALENDAR_DAYS),
-    "cell_anomalies": (cell_anomalies, CELL_ANOMALIES), "metrics_table": (metrics_table, METRICS_TABLE), "diagnosis": (diagnosis, DIAGNOSIS), "series_bank": (series_bank, SERIES_BANK),
+    "cell_anomalies": (cell_anomalies, CELL_ANOMALIES), "metrics_table": (metrics_table, METRICS_TABLE), "diagnosis": (diagnosis, DIAGNOSIS), "full_diagnosis": (full_diagnosis, FULL_DIAGNOSIS), "latest_diagnosis": (latest_diagnosis, LATEST_DIAGNOSIS), "series_bank": (series_bank, SERIES_BANK),
     "event_flags": (event_flags, EVENT_FLAGS), "event_metrics": (event_metrics, EVENT_METRICS), "event_summary": (event_summary, EVENT_SUMMARY), "threshold_climatological": (threshold_climatological, THRESHOLD_CLIMATOLOGICAL),
 }
