@@ -38,7 +38,9 @@ UNDETERMINED = "und"
 SALTS = 16
 #: Bundles are summed as integers, so the sum doesn't depend on its order.
 UNIT = float(1 << 32)
-GRAMS, DOCS = 8192, 512
+GRAMS, DOCS = 4096, 256
+#: Most bytes of texts, unless one is longer, and most rows that are bundled at a time: a worker needs about 60 bytes for each of the first.
+PART = {"most": 1 << 20, "rows": 4096}
 
 
 def held_out(id_col: str) -> Column:
@@ -67,8 +69,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct trigrams (code points, 0 a boundary), and per occurrence its index and its text."""
     lower = [x.lower() for x in texts]
     points = np.frombuffer("\n".join(["", *lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    text = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in lower])
-    text = np.concatenate([[0], text])
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) + 1 for x in lower])
+    text = np.concatenate([np.zeros(1, np.int32), text])
     letter = letters()[points]
     keep = letter.copy()
     keep[0] = True
@@ -80,9 +82,10 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen[points] = True
     seen[0] = True
     alphabet = np.flatnonzero(seen)
-    place = np.zeros(0x110000, np.int64)
-    place[alphabet] = np.arange(len(alphabet))
-    symbol, k = place[points], len(alphabet)
+    k = len(alphabet)
+    place = np.zeros(0x110000, np.int32 if k**3 < 1 << 31 else np.int64)
+    place[alphabet] = np.arange(k)
+    symbol = place[points]
     gram = (symbol[:-2] * k + symbol[1:-1]) * k + symbol[2:]
     # around a letter a trigram is its text's own; around a boundary both neighbours must be
     own = letter[1:-1] | (text[:-2] == text[2:]) & letter[2:] & letter[:-2]
@@ -91,7 +94,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         present = np.zeros(k**3, bool)
         present[gram] = True
         distinct = np.flatnonzero(present)
-        index = np.zeros(k**3, np.int64)
+        index = np.zeros(k**3, np.int32)
         index[distinct] = np.arange(len(distinct))
         index = index[gram]
     else:
@@ -143,7 +146,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
 
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, 0, rows=4096):
+            for part in slices(batch, 0, **PART):
                 names, labels = np.unique(np.array(part.column(1).to_pylist(), object), return_inverse=True)
                 sums = weighted(decoded(part.column(0)), labels, len(names), dimensions)
                 for name, own in zip(names.tolist(), sums, strict=True):
@@ -194,7 +197,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             text = batch.column(0).field(text_col) if carry else batch.column(1)
             both = pa.RecordBatch.from_arrays([batch.column(0), text], names=["row", "text"])
-            for part in slices(both, 1, rows=4096):
+            for part in slices(both, 1, **PART):
                 languages, score = predict(decoded(part.column(1)), own)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(languages, pa.string()), pa.array(score)], schema=shape)
 

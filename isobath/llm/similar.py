@@ -16,8 +16,9 @@ Pairs.  Comparing all that meet would grow with the square of a group of near co
 is compared with one leader per block: of the variants that it meets others in, the node that comes
 first in a random order of all nodes, so a group shares few leaders; where two meet alone, they are a pair.  What the similar ones among
 these pairs connect has one label.  Then, in every variant whose nodes have several labels, all pairs of
-different labels are compared, in tiles of at most ``TILE`` by ``TILE`` nodes, by their bits and then by
-their sets.  So every pair that meets is compared or in one component already; none is left out
+different labels are compared, in tiles of at most ``TILE`` by ``TILE`` nodes, by their bits, their marks and
+then their sets.  A node's marks are ``MARKS`` bits, those on which its shingles fall: a mark that only one of two nodes has is a
+shingle that the other lacks, so marks bound the similarity from above, and no similar pair is lost by them.  So every pair that meets is compared or in one component already; none is left out
 for the size of its variant.
 
 Null text is empty; texts without a word are one node; ids are told apart as in ``simhash``: rows
@@ -50,6 +51,8 @@ BLOCKS, BITS = 14, 28
 FEATURE, AT_ONCE = 2, 1 << 25
 #: Bits of all blocks in which similar texts differ at most: 0.15 of them, and five standard deviations more.
 FAR = int(0.15 * BLOCKS * BITS + 5 * (0.15 * 0.85 * BLOCKS * BITS) ** 0.5)
+#: Whole words of 64 bits.
+MARKS = 512
 TILE = 512
 #: Links that one task labels (16 bytes each), and nodes that are broadcast (8 bytes); more are dealt to all.
 LINKS = 1 << 20
@@ -74,6 +77,20 @@ def shingle_set(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(words, np.array([0, len(words)], np.int64), min(shingle, len(words)))[0])
 
 
+def marks_of(hashes: np.ndarray) -> np.ndarray:
+    """The bits on which the hashes fall."""
+    marks = np.zeros(MARKS, np.uint8)
+    marks[(mix(hashes) % np.uint64(MARKS)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.int64)
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles with these marks, a row each, can be similar."""
+    own, other = own.view(np.uint64), other.view(np.uint64)  # of signed numbers the bits of the absolute value would count
+    both = np.minimum(n - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), m - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
+    return LEAST[1] * both >= LEAST[0] * (n + m - both)
+
+
 def set_name(hashes: np.ndarray) -> int:
     return int(mix(np.array([mix(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))], np.uint64))[0])
 
@@ -93,9 +110,9 @@ def texts_of(part: pa.RecordBatch, column: int) -> tuple[pa.Array, list[np.ndarr
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id``, ``print`` (the node), its size ``n``, the ``balls`` of its blocks and ``text``, in lower case, of every row."""
+    """``id``, ``print`` (the node), its size ``n``, the ``balls`` of its blocks, its ``marks`` and ``text``, in lower case, of every row."""
     rows = text_rows(docs, id_col, text_col)
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("balls", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("balls", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +121,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 sets = [shingle_set(x, shingle) for x in words]
                 prints = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
                 balls = pa.array([word_prints(x) for x in words], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), balls, text], names=["id", "print", "n", "balls", "text"])
+                marks = pa.array([marks_of(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), balls, marks, text], names=["id", "print", "n", "balls", "marks", "text"])
 
     return rows.mapInArrow(every, schema)
 
@@ -191,10 +209,14 @@ def led(members: DataFrame) -> DataFrame:
 
 
 def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that differ in ``FAR`` bits at most and whose sets' sizes allow a similarity."""
-    side = lambda c: nodes.select(F.col("print").alias(c), F.struct("n", "balls").alias(f"{c}s"))
-    bits = F.aggregate(F.zip_with("as.balls", "bs.balls", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits("as.n", "bs.n") & (bits <= FAR)).select("a", "b")
+    """The pairs that differ in ``FAR`` bits at most and whose sets' sizes and marks allow a similarity."""
+    side = lambda c: nodes.select(F.col("print").alias(c), F.struct("n", "balls", "marks").alias(f"{c}s"))
+    total = lambda a, b, count: F.aggregate(F.zip_with(a, b, count), F.lit(0), lambda x, y: x + y)
+    bits = total("as.balls", "bs.balls", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    left = lambda a, b: F.col(f"{a}.n") - total(f"{a}.marks", f"{b}.marks", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    both = F.least(left("as", "bs"), left("bs", "as"))
+    allowed = LEAST[1] * both >= LEAST[0] * (F.col("as.n") + F.col("bs.n") - both)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits("as.n", "bs.n") & (bits <= FAR) & allowed).select("a", "b")
 
 
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -211,8 +233,8 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = sized.where("NOT main").select("group", spread("rows").alias("r"), every("columns").alias("c"), "print", "label", F.lit(True).alias("left"))
     right = sized.select("group", spread("columns").alias("c"), "print", "label", "rows", F.lit(False).alias("left")).select("group", every("rows").alias("r"), "c", "print", "label", "left")
-    filled = left.unionByName(right).join(nodes.select("print", "n", "balls"), "print")
-    tiles = filled.groupBy("group", "r", "c").agg(F.collect_list(F.when(F.col("left"), F.struct("print", "label", "n", "balls"))).alias("x"), F.collect_list(F.when(~F.col("left"), F.struct("print", "label", "n", "balls"))).alias("y"))
+    filled = left.unionByName(right).join(nodes.select("print", "n", "balls", "marks"), "print")
+    tiles = filled.groupBy("group", "r", "c").agg(F.collect_list(F.when(F.col("left"), F.struct("print", "label", "n", "balls", "marks"))).alias("x"), F.collect_list(F.when(~F.col("left"), F.struct("print", "label", "n", "balls", "marks"))).alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,15 +243,17 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
                 met = (x[1][:, None] != y[1]) & (LEAST[1] * np.minimum(x[2][:, None], y[2]) >= LEAST[0] * np.maximum(x[2][:, None], y[2]))
                 i, j = np.nonzero(met)
                 near = np.bitwise_count(x[3][i] ^ y[3][j]).sum(axis=1) <= FAR
-                a, b = x[0][i[near]], y[0][j[near]]
+                i, j = i[near], j[near]
+                allowed = may_be_similar(x[2][i], y[2][j], x[4][i], y[4][j])
+                a, b = x[0][i[allowed]], y[0][j[allowed]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return tiles.select("x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _columns(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    balls = rows.field("balls").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), BLOCKS)
-    return (*(rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("print", "label", "n")), balls)
+def _columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    single = [rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("print", "label", "n")]
+    return (*single, *(rows.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), width) for c, width in (("balls", BLOCKS), ("marks", MARKS // 64))))
 
 
 def labels_of(links: DataFrame) -> DataFrame:
@@ -257,8 +281,8 @@ def labels_of(links: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: id, ``print`` and ``component_id``, the least id that similar pairs reach."""
     rows = cut(sketches(docs, id_col, text_col, shingle), "sketches")
-    distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("balls").alias("balls")), "distinct")
-    nodes = distinct.select("print", "n", "balls")
+    distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("balls").alias("balls"), F.first("marks").alias("marks")), "distinct")
+    nodes = distinct.select("print", "n", "balls", "marks")
     parts, step = [], max(1, min(BLOCKS, AT_ONCE // ((BITS + 1) * max(1, nodes.count()))))
     for k in range(0, BLOCKS, step):
         parts.append(cut(gathered(nodes, range(k, min(k + step, BLOCKS))), "members"))

@@ -73,3 +73,22 @@ def test_edges(spark):
     nothing = L.learn(docs.limit(0))
     assert {r["lang_pred"] for r in L.identify(docs, nothing).collect()} == {"und"}
     assert L.identify(docs.limit(0), model).collect() == []
+
+
+def test_a_batch_of_long_texts_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from isobath.llm.common import decoded, slices
+
+    rng = np.random.default_rng(5)
+    text = "".join(chr(97 + c) if c < 26 else " " for c in rng.integers(0, 30, 1 << 16))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 64)], names=["text"])  # 4 MB
+    L.letters()
+    tracemalloc.start()
+    for part in slices(batch, 0, **L.PART):
+        L.bundled(decoded(part.column(0)), L.DIMENSIONS)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 120 << 20

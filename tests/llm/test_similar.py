@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline as P
 from isobath.llm import similar as S
 from isobath.llm.common import table
@@ -72,6 +74,26 @@ def test_tiles_compare_all_that_meet(spark, monkeypatch):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_marks_lose_no_similar_pair_and_rule_out_most_others(spark):
+    rng = np.random.default_rng(7)
+    sets, kept = {}, []
+    for k in range(600):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64)
+        other = np.concatenate([base[: int(len(base) * rng.uniform(0.4, 1)) + 1], rng.integers(0, 2**64, int(rng.integers(0, 12)), dtype=np.uint64)])
+        sets[2 * k], sets[2 * k + 1] = np.unique(base), np.unique(other)
+    marks = np.stack([S.marks_of(x) for x in sets.values()])
+    n = np.array([len(x) for x in sets.values()])
+    kept = S.may_be_similar(n[::2], n[1::2], marks[::2], marks[1::2])
+    alike = np.array([S.similar(sets[k], sets[k + 1]) for k in range(0, 1200, 2)])
+    assert kept[alike].all() and alike.sum() > 100
+    assert kept[~alike].sum() < 0.3 * (~alike).sum()
+    # the same bound in SQL
+    nodes = spark.createDataFrame([(k, int(n[k]), [0] * S.BLOCKS, marks[k].tolist()) for k in sets], "print long, n int, balls array<long>, marks array<long>")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(0, 1200, 2)], "a long, b long")
+    fits = 5 * np.minimum(n[::2], n[1::2]) >= 4 * np.maximum(n[::2], n[1::2])
+    assert {r["a"] for r in S.close(pairs, nodes).collect()} == set((2 * np.flatnonzero(kept & fits)).tolist())
+
+
 KINDS = ("appended", "prepended", "cut", "inserted", "replaced")
 
 
