@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobath.llm.common import arrow_type, cut, decoded, slices, text_rows
-from isobath.llm.token_counts import HELD, Splitter, splitter_of
+from isobath.llm.token_counts import Splitter, splitter_of
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 QUADRATIC = 65536.0
@@ -104,23 +104,10 @@ def pack_lengths(lengths: np.ndarray, capacities: tuple[int, ...], quadratic: fl
     return best[1:]
 
 
-def counted(splitter: Splitter, pre_tokens: list[str], known: dict[str, int]) -> list[int]:
-    """Tokens of each pre-token; ``known`` remembers those of the worker, ``HELD`` at most."""
-    new = list({x for x in pre_tokens if x not in known})
-    if len(known) + len(new) > HELD:
-        known.clear()
-        new = list(set(pre_tokens))
-    known.update(zip(new, splitter.pieces(new), strict=True) if new else ())
-    return [known[x] for x in pre_tokens]
-
-
-def cut_text(splitter: Splitter, text: str, largest: int, known: dict[str, int]) -> list[tuple[int, int, int]]:
+def cut_text(splitter: Splitter, text: str, largest: int) -> list[tuple[int, int, int]]:
     """(begin, end, tokens) of the text's pieces, of ``largest`` tokens at most; offsets in code points."""
     plain, special = splitter(text)
-    try:
-        total = sum(map(known.__getitem__, plain)) + special
-    except KeyError:
-        total = sum(counted(splitter, plain, known)) + special
+    total = sum(map(splitter.count, plain)) + special
     if total <= largest:
         return [(0, len(text), total)]
     parts: list[tuple[int, int]] = []  # code points and tokens, in order of the text
@@ -130,7 +117,7 @@ def cut_text(splitter: Splitter, text: str, largest: int, known: dict[str, int])
             parts.append((len(run), 1))
             continue
         own = splitter.part(run)
-        for x, n in zip(own, counted(splitter, own, known), strict=True):
+        for x, n in zip(own, map(splitter.count, own), strict=True):
             if n <= largest:
                 parts.append((len(x), n))
             else:
@@ -145,23 +132,25 @@ def cut_text(splitter: Splitter, text: str, largest: int, known: dict[str, int])
     return [*found, (begin, end, held)]
 
 
-def token_pieces(docs: DataFrame, path: str, largest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``rank`` (a hash of id and text), ``piece``, ``piece_start`` (code points), ``piece_length`` (tokens) and ``text`` of every piece."""
+def token_pieces(docs: DataFrame, path: str, largest: int, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """``id``, ``rank`` (a hash of id and text), ``piece``, ``piece_start`` (code points), ``piece_length`` (tokens) and, if wanted, ``text`` of every piece."""
     with open(path, encoding="utf-8") as file:
         known = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = text_rows(docs, id_col, text_col).select("id", F.xxhash64("id", "text").alias("rank"), "text")
-    schema = T.StructType([rows.schema["id"], T.StructField("rank", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_length", T.LongType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([rows.schema["id"], T.StructField("rank", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_length", T.LongType()), *[T.StructField("text", T.StringType())] * texts])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        splitter, shape, memory = splitter_of(known.value), arrow_type(schema), {}
+        splitter, shape = splitter_of(known.value), arrow_type(schema)
         for batch in batches:
             for part in slices(batch, 2):
-                texts = decoded(part.column(2))
-                pieces = [(i, k, a, n, t[a:b]) for i, t in enumerate(texts) for k, (a, b, n) in enumerate(cut_text(splitter, t, largest, memory))]
-                row, piece, start, length, text = zip(*pieces, strict=True)
+                whole = decoded(part.column(2))
+                pieces = [(i, k, a, b, n) for i, t in enumerate(whole) for k, (a, b, n) in enumerate(cut_text(splitter, t, largest))]
+                row, piece, start, end, length = zip(*pieces, strict=True)
                 columns = [part.column(c).take(pa.array(row)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(text, pa.string())], schema=shape)
+                text = [pa.array([whole[i][a:b] for i, a, b in zip(row, start, end, strict=True)], pa.string())] if texts else []
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), *text], schema=shape)
+        splitter.count.cache_clear()  # the worker may wait beside others that need its memory
 
     return rows.mapInArrow(every, schema)
 
@@ -210,7 +199,7 @@ def pack(docs: DataFrame, length: Column, *, id_col: str = "doc_id", capacities:
 def pack_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, **costs: float) -> DataFrame:
     """The same of texts, in tokens of the tokenizer in ``path``."""
     sizes = permitted(capacities)
-    pieces = cut(token_pieces(docs, path, sizes[-1], id_col, text_col).drop("text"), "pieces")
+    pieces = cut(token_pieces(docs, path, sizes[-1], id_col, text_col, texts=False), "pieces")
     return pack_pieces(pieces, capacities=sizes, **costs).withColumnRenamed("id", id_col)
 
 

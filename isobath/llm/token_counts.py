@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from isobath.llm.common import arrow_type, cut, decoded, slices, text_rows
 
-#: Most pre-tokens that travel to the documents, and most that a task holds before it passes them on.
+#: Most pre-tokens that travel to the documents, and most that a task or a worker holds.
 FREQUENT = 1 << 19
 HELD = 150_000
 
@@ -41,6 +41,13 @@ HELD = 150_000
 SETTLED = ((0x0, 0x557), (0x900, 0xC50), (0x2000, 0x206F), (0x3040, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level tokenizers write each byte: itself if it is printable, else one of those from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
 @lru_cache(maxsize=1)
 def patterns() -> tuple[re.Pattern[str], re.Pattern[str]]:
     """The byte-level pre-token pattern over settled blocks, and what matches any other character."""
@@ -76,6 +83,14 @@ class Splitter:
         self.tokenizer.no_truncation()
         self.special = re.compile("|".join(re.escape(x["content"]) for x in sorted(specials, key=lambda x: -len(x["content"])))) if specials else None
         self.split, self.unsettled = patterns()
+        tokenize, letters = self.tokenizer.model.tokenize, byte_letters()
+
+        @lru_cache(maxsize=HELD)
+        def count(pre_token: str) -> int:
+            """Tokens of a pre-token, by the library's model alone; the ``HELD`` last used ones are remembered."""
+            return len(tokenize(pre_token.encode().decode("latin-1").translate(letters)))
+
+        self.count = count
 
     def part(self, text: str) -> list[str]:
         if self.unsettled.search(text):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from isobath.llm import packing as P
+from isobath.llm.token_counts import Splitter
 
 
 def check_plan(rows, lengths, capacities):
@@ -74,6 +75,24 @@ def tokens(texts):
     return [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_the_model_alone_counts_as_the_library():
+    splitter = Splitter(open(TOKENIZER, encoding="utf-8").read())
+    rng = random.Random(2)
+    odd = ["".join(chr(rng.choice((rng.randrange(1, 0x250), rng.randrange(0x20, 0x7F), rng.randrange(0x370, 0xD7A4), rng.randrange(0xE000, 0x110000)))) for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    odd += ["", "a", " ", "  x", "don't  stop\n \n", "x" * 3000, "<|endoftext|>", "a <|endoftext|> b", "\x00\x7f\xad\xa0", *map(chr, range(1, 0x180))]
+    assert [sum(n for *_, n in P.cut_text(splitter, x, 1 << 30)) for x in odd] == tokens(odd)
+
+
+def test_frequent_pre_tokens_are_tokenized_once(monkeypatch):
+    """Many rare pre-tokens between two uses of a frequent one don't make it forgotten."""
+    monkeypatch.setattr("isobath.llm.token_counts.HELD", 100)
+    splitter = Splitter(open(TOKENIZER, encoding="utf-8").read())
+    for k in range(300):
+        P.cut_text(splitter, f" often rare{k:04d} often", 1 << 30)
+    found = splitter.count.cache_info()
+    assert found.currsize == 100 and found.hits >= 599 and found.misses <= 701
+
+
 def test_query_is_whole(spark):
     from isobath.llm.common import table
     from isobath.llm.queries import op7_best_fit
