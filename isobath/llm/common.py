@@ -59,6 +59,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, in the shared folder; all that it cut for itself is deleted at once, and its shuffles are released."""
+    path = fresh_path(spark, name)
+    if _open:
+        _open[-1].append(path)
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    schema = made.schema
+    del made
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that are written: it does so once their plans are collected as garbage."""
     gc.collect()

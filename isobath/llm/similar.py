@@ -6,20 +6,22 @@ of ``LEAST`` or more; a component is what such pairs connect.  A node is a disti
 
 Fingerprints.  At a similarity of 0.8 a fingerprint differs in about 0.15 of its bits, too many for
 any ball.  So each text has ``BLOCKS`` independent fingerprints of ``BITS`` bits, of its distinct
-pairs of neighbouring words, and each is hashed by its ball (every variant within one bit, shuffled
-and met, see ``meeting``), with its number above the bits.  Two texts are compared if any block of theirs is within two
-bits: by the binomial law that holds for 0.95 of the pairs at a similarity of 0.8, whatever the edit
-(words appended or cut off; words replaced change fewer pairs), and for 0.98 at 5/6.  Pairs that
+pairs of neighbouring words.  Bits alone would meet by chance in numbers that grow with the square of the input; so a
+block's bits stand below a number of ``64 - BITS`` bits, its bucket, drawn by the least of the block's own hashes of the shingles: texts share it with
+a probability that is their similarity, unrelated ones hardly ever.  Values of shared buckets are hashed by
+their balls (every variant of the bits within one, shuffled and met, see ``simhash.meeting``); those of a bucket alone meet nothing.
+By the binomial law 0.95 of the pairs at a similarity of 0.8 share a bucket and are within two
+bits in some block, whatever the edit (words appended or cut off; words replaced change fewer pairs), and 0.98 at 5/6.  Pairs that
 differ in more than ``FAR`` bits of all blocks are not similar, but for one in 10^5.
 
-Pairs.  Comparing all that meet would grow with the square of a group of near copies.  First each node
-is compared with one leader per block: of the variants that it meets others in, the node that comes
-first in a random order of all nodes, so a group shares few leaders; where two meet alone, they are a pair.  What the similar ones among
-these pairs connect has one label.  Then, in every variant whose nodes have several labels, all pairs of
-different labels are compared, in tiles of at most ``TILE`` by ``TILE`` nodes, by their bits, their marks and
-then their sets.  A node's marks are ``MARKS`` bits, those on which its shingles fall: a mark that only one of two nodes has is a
+Pairs.  What balls connect within a block is a group; a node is in one group of a block at most, so its rows are ``BLOCKS`` at
+most, however large its groups are.  Comparing all of a group would grow with the square of its size.  First each node
+is compared with the leads of its groups: the nodes that come first in the block's random order.  What the similar ones among
+these pairs connect has one label.  Then, in every group whose nodes have several labels, all pairs of
+different labels are compared, in tiles of about ``TILE`` by ``TILE`` nodes, ``STRIP`` rows of them at once, by their bits, their marks and
+then their sets, each pair in the first block whose group both are in.  A node's marks are ``MARKS`` bits, those on which its shingles fall: a mark that only one of two nodes has is a
 shingle that the other lacks, so marks bound the similarity from above, and no similar pair is lost by them.  So every pair that meets is compared or in one component already; none is left out
-for the size of its variant.
+for the size of its group.
 
 Null text is empty; texts without a word are one node; ids are told apart as in ``simhash``: rows
 are independent, null ids are smallest and never name a component unless all its ids are null; an
@@ -38,36 +40,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobath.llm.common import attach, cut, decoded_sets, release, salt_of, shuffle_width, slices, text_bytes, text_rows
+from isobath.llm.common import attach, cut, decoded_sets, release, salt_of, slices, text_bytes, text_rows
 from isobath.llm.components import components
 from isobath.llm.shingles import mix, shingle_hashes
-from isobath.llm.simhash import VARIANTS, labelled, text_hashes
+from isobath.llm.simhash import labelled, meeting, stars, text_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
-BLOCKS, BITS = 14, 28
+BLOCKS, BITS = 16, 26
 #: Words of a fingerprint's features, and variants that are on disk at a time: as many blocks, one at least.
 FEATURE, AT_ONCE = 2, 1 << 25
 #: Bits of all blocks in which similar texts differ at most: 0.15 of them, and five standard deviations more.
 FAR = int(0.15 * BLOCKS * BITS + 5 * (0.15 * 0.85 * BLOCKS * BITS) ** 0.5)
 #: Whole words of 64 bits.
-MARKS = 512
-TILE = 512
+MARKS = 1024
+TILE, STRIP = 2048, 64
 #: Links that one task labels (16 bytes each), and nodes that are broadcast (8 bytes); more are dealt to all.
 LINKS = 1 << 20
 SEEDS = np.random.default_rng(20240301).integers(0, 2**64, BLOCKS // 2, dtype=np.uint64)
+#: Odd factors that give each block an order of its own of mixed numbers.
+FACTORS = np.random.default_rng(20240302).integers(0, 2**63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """The blocks' buckets of one set: numbers of ``64 - BITS`` bits in place, the block taking part."""
+    if not len(hashes):
+        return np.zeros(BLOCKS, np.int64)
+    mixed = mix(hashes)
+    least = np.array([(mixed * factor).min() for factor in FACTORS], np.uint64)
+    return (mix(least ^ FACTORS) >> np.uint64(BITS) << np.uint64(BITS)).view(np.int64)
 
 
 def word_prints(words: np.ndarray) -> np.ndarray:
-    """The blocks' bits, each with the block's number above them, of one text's word hashes."""
+    """The blocks' bits of one text's word hashes."""
     features = shingle_set(words, FEATURE)
     ones = np.zeros(BLOCKS * 32, np.int64)
     for begin in range(0, len(features), 1 << 12):  # a mixed number of 64 bits serves two blocks
         mixed = mix(features[begin : begin + (1 << 12), None] ^ SEEDS)
         ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     packed = np.packbits(2 * ones > len(features)).view(np.uint32).astype(np.int64)
-    return packed >> (32 - BITS) | (np.arange(BLOCKS, dtype=np.int64) << BITS)
+    return packed >> (32 - BITS)
 
 
 def shingle_set(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -110,7 +123,7 @@ def texts_of(part: pa.RecordBatch, column: int) -> tuple[pa.Array, list[np.ndarr
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id``, ``print`` (the node), its size ``n``, the ``balls`` of its blocks, its ``marks`` and ``text``, in lower case, of every row."""
+    """``id``, ``print`` (the node), its size ``n``, the ``balls`` of its blocks (bits below buckets), its ``marks`` and ``text``, in lower case, of every row."""
     rows = text_rows(docs, id_col, text_col)
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("print", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("balls", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
 
@@ -120,7 +133,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 text, words = texts_of(part, 1)
                 sets = [shingle_set(x, shingle) for x in words]
                 prints = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
-                balls = pa.array([word_prints(x) for x in words], pa.list_(pa.int64()))
+                balls = pa.array([word_prints(x) | buckets(y) for x, y in zip(words, sets, strict=True)], pa.list_(pa.int64()))
                 marks = pa.array([marks_of(x) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), balls, marks, text], names=["id", "print", "n", "balls", "marks", "text"])
 
@@ -158,53 +171,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
-def meeting(values: DataFrame) -> DataFrame:
-    """``variant`` and ``members`` of every variant at which several of the distinct ``ball`` values meet.
-
-    As ``simhash.meeting``, with variant and flipped bit in one number, so half the bytes are shuffled.
-    """
-    tasks = max(shuffle_width(values.sparkSession), values.count() * (BITS + 1) // VARIANTS)
-    flips = F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("bit")
-    one = F.expr(f"CASE WHEN bit < {BITS} THEN shiftleft(1L, bit) ELSE 0L END")
-    emitted = values.select("ball", flips).select((F.shiftleft(F.col("ball").bitwiseXOR(one), 5) + F.col("bit")).alias("packed"))
-    variant = F.shiftright("packed", 5)
-    met = emitted.repartition(tasks, variant).groupBy(variant.alias("variant")).agg(F.bit_or(F.expr("shiftleft(1, CAST(packed & 31 AS INT))")).alias("mask"))
-    flipped = F.expr(f"transform(filter(sequence(0, {BITS}), i -> getbit(mask, i) = 1), i -> CASE WHEN i < {BITS} THEN variant ^ shiftleft(1L, i) ELSE variant END)")
-    return met.where(F.bit_count("mask") > 1).select("variant", F.array_sort(flipped).alias("members"))
-
-
 def fits(a: str, b: str) -> Column:
     """Whether sets of these sizes can be similar."""
     return LEAST[1] * F.least(a, b) >= LEAST[0] * F.greatest(a, b)
 
 
-def gathered(nodes: DataFrame, blocks: range) -> DataFrame:
-    """``block, group, print, n, lead, size``: the nodes of every variant of the blocks, or single value, that several share.
+def shared(nodes: DataFrame) -> DataFrame:
+    """``block, print, n, ball`` of every node whose bucket others have too."""
+    balls = nodes.select("print", "n", F.posexplode("balls").alias("block", "ball")).withColumn("bucket", F.shiftright("ball", BITS))
+    # a bucket may be that of a third of all nodes
+    return attach(balls, ["block", "bucket"], ["print"], {"inside": (F.count(F.lit(1)), F.sum)}).where("inside > 1").select("block", "print", "n", "ball")
+
 
-    ``lead`` is the group's first node in a random order of all.  Of a group of two, only the other one has
-    a row, and none if their sizes rule a similarity out: chance meetings end here.
+def gathered(balls: DataFrame) -> DataFrame:
+    """``block, group, print, n, lead, size``: the nodes of every group of several, of the values of some blocks.
+
+    ``lead`` is the group's first node in the block's random order.  Of a group of two, only the other one has
+    a row, and none if their sizes rule a similarity out.
     """
-    balls = nodes.select("print", "n", F.explode(F.slice("balls", blocks.start + 1, len(blocks))).alias("ball"))
-    values = cut(balls.groupBy("ball").agg(F.count(F.lit(1)).alias("inside")), "values")
-    met = cut(meeting(values), "variants")
-    # a value shared by several nodes is a group of its own: the complement tells it from variants
-    of = met.select("variant", F.explode("members").alias("ball")).union(values.where("inside > 1").select(F.bitwise_not("ball"), "ball"))
-    groups = of.groupBy("ball").agg(F.array_sort(F.collect_list("variant")).alias("groups"))
+    values = cut(balls.select("block", "ball").distinct(), "values")
+    links = cut(stars(meeting(values.select(F.col("ball").alias("print")).distinct(), BITS)), "balls")
+    groups = cut(labels_of(links), "groups")
     # a value may be that of a third of all nodes: nodes and groups of a value meet over salts
-    rows = balls.withColumn("own", F.lit(None).cast("array<long>")).unionByName(groups.select(F.lit(None).cast("long").alias("print"), F.lit(None).cast("int").alias("n"), "ball", F.col("groups").alias("own")))
-    placed = attach(rows, ["ball"], ["print"], {"groups": (F.max("own"), F.max)})
-    block = F.shiftright("ball", BITS).cast("int")
-    members = placed.where("print IS NOT NULL").select(block.alias("block"), F.explode("groups").alias("group"), "print", "n")
-    first = F.struct(F.xxhash64("print").alias("order"), "print", "n")
-    found = attach(members, ["group"], ["print"], {"lead": (F.min(first), F.min), "size": (F.count(F.lit(1)), F.sum)})
+    rows = balls.withColumn("own", F.lit(None).cast("long")).unionByName(values.join(groups.withColumnRenamed("node", "ball"), "ball").select("block", F.lit(None).cast("long").alias("print"), F.lit(None).cast("int").alias("n"), "ball", F.col("label").alias("own")))
+    placed = attach(rows, ["block", "ball"], ["print"], {"met": (F.max("own"), F.max)})
+    members = placed.where("print IS NOT NULL").select("block", F.coalesce("met", "ball").alias("group"), "print", "n")
+    first = F.struct(F.xxhash64("block", "print").alias("order"), "print", "n")
+    found = attach(members, ["block", "group"], ["print"], {"lead": (F.min(first), F.min), "size": (F.count(F.lit(1)), F.sum)})
     return found.where((F.col("size") > 2) | (F.col("print") != F.col("lead.print")) & fits("n", "lead.n"))
 
 
 def led(members: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b``: those of groups of two, and each other node with one lead per block, the first of its groups'."""
-    two, more = members.where("size = 2"), members.where("size > 2")
-    own = more.groupBy("block", "print", "n").agg(F.min("lead").alias("lead")).select("print", "n", "lead")
-    pairs = two.select("print", "n", "lead").union(own).where((F.col("print") != F.col("lead.print")) & fits("n", "lead.n"))
+    """Pairs ``a`` < ``b`` of each node with the leads of its groups."""
+    pairs = members.where((F.col("print") != F.col("lead.print")) & fits("n", "lead.n"))
     return pairs.select(F.least("print", "lead.print").alias("a"), F.greatest("print", "lead.print").alias("b")).distinct()
 
 
@@ -212,7 +211,7 @@ def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that differ in ``FAR`` bits at most and whose sets' sizes and marks allow a similarity."""
     side = lambda c: nodes.select(F.col("print").alias(c), F.struct("n", "balls", "marks").alias(f"{c}s"))
     total = lambda a, b, count: F.aggregate(F.zip_with(a, b, count), F.lit(0), lambda x, y: x + y)
-    bits = total("as.balls", "bs.balls", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = total("as.balls", "bs.balls", lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << BITS) - 1))))
     left = lambda a, b: F.col(f"{a}.n") - total(f"{a}.marks", f"{b}.marks", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
     both = F.least(left("as", "bs"), left("bs", "as"))
     allowed = LEAST[1] * both >= LEAST[0] * (F.col("as.n") + F.col("bs.n") - both)
@@ -220,10 +219,14 @@ def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Close pairs ``a`` < ``b`` of one group whose labels differ, all of them; groups of two were compared before."""
-    known = members.where("size > 2").select("group", "print").join(labels.withColumnRenamed("node", "print"), "print", "left").select("group", "print", F.coalesce("label", "print").alias("label"))
+    """Close pairs ``a`` < ``b`` of one group whose labels differ, all of them, once; groups of two were compared before."""
+    group = F.struct("block", "group").alias("group")
+    known = members.where("size > 2").select(group, "print").join(labels.withColumnRenamed("node", "print"), "print", "left").select("group", "print", F.coalesce("label", "print").alias("label"))
     mixed = known.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
     rows = cut(known.join(mixed, "group", "left_semi"), "mixed")
+    # a node's groups by block; where it has none stands itself, whom no other has
+    places = rows.groupBy("print").agg(F.array(*[F.coalesce(F.max(F.when(F.col("group.block") == k, F.col("group.group"))), F.col("print")) for k in range(BLOCKS)]).alias("places"))
+    known = nodes.select("print", "n", "balls", "marks").join(places, "print")
     # the label with most nodes of a group is one side only; the others are both
     sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
@@ -231,29 +234,35 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     sized = sized.where("print IS NOT NULL").select("group", "print", "label", (F.col("label") == F.col("main.label")).alias("main"), F.ceil(F.col("every") / TILE).cast("int").alias("columns"), F.greatest(F.ceil((F.col("every") - F.col("main.n")) / TILE), F.lit(1)).cast("int").alias("rows"))
     spread = lambda n: F.pmod(F.xxhash64("print"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = sized.where("NOT main").select("group", spread("rows").alias("r"), every("columns").alias("c"), "print", "label", F.lit(True).alias("left"))
-    right = sized.select("group", spread("columns").alias("c"), "print", "label", "rows", F.lit(False).alias("left")).select("group", every("rows").alias("r"), "c", "print", "label", "left")
-    filled = left.unionByName(right).join(nodes.select("print", "n", "balls", "marks"), "print")
-    tiles = filled.groupBy("group", "r", "c").agg(F.collect_list(F.when(F.col("left"), F.struct("print", "label", "n", "balls", "marks"))).alias("x"), F.collect_list(F.when(~F.col("left"), F.struct("print", "label", "n", "balls", "marks"))).alias("y"))
+    left = sized.where("NOT main").select("group", spread("rows").alias("r"), every("columns").alias("c"), "print", "label", "main", F.lit(True).alias("left"))
+    right = sized.select("group", spread("columns").alias("c"), "print", "label", "main", "rows", F.lit(False).alias("left")).select("group", every("rows").alias("r"), "c", "print", "label", "main", "left")
+    filled = left.unionByName(right).join(known, "print")
+    node = F.struct("print", "label", "n", F.col("main").cast("int").alias("main"), "balls", "marks", "places")
+    tiles = filled.groupBy("group", "r", "c").agg(F.collect_list(F.when(F.col("left"), node)).alias("x"), F.collect_list(F.when(~F.col("left"), node)).alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (_columns(batch.column(c)[k].values) for c in (0, 1))
-                met = (x[1][:, None] != y[1]) & (LEAST[1] * np.minimum(x[2][:, None], y[2]) >= LEAST[0] * np.maximum(x[2][:, None], y[2]))
-                i, j = np.nonzero(met)
-                near = np.bitwise_count(x[3][i] ^ y[3][j]).sum(axis=1) <= FAR
-                i, j = i[near], j[near]
-                allowed = may_be_similar(x[2][i], y[2][j], x[4][i], y[4][j])
-                a, b = x[0][i[allowed]], y[0][j[allowed]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return tiles.select("x", "y").mapInArrow(compare, "a long, b long").distinct()
+            for row, block in enumerate(batch.column(2).to_pylist()):
+                left, y = (_columns(batch.column(c)[row].values) for c in (0, 1))
+                for begin in range(0, len(left[0]), STRIP):
+                    x = [c[begin : begin + STRIP] for c in left]
+                    met = (x[1][:, None] != y[1]) & ((y[3] == 1) | (x[0][:, None] < y[0]))  # two of the others are on both sides
+                    met &= LEAST[1] * np.minimum(x[2][:, None], y[2]) >= LEAST[0] * np.maximum(x[2][:, None], y[2])
+                    for k in range(block):
+                        met &= x[6][:, k, None] != y[6][:, k]
+                    i, j = np.nonzero(met)
+                    near = np.bitwise_count((x[4][i] ^ y[4][j]) & ((1 << BITS) - 1)).sum(axis=1) <= FAR
+                    i, j = i[near], j[near]
+                    allowed = may_be_similar(x[2][i], y[2][j], x[5][i], y[5][j])
+                    a, b = x[0][i[allowed]], y[0][j[allowed]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return tiles.select("x", "y", "group.block").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    single = [rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("print", "label", "n")]
-    return (*single, *(rows.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), width) for c, width in (("balls", BLOCKS), ("marks", MARKS // 64))))
+    single = [rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("print", "label", "n", "main")]
+    return (*single, *(rows.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), width) for c, width in (("balls", BLOCKS), ("marks", MARKS // 64), ("places", BLOCKS))))
 
 
 def labels_of(links: DataFrame) -> DataFrame:
@@ -283,9 +292,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(sketches(docs, id_col, text_col, shingle), "sketches")
     distinct = cut(rows.groupBy("print").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("balls").alias("balls"), F.first("marks").alias("marks")), "distinct")
     nodes = distinct.select("print", "n", "balls", "marks")
-    parts, step = [], max(1, min(BLOCKS, AT_ONCE // ((BITS + 1) * max(1, nodes.count()))))
+    balls = cut(shared(nodes), "shared")
+    parts, step = [], max(1, min(BLOCKS, BLOCKS * AT_ONCE // ((BITS + 1) * max(1, balls.count()))))
     for k in range(0, BLOCKS, step):
-        parts.append(cut(gathered(nodes, range(k, min(k + step, BLOCKS))), "members"))
+        parts.append(cut(gathered(balls.where(F.col("block").between(k, min(k + step, BLOCKS) - 1))), "members"))
         release(docs.sparkSession)  # the blocks' variants are on disk no longer than needed
     members = reduce(DataFrame.union, parts)
 
@@ -293,7 +303,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), shingle)
         return cut(verified(pairs, cut(sets, "sets")), "links")
 
-    links = similar_of(cut(close(reduce(DataFrame.union, [led(p) for p in parts]).distinct(), nodes), "pairs"))
+    links = similar_of(cut(close(led(members), nodes), "pairs"))
     labels = cut(labels_of(links), "labels")
     release(docs.sparkSession)
     more = cut(across(members, labels, nodes), "pairs")

@@ -1,11 +1,14 @@
+import pathlib
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline as P
 from isobath.llm import language_id
 from isobath.llm.common import table
+from isobath.sources.staging import shared_folder
 from tests.llm.test_decontaminate import brute as brute_contained
 from tests.llm.test_exact_dedup import lower
 from tests.llm.test_similar import brute_components
@@ -117,3 +120,17 @@ def test_near_duplicates_leave_one(spark):
 def test_language_rejects_only_what_has_no_letter():
     model = language_id.Model([], None, 8)
     assert language_id.predict(["", "1"], model)[0] == ["und", "und"]
+
+
+@pytest.mark.parametrize("stage", [P.exact_dedup, P.simhash_dedup])
+def test_stages_leave_keys_only_in_the_shared_folder(spark, stage):
+    """Tables that outlive a stage add up over the pipeline: none but the keys it drops, whoever calls it."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:")) / "isobath"
+    files = lambda: {f for f in folder.rglob("*.parquet") if f.is_file()}
+    docs = table(spark, SF, "documents")
+    before = files()
+    left = stage(spark, docs, SF)
+    new = files() - before
+    assert 0 < sum(f.stat().st_size for f in new) < 0.1 * sum(len((r["text"] or "").encode()) for r in docs.collect())
+    assert all("text" not in pq.read_schema(f).names for f in new) and len({f.parent for f in new}) == 1
+    assert 0 < left.count() < docs.count()

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from isobath.llm import similar as S
@@ -138,3 +139,35 @@ def test_recall_of_every_kind_of_edit(spark):
         assert len(wanted) > 100
         assert sum(got[i + 1] == i for i in wanted) >= 0.93 * len(wanted), kind
     assert all(got[i + 1] == i + 1 for _, i, s in pairs if s < 0.8)
+
+
+def test_rows_grow_with_the_nodes_not_with_their_groups(spark, monkeypatch):
+    """A family of near copies, no two of which are alike, and texts that share no shingle."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    docs = [(k, " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))) for k in range(200)]
+    for k in range(120):
+        own = list(words)
+        for at in rng.sample(range(150), rng.randrange(1, 12)):
+            own[at] = f"x{rng.randrange(10**9)}"
+        docs.append((1000 + k, " ".join(own)))
+    counts, write = {}, S.cut
+
+    def counted(df, name):
+        table = write(df, name)
+        counts[name] = counts.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(S, "cut", counted)
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+    assert counts["members"] <= S.BLOCKS * 120 and counts["values"] <= S.BLOCKS * 120
+    assert counts["pairs"] <= 120 * 119 // 2 + S.BLOCKS * 120
+
+
+def test_texts_meet_only_where_they_share_a_shingle(spark):
+    """Chance would let equal bits meet, in numbers that grow with the square of the texts."""
+    texts = [(k, " ".join(f"u{k}-{i}" for i in range(40))) for k in range(300)] + [(k, " ".join(f"s{i}" for i in range(20, 40 + k % 2))) for k in (300, 301)]
+    nodes = S.sketches(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("balls", F.transform("balls", lambda x: F.shiftleft(F.shiftright(x, S.BITS), S.BITS)))
+    met = S.shared(nodes).select("print").distinct()
+    assert sorted(r["id"] for r in nodes.join(met, "print").collect()) == [300, 301]
