@@ -222,8 +222,9 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     """Close pairs ``a`` < ``b`` of one group whose labels differ, all of them, once; groups of two were compared before."""
     group = F.struct("block", "group").alias("group")
     known = members.where("size > 2").select(group, "print").join(labels.withColumnRenamed("node", "print"), "print", "left").select("group", "print", F.coalesce("label", "print").alias("label"))
-    mixed = known.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
-    rows = cut(known.join(mixed, "group", "left_semi"), "mixed")
+    # a group may be that of a third of all nodes
+    several = attach(known, ["group"], ["print"], {"low": (F.min("label"), F.min), "high": (F.max("label"), F.max)}).where("low <> high")
+    rows = cut(several.select("group", "print", "label"), "mixed")
     # a node's groups by block; where it has none stands itself, whom no other has
     places = rows.groupBy("print").agg(F.array(*[F.coalesce(F.max(F.when(F.col("group.block") == k, F.col("group.group"))), F.col("print")) for k in range(BLOCKS)]).alias("places"))
     known = nodes.select("print", "n", "balls", "marks").join(places, "print")
