@@ -248,7 +248,9 @@ def find_personal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     reported = F.col("base") & F.col("chosen")
     order = Window.partitionBy("row").orderBy("start", F.desc("base"), "end")
     earlier = F.max(F.when(reported, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(reported, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # in reverse order: a frame that ends with the partition is added up anew for every row
+    reverse = Window.partitionBy("row").orderBy(F.desc("start"), "base", F.desc("end"))
+    later = F.min(F.when(reported, F.col("start"))).over(reverse.rowsBetween(Window.unboundedPreceding, -1))
     clear = (F.coalesce(earlier, F.lit(-1)) <= F.col("start")) & (F.coalesce(later, F.lit(1 << 62)) >= F.col("end"))
     placed = placed.withColumn("clear", F.col("base") | clear)
     span = F.when(F.col("chosen") & F.col("clear"), F.struct("kind", "start", "end", "base"))

@@ -127,6 +127,11 @@ def test_long_runs_take_linear_time(spark):
     assert time.time() - begin < 60
 
 
+def test_no_frame_is_added_up_anew_for_every_row(spark):
+    plan = P.find_personal(spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string"))._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a@b.cd", "x"), (3, "a@b.cd", "y"), (3, "a@b.cd", "y")], "doc_id long, text string, row string")
     assert [len(r["spans"]) for r in P.find_personal(df).collect()] == [1, 1, 1]
